@@ -24,11 +24,13 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 200
+#: Nodes of one Arrow batch.
+BATCH_NODES = 50_000
 _NODE = "rk string, doc string, pre int, post int, depth int, type string, key string, place int, kind string, value string"
 _WRAPPERS = ("extra", "target_order")
 
@@ -94,38 +96,45 @@ def _unwrapped(value: object, name: str) -> object:
     return value
 
 
+_ARROW = pa.schema([(n, {"string": pa.string(), "int": pa.int32()}[t]) for n, t in (f.split() for f in _NODE.split(", "))])
+
+
 def _label(columns: list[str], keep: re.Pattern | None):
-    def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
         for batch in batches:
-            out = []
-            keys = batch["rk"].tolist()
+            out: list[tuple] = []
+            keys = batch.column("rk").to_pylist()
             for column in columns:
-                for rk, text in zip(keys, batch[column].tolist(), strict=True):
-                    if isinstance(text, str) and text.strip():
-                        value = _unwrapped(_decoded(text), column)
-                        for n in walk(value, "$"):
+                for rk, text in zip(keys, batch.column(column).to_pylist(), strict=True):
+                    if text is not None and text.strip():
+                        for n in walk(_unwrapped(_decoded(text), column), "$"):
                             if keep is not None and n[3] not in known:
                                 known[n[3]] = keep.fullmatch(n[3]) is not None
                             if keep is None or known[n[3]]:
                                 out.append((rk, column, *n))
-            frame = pd.DataFrame(out, columns=["rk", "doc", "pre", "post", "depth", "type", "key", "place", "kind", "value"])
-            frame = frame.astype({"pre": "int32", "post": "int32", "depth": "int32", "place": "Int32"})
-            for c in ("type", "key", "value"):
-                # lone surrogates can't leave Python
-                frame[c] = [v if v is None or v.isascii() else v.encode("utf-8", "replace").decode() for v in frame[c]]
-            yield frame
+                                if len(out) >= BATCH_NODES:
+                                    yield _batch(out)
+                                    out = []
+            yield _batch(out)
 
     return nodes
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_ARROW)
+    # lone surrogates can't leave Python
+    clean = lambda values: [v if v is None or v.isascii() else v.encode("utf-8", "replace").decode() for v in values]
+    return pa.record_batch([pa.array(clean(v) if f.type == pa.string() else v, f.type) for v, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+
+
 def label(records: DataFrame, columns: list[str], *, types: str | None = None) -> DataFrame:
     """All nodes of the JSON ``columns`` of ``records`` (with a text record key ``rk``).
 
     ``types`` is a regular expression for the node types wanted; labels do not depend on it.
     """
     keep = re.compile(types) if types else None
-    return records.select("rk", *columns).mapInPandas(_label(columns, keep), _NODE)
+    return records.select("rk", *columns).mapInArrow(_label(columns, keep), _NODE)
 
 
 def node_table(nodes: DataFrame, node_type: str) -> DataFrame:
@@ -152,7 +161,7 @@ _LISTED = r"\$\.feature_sets\[\]"
 _TARGETS = r"\$\.strata\[\]\.targets(?:\[\])?"
 _SET = r"\$\.strata\[\](?:\.targets(?:\[\])?)?\.fs|\$\.stages\[\]\.(?:feature_set\.features|fs)"
 _FEATURE = rf"(?:{_SET}|{_LISTED})\[\](?:\.input)?"
-_TYPES = rf"{_STRATUM}(?:\.stage|\.target)?|{_STAGE}(?:\.stage|\.target)?|{_LISTED}|{_TARGETS}(?:\.target|\.stage)?|{_FEATURE}|\$|\$\[\](?:\.target|\.rank)?"
+_TYPES = rf"{_STRATUM}(?:\.stage|\.target)?|{_STAGE}(?:\.stage|\.target)?|{_LISTED}|{_TARGETS}(?:\.target|\.stage)?|{_FEATURE}"
 
 
 def learning_features(results: DataFrame) -> DataFrame:
@@ -167,9 +176,7 @@ def learning_features(results: DataFrame) -> DataFrame:
     # tells different records of one result apart, and rows that repeat share their key
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     records = records.withColumn("rk", F.concat_ws(":", text("result_id"), text("nout"), F.xxhash64("target_order", "extra")))
-    nodes = label(records, ["extra", "target_order"], types=_TYPES)
-
-    extra = inside(nodes.where("doc = 'extra'"), {"stage": rf"{_STRATUM}|{_STAGE}|{_LISTED}", "holder": rf"{_TARGETS}|{_STAGE}"})
+    extra = inside(label(records, ["extra"], types=_TYPES), {"stage": rf"{_STRATUM}|{_STAGE}|{_LISTED}", "holder": rf"{_TARGETS}|{_STAGE}"})
     held = Window.partitionBy("rk", "doc", F.col("stage.pre"))
     beside = Window.partitionBy("rk", "doc", F.col("holder.pre"))
     is_type = lambda t: F.col("type").rlike(rf"\A(?:{t})\z")
@@ -183,21 +190,18 @@ def learning_features(results: DataFrame) -> DataFrame:
     )
     features = features.where("feature is not null and stage_no is not null").distinct()
 
-    orders = inside(nodes.where("doc = 'target_order'"), {"entry": r"\$\[\]"})
-    entry = orders.where("entry is not null").groupBy("rk", F.col("entry.place").alias("place")).agg(
-        F.max(F.when((F.col("type") == "$[].target") | ((F.col("type") == "$[]") & F.col("kind").isin("number", "string")), whole)).alias("target"), F.max(F.when(F.col("type") == "$[].rank", whole)).alias("rank")
-    )
-    entry = entry.select(F.col("rk").alias("e_rk"), F.coalesce("rank", F.col("place").cast("bigint")).alias("e_stage"), F.col("target").alias("e_target")).where("e_target is not null")
-    word = nodes.where("doc = 'target_order' and type = '$' and kind = 'string'").select(F.col("rk").alias("w_rk"), F.lower(F.btrim("value")).alias("word"))
-
-    known = features.where("target is not null")
-    unknown = features.where("target is null").drop("target")
-    unknown = unknown.join(entry, (unknown["rk"] == entry["e_rk"]) & (unknown["stage_no"] == entry["e_stage"]), "left").join(word, unknown["rk"] == word["w_rk"], "left")
-    unknown = unknown.select("rk", "stage_no", "e_target", "word", "feature")
-    named = known.withColumns({"e_target": F.col("target"), "word": F.lit(None).cast("string")}).drop("target").unionByName(unknown)
+    ordered = label(records, ["target_order"], types=r"\$|\$\[\](?:\.target|\.rank)?")
+    entries = inside(ordered, {"entry": r"\$\[\]"}).where("entry is not null or (type = '$' and kind = 'string')")
+    entry = entries.groupBy("rk", F.col("entry.place").alias("place")).agg(
+        F.max(F.when((F.col("type") == "$[].target") | ((F.col("type") == "$[]") & F.col("kind").isin("number", "string")), whole)).alias("target"), F.max(F.when(F.col("type") == "$[].rank", whole)).alias("rank"),
+        F.max(F.when(F.col("type") == "$", F.lower(F.btrim("value")))).alias("word"),
+    )
+    # one row per stage named by the order; words such as lsb hold for every stage
+    entry = entry.select(F.col("rk").alias("e_rk"), F.coalesce("rank", F.col("place").cast("bigint")).alias("e_stage"), F.col("target").alias("e_target"), "word").where("e_target is not null or word is not null")
+    asks = F.col("target").isNull() & (F.col("rk") == F.col("e_rk")) & (F.col("word").isNotNull() | (F.col("stage_no") == F.col("e_stage")))
     part = lambda i: F.split_part("rk", F.lit(":"), F.lit(i)).try_cast("bigint")
-    named = named.withColumns({"result_id": part(1), "nout": part(2)})
+    named = features.join(entry, asks, "left").withColumns({"result_id": part(1), "nout": part(2)})
     in_range = (F.col("stage_no") >= 0) & (F.col("stage_no") < F.col("nout"))
     by_word = F.when((F.col("word") == "lsb") & in_range, F.col("stage_no")).when((F.col("word") == "msb") & in_range, F.col("nout") - 1 - F.col("stage_no"))
-    flat = named.select("result_id", F.col("stage_no").cast("int").alias("stage_no"), F.coalesce("e_target", by_word).cast("int").alias("target"), "feature")
+    flat = named.select("result_id", F.col("stage_no").cast("int").alias("stage_no"), F.coalesce("target", "e_target", by_word).cast("int").alias("target"), "feature")
     return flat.where("target is not null").distinct()
