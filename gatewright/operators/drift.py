@@ -24,7 +24,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +47,16 @@ def _not_json(text: str) -> None:
     raise ValueError(text)
 
 
-def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_KEY = pa.schema([("file_id", pa.int64()), ("field", pa.string()), ("type", pa.string())])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(file, key, type) of a partition's lines, each triple once per batch."""
     # len stands for int: only the type matters, and a whole number may have any number of digits
     decoder = json.JSONDecoder(parse_constant=_not_json, parse_int=len)
     for batch in batches:
         found: dict[tuple[int, str, str], None] = {}
-        for file_id, line in zip(batch.iloc[:, 0].tolist(), batch.iloc[:, 1].tolist(), strict=True):
+        for file_id, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             try:
                 record = decoder.decode(line)
             except (ValueError, TypeError, RecursionError):
@@ -61,13 +64,14 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if type(record) is dict:
                 for key, value in record.items():
                     found[file_id, key.encode("utf-8", "replace").decode(), json_type(value) or ""] = None
-        yield pd.DataFrame(list(found), columns=["file_id", "field", "type"]).astype({"file_id": "int64"})
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        yield pa.record_batch([pa.array(v, f.type) for v, f in zip(columns, _KEY, strict=True)], schema=_KEY)
 
 
 def file_schemas(lines: DataFrame, *, file_col: str = "log_file_id", line_col: str = "line") -> DataFrame:
     """(file_id, fields map<key, types joined by |>, fingerprint) of every file that has lines."""
     narrow = lines.select(F.col(f"`{file_col}`").cast("bigint").alias("file_id"), F.col(f"`{line_col}`").alias("line"))
-    keys = narrow.where("file_id is not null").mapInPandas(_keys, "file_id bigint, field string, type string")
+    keys = narrow.where("file_id is not null").mapInArrow(_keys, "file_id bigint, field string, type string")
     per_file = keys.groupBy("file_id").agg(F.collect_set(F.struct("field", "type")).alias("pairs"))
     names = F.array_sort(F.array_distinct(F.col("pairs.field")))
     types = lambda name: F.array_join(F.array_sort(F.transform(F.filter("pairs", lambda p: (p["field"] == name) & (p["type"] != "")), lambda p: p["type"])), "|")
