@@ -60,7 +60,7 @@ def token_counter(path: str = TOKENIZER, pattern: str = PATTERN):
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in texts:
             # lone surrogates can't be encoded
-            yield pd.Series([len(encoding.encode_ordinary(t.encode("utf-8", "replace").decode())) if t else 0 for t in batch], dtype="int64")
+            yield pd.Series([len(encoding.encode_ordinary(t.encode("utf-8", "replace").decode())) if isinstance(t, str) else 0 for t in batch], dtype="int64")
 
     return count
 

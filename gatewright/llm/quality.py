@@ -146,7 +146,7 @@ def _reader(common: frozenset[str]):
     @F.pandas_udf("words bigint, running bigint, common bigint")
     def read(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.DataFrame([sentence_words(t, common) if t else (0, 0, 0) for t in batch], columns=["words", "running", "common"], dtype="int64")
+            yield pd.DataFrame([sentence_words(t, common) if isinstance(t, str) else (0, 0, 0) for t in batch], columns=["words", "running", "common"], dtype="int64")
 
     return read
 
