@@ -20,6 +20,7 @@ from gatewright.plans import experiment
 from gatewright.search.optimisers import geometric, late_acceptance
 from gatewright.session import table
 from gatewright.sources import tables, truth_tables
+from gatewright.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -189,6 +190,15 @@ def lineitem_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("ne", F.round("err", 9).alias("err"), F.round("cor", 9).alias("cor"))
 
 
+@query("quality_by_day", f"""with {_ERRORS} select date_trunc('day', ts) as start, count(*) as ne, round(avg(e0 + e1 + e2) / 3, 9) as err, round(1 - avg(greatest(e0, e1, e2)), 9) as cor
+    from er join events on id = event_id group by 1""")
+def quality_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    """What the streaming monitor gives, over the whole table."""
+    timed = tables.events(spark, sf).join(table(spark, sf, "events").select(F.col("event_id").alias("id"), "ts"), "id")
+    got = monitor.network_quality(timed, NET, at="ts", window="1 day")
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "ne", F.round("err", 9).alias("err"), F.round("cor", 9).alias("cor"))
+
+
 # operators and example sources
 
 
@@ -381,7 +391,17 @@ def networks_gate_table(spark: SparkSession, sf: str) -> DataFrame:
     return graphs.gate_table(table(spark, sf, "networks"))
 
 
-@query("networks_operator_errors")
+_NET_VALUE = " ".join(f"when '{o}' then " + {"zero": "0", "not": "xor(x, top)", "unary_and": "(x = top)::int", "unary_or": "(x <> 0)::int", "and": "a & b", "or": "a | b", "xor": "xor(a, b)", "add": "a + b", "sub": "(a - b + top + 1) % (top + 1)", "mul": "a * b"}[o] for o in operands.OPERATORS)
+
+
+@query("networks_operator_errors", f"""with recursive known as (
+        select net_id, ni, nout, gates, target_function as f, (case when target_function in {operands.UNARY} then ni else ni // 2 end)::bigint as nb from networks
+        where target_function in {operands.OPERATORS} and (target_function in {operands.UNARY} or ni % 2 = 0)),
+    ev as (select net_id, gates, x, 0 as g, list_transform(range(ni), lambda i: (x >> i & 1)::int) as act from known, lateral (select unnest(range((1::bigint << ni)::bigint)) as x)
+        union all select net_id, gates, x, g + 1, list_append(act, (gates[g + 1].tf >> (2 * act[gates[g + 1].src1 + 1] + act[gates[g + 1].src2 + 1])) & 1) from ev where g < len(gates)),
+    want as (select net_id, x, nout, ni, case f {_NET_VALUE} end as v from (select net_id, f, nout, ni, x, (1::bigint << nb) - 1 as top, x >> nb as a, x & ((1::bigint << nb) - 1) as b from known, lateral (select unnest(range((1::bigint << ni)::bigint)) as x)))
+    select net_id, r::int as r, count(*) as ne, count(*) filter (act[len(act) - nout + r + 1] <> (v >> r & 1)) as errors
+    from ev join want using (net_id, x), lateral (select unnest(range(nout::bigint)) as r) where g = len(gates) group by net_id, r""")
 def networks_operator_errors(spark: SparkSession, sf: str) -> DataFrame:
     return graphs.operator_errors(table(spark, sf, "networks"))
 

@@ -299,3 +299,20 @@ def run_new(task_table: DataFrame, folder: str, datasets: Mapping[str, tuple[np.
 
 def with_config(results: DataFrame, task_table: DataFrame) -> DataFrame:
     return results.join(task_table.select("task_id", F.col("config")), "task_id")
+
+
+def named_arrays(spark: SparkSession, task_table: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The example files that the tasks name, as 0/1 arrays; learning data are small enough for one task each."""
+    from gatewright.sources.files import read_examples, read_npz, signals
+
+    paths = set()
+    for (text,) in task_table.select("config").distinct().collect():
+        data = json.loads(text)["data"]
+        paths |= {data[k] for k in ("path", "training_path", "test_path") if k in data}
+    out = {}
+    for path in paths:
+        df = read_npz(spark, path) if path.endswith(".npz") else read_examples(spark, path)
+        x, y = signals(df)
+        held = df.orderBy("id").select(*x, *y).toPandas().to_numpy(dtype=np.uint8).T
+        out[path] = held[: len(x)], held[len(x) :]
+    return out

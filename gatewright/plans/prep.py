@@ -73,8 +73,61 @@ _SIGNALS = ", ".join([*(f"x{i}" for i in range(8)), *(f"y{i}" for i in range(4))
 _MESSAGES = r"select *, nullif(lower(trim(id, e' \t\r\n')), '') as nid from result_messages"
 _RANKED = f"select *, row_number() over (partition by nid order by received_at, delivery_id) as rn from ({_MESSAGES}) where nid is not null"
 _FIELD = r'(?: *"(?:[^"]|"")*" *|[^",]*)'
+_PARSED = f"""r as (select raw_id, line, ni, 1 + ni + nout + 2 as n, ni + nout as s from raw_rows join datasets using (dataset_id)),
+        q as (select *, regexp_full_match(line, '{_FIELD}(?:,{_FIELD})*', 's') as quoted from r),
+        v as (select *, case when quoted then list_transform(regexp_extract_all(',' || line, ',({_FIELD})', 1, 's'), lambda w: trim(w, ' ')) end as w from q),
+        b as (select *, list_transform(w, lambda t: case when t[1] = '"' then replace(t[2:-2], '""', '"') else t end) as u from v),
+        c as (select *, u[1] as id, u[n] as d from b),
+        judged as (select *, case
+                when not quoted then 'quoting'
+                when len(u) <> n then 'columns'
+                when not regexp_full_match(id, '[0-9]+') or coalesce(try_cast(id as hugeint), 9223372036854775808) > 9223372036854775807 then 'value'
+                when len(list_filter(u[2:s + 1], lambda t: t <> '0' and t <> '1')) > 0 then 'value'
+                when d <> '' and not (regexp_full_match(d, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') and try_cast(d as date) is not null) then 'value'
+            end as reason from c)"""
 
 SQL: dict[str, str] = {
+    "p1_found": """
+        with recursive rec as (select log_file_id, unnest(json_keys(line)) as k, line from record_lines),
+        vals as (select log_file_id, k, json_extract(line, '$."' || k || '"') as v from rec),
+        -- types of values; lists are opened level by level, their types put together from the inside
+        leaf as (select log_file_id, k, v, json_type(v) as jt from vals),
+        named as (select log_file_id, k, case
+            when jt in ('UBIGINT', 'BIGINT', 'HUGEINT') then 'integer' when jt = 'DOUBLE' then 'decimal' when jt = 'VARCHAR' then 'string' when jt = 'BOOLEAN' then 'boolean' when jt = 'OBJECT' then 'object'
+            when jt = 'ARRAY' then 'array<' || coalesce((select string_agg(distinct case json_type(u) when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'HUGEINT' then 'integer' when 'DOUBLE' then 'decimal' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' end, ',' order by 1) from (select unnest(json_extract(v, '$[*]')) as u)), '') || '>' end as t from leaf),
+        fields as (select log_file_id, k, coalesce(string_agg(distinct t, '|' order by t), '') as ty from named group by all),
+        ordered as (select log_file_id, stream_id, lag(log_file_id) over (partition by stream_id order by seq, log_file_id) as prev from record_files),
+        pairs as (select o.log_file_id, f.k, f.ty as new, null::varchar as old from ordered o join fields f using (log_file_id) where prev is not null union all select o.log_file_id, f.k, null, f.ty from ordered o join fields f on f.log_file_id = o.prev),
+        sides as (select log_file_id, k, max(new) as new, max(old) as old from pairs group by all),
+        gone as (select *, count(*) over (partition by log_file_id, old) as n from sides where new is null),
+        came as (select *, count(*) over (partition by log_file_id, new) as n from sides where old is null),
+        ren as (select g.log_file_id, g.k as field, c.k as to_field from gone g join came c on g.log_file_id = c.log_file_id and g.old = c.new and g.n = 1 and c.n = 1)
+        select log_file_id, k as field, 'retyped' as change from sides where new <> old
+        union all select log_file_id, field, 'renamed' from ren
+        union all select log_file_id, k, 'removed' from gone where (log_file_id, k) not in (select (log_file_id, field) from ren)
+        union all select log_file_id, k, 'added' from came where (log_file_id, k) not in (select (log_file_id, to_field) from ren)""",
+    "p3_found": """
+        with recursive raw as (select distinct result_id, nout, target_order, extra from results where extra is not null),
+        un as (select result_id, nout, target_order, extra::json as e from raw
+            union all select result_id, nout, target_order, case when json_type(e) = 'VARCHAR' then (e ->> '$')::json else json_extract(e, '$.extra') end from un
+            where json_type(e) = 'VARCHAR' or (json_type(e) = 'OBJECT' and json_exists(e, '$.extra'))),
+        doc as (select * from un where json_type(e) = 'OBJECT' and not json_exists(e, '$.extra')),
+        sets as (
+            select result_id, nout, target_order, i::bigint as stage, null::bigint as target, json_extract(e, '$.feature_sets[' || i || ']') as fs
+            from doc, lateral (select unnest(range(json_array_length(e, '$.feature_sets')::bigint)) as i)
+            union all
+            select result_id, nout, target_order, coalesce((s ->> '$.stage')::bigint, i), (t ->> '$.target')::bigint, json_extract(t, '$.fs')
+            from (select *, json_extract(e, '$.strata[' || i || ']') as s from doc, lateral (select unnest(range(json_array_length(e, '$.strata')::bigint)) as i)),
+                lateral (select unnest(case when json_type(s, '$.targets') = 'ARRAY' then json_extract(s, '$.targets[*]') else [json_extract(s, '$.targets')] end) as t)
+            union all
+            select result_id, nout, target_order, coalesce((s ->> '$.stage')::bigint, i), (s ->> '$.target')::bigint, json_extract(s, '$.feature_set.features')
+            from (select *, json_extract(e, '$.stages[' || i || ']') as s from doc, lateral (select unnest(range(json_array_length(e, '$.stages')::bigint)) as i))),
+        feats as (select * exclude (fs, f), case json_type(f) when 'OBJECT' then (f ->> '$.input') else (f ->> '$') end as f from (select *, unnest(json_extract(fs, '$[*]')) as f from sets)),
+        ord as (select distinct target_order, coalesce((o ->> '$.rank')::bigint, i) as stage, case json_type(o) when 'OBJECT' then (o ->> '$.target') else (o ->> '$') end::bigint as t
+            from (select distinct target_order, i, json_extract(target_order, '$[' || i || ']') as o from (select distinct target_order from raw where target_order like '[%'), lateral (select unnest(range(json_array_length(target_order)::bigint)) as i)))
+        select distinct result_id, stage::int as stage_no, coalesce(target, t, case when stage >= 0 and stage < nout then case target_order when 'lsb' then stage when 'msb' then nout - 1 - stage end end)::int as target, ltrim(f, 'x')::int as feature
+        from feats left join ord using (target_order, stage)
+        where coalesce(target, t, case when stage < nout then case target_order when 'lsb' then stage when 'msb' then nout - 1 - stage end end) is not null and f is not null""",
     "p2_found": f"""
         with whens as (select file_id, written_at from small_files), first as (
             select e.dataset_id, e.id, {_SIGNALS}, min(row(f.written_at, f.file_id)) as place
@@ -83,19 +136,11 @@ SQL: dict[str, str] = {
         select file_id from small_files where file_id not in (select file_id from adding)""",
     "p2_records": f"select distinct dataset_id, id, {_SIGNALS} from examples",
     "p5_found": f"""
-        with r as (select raw_id, line, 1 + ni + nout + 2 as n, ni + nout as s from raw_rows join datasets using (dataset_id)),
-        q as (select *, regexp_full_match(line, '{_FIELD}(?:,{_FIELD})*', 's') as quoted from r),
-        v as (select *, case when quoted then list_transform(regexp_extract_all(',' || line, ',({_FIELD})', 1, 's'), lambda w: trim(w, ' ')) end as w from q),
-        b as (select *, list_transform(w, lambda t: case when t[1] = '"' then replace(t[2:-2], '""', '"') else t end) as u from v),
-        c as (select *, u[1] as id, u[n] as d from b)
-        select raw_id, reason from (
-            select raw_id, case
-                when not quoted then 'quoting'
-                when len(u) <> n then 'columns'
-                when not regexp_full_match(id, '[0-9]+') or coalesce(try_cast(id as hugeint), 9223372036854775808) > 9223372036854775807 then 'value'
-                when len(list_filter(u[2:s + 1], lambda t: t <> '0' and t <> '1')) > 0 then 'value'
-                when d <> '' and not (regexp_full_match(d, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') and try_cast(d as date) is not null) then 'value'
-            end as reason from c) where reason is not null""",
+        with {_PARSED}
+        select raw_id, reason from judged where reason is not null""",
+    "p5_loaded": f"""
+        with {_PARSED}
+        select raw_id, id::bigint as id, array_to_string(u[2:ni + 1], '') as x, array_to_string(u[ni + 2:s + 1], '') as y, u[n - 1] as label, nullif(d, '') as day from judged where reason is null""",
     "p6_found": f"select delivery_id from ({_RANKED}) where rn > 1",
     "p6_kept": f"select delivery_id, id, batch_id, worker, body from result_messages where delivery_id not in (select delivery_id from ({_RANKED}) where rn > 1)",
 }

@@ -1 +1 @@
-
+"""Streams of examples and results."""
