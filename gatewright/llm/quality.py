@@ -51,6 +51,8 @@ _BARS = re.compile(r"\s[|;¦»·›]\s")
 _GAPS = re.compile(r"\t+| {2,}")
 _CELL = re.compile(r"(?:[-+]?\d[\d.,:]*\s?%?|—|-|n/a|yes|no)\Z")
 _CODE = re.compile(r"[{}\[\]<>=_\\|~^$@#]|\d\d:\d\d:\d\d|https?:|\w\(|\);")
+# a word marked up: *word*, [word], ~word~, «word»
+_MARKED = re.compile(r"[*\[~«_]+(\w[\w'’-]*[.,;:!?]?)[*\]~»_]+")
 _END = re.compile(r"[.!?:;…][\"”»)']*\Z")
 _STOP = re.compile(r"[.!?:…][\"”»)']*\Z")
 _SENTENCE = re.compile(r"[^.!?:…]+(?:[.!?:…]+(?!\w)[\"”»)']*|[.:](?=\w)[^.!?:…]*)*")
@@ -89,6 +91,8 @@ def paragraphs(text: str, common: frozenset[str]) -> Iterator[str]:
         quoted = _QUOTE.match(raw)
         line = raw[quoted.end() :] if quoted else raw
         bare = line.strip()
+        if "*" in bare or "[" in bare or "~" in bare or "_" in bare:
+            bare = _MARKED.sub(r"\1", bare)
         if not bare or _BULLET.match(line) or _is_row(bare, common) or len(_CODE.findall(bare)) > max(1, len(bare) // 40) or _is_encoded(bare):
             if held:
                 yield " ".join(held)
