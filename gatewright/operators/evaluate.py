@@ -58,12 +58,15 @@ def evaluate_bits(gates: Sequence[tuple[int, int, int]], ni: int, x: np.ndarray)
     return act
 
 
+# transfer functions 0 to 7 on bool or unsigned vectors; the others are complements
+_VECTOR = [
+    lambda x, y: np.zeros_like(x), lambda x, y: ~(x | y), lambda x, y: ~x & y, lambda x, y: ~x,
+    lambda x, y: x & ~y, lambda x, y: ~y, lambda x, y: x ^ y, lambda x, y: ~(x & y),
+]
+
+
 def vector_gate(k: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A transfer function on bool or unsigned vectors; complements are those of the other half of the table."""
-    if k > 7:
-        return ~vector_gate(15 - k, x, y)
-    low = {0: lambda: np.zeros_like(x), 1: lambda: ~(x | y), 2: lambda: ~x & y, 3: lambda: ~x, 4: lambda: x & ~y, 5: lambda: ~y, 6: lambda: x ^ y, 7: lambda: ~(x & y)}
-    return low[k]()
+    return _VECTOR[k](x, y) if k < 8 else ~_VECTOR[15 - k](x, y)
 
 
 def _vectors(df: DataFrame, network: Network, inputs: Sequence[str] | None, prefix: str) -> DataFrame:

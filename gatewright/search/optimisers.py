@@ -76,7 +76,7 @@ class Optimiser:
         # a perfect network has the value 0 of this function, so its optimum of 1 is never met
         best = 0.0 if name == "e6_mcc" and self.limit is None else optimum(name) if self.limit is None else self.limit
         if name == "e6_mcc" and self.limit is None:
-            return not state.errors().any()
+            return not any(state.errors())
         now = cost if name == self.guiding else self.cost(state, name)
         return now <= (best if is_minimiser(name) else -best)
 

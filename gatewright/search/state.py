@@ -1,25 +1,34 @@
 """A network bound to a small example table, bit-sliced, for search inside a task.
 
-Signals are rows of unsigned 64-bit words, 64 examples a word. A move re-evaluates only
-the gates from the lowest changed one on.
+Every signal is one whole number whose bit i is its value for example i: a gate is one or
+two operations on whole numbers, whatever the number of examples, and counting ones is
+``int.bit_count``. A move re-evaluates only the gates from the lowest changed one on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
 from gatewright.model.network import Move, Network
-from gatewright.operators.evaluate import vector_gate
 
+#: Transfer function k on signals x and y, with all ones in m.
+GATES: list[Callable[[int, int, int], int]] = [
+    lambda x, y, m: 0, lambda x, y, m: m ^ (x | y), lambda x, y, m: y & (m ^ x), lambda x, y, m: m ^ x, lambda x, y, m: x & (m ^ y), lambda x, y, m: m ^ y, lambda x, y, m: x ^ y, lambda x, y, m: m ^ (x & y),
+    lambda x, y, m: x & y, lambda x, y, m: m ^ x ^ y, lambda x, y, m: y, lambda x, y, m: (m ^ x) | y, lambda x, y, m: x, lambda x, y, m: x | (m ^ y), lambda x, y, m: x | y, lambda x, y, m: m,
+]
 
-def pack_rows(bits: np.ndarray) -> np.ndarray:
-    """Rows of 0/1 as rows of words, lowest bit first, padded with zeros."""
-    n, ne = bits.shape
-    padded = np.zeros((n, -(-ne // 64) * 64), dtype=np.uint8)
-    padded[:, :ne] = bits
-    return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
+
+def pack_rows(bits: np.ndarray) -> list[int]:
+    """Rows of 0/1 as whole numbers, the first example in the lowest bit."""
+    return [int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little") for row in np.asarray(bits, dtype=np.uint8)]
+
+
+def unpack_rows(signals: Sequence[int], ne: int) -> np.ndarray:
+    n = -(-ne // 8)
+    raw = np.frombuffer(b"".join(s.to_bytes(n, "little") for s in signals), dtype=np.uint8).reshape(len(signals), n)
+    return np.unpackbits(raw, axis=1, bitorder="little")[:, :ne]
 
 
 class State:
@@ -28,10 +37,8 @@ class State:
         if x.shape[0] != network.ni or y.shape[0] != network.no or x.shape[1] != y.shape[1]:
             raise ValueError("inputs, outputs and examples don't fit the network")
         self.ne, self.ni, self.no, self.ng = x.shape[1], network.ni, network.no, network.ng
-        self.target = pack_rows(y)
-        self.tail = pack_rows(np.ones((1, self.ne), dtype=np.uint8))[0]
-        self.act = np.zeros((self.ni + self.ng, self.target.shape[1]), dtype=np.uint64)
-        self.act[: self.ni] = pack_rows(x)
+        self.target, self.ones = pack_rows(y), (1 << self.ne) - 1
+        self.act = pack_rows(x) + [0] * self.ng
         self._past: list[tuple[int, tuple]] = []
         self.set_network(network)
 
@@ -70,7 +77,8 @@ class State:
             for g in range(self.ng - 1, -1, -1):
                 if reached[self.ni + g]:
                     live.append(g)
-                    reached[self.gates[g][0]] = reached[self.gates[g][1]] = True
+                    a, b, _ = self.gates[g]
+                    reached[a] = reached[b] = True
             self._live = live
         g, terminal = self._live[int(rng.integers(len(self._live)))], int(rng.integers(2))
         n, old = self.ni + min(g, self.ng - self.no), self.gates[g][terminal]
@@ -83,74 +91,89 @@ class State:
             new += new >= old
         self.apply(Move(g, terminal, new))
 
-    def errors(self) -> np.ndarray:
-        """The packed error matrix, evaluated from the lowest changed gate on."""
+    def errors(self) -> list[int]:
+        """The error signals of the outputs, evaluated from the lowest changed gate on."""
+        act, m, ni, table = self.act, self.ones, self.ni, GATES
         for g in range(self._dirty, self.ng):
             a, b, k = self.gates[g]
-            self.act[self.ni + g] = vector_gate(k, self.act[a], self.act[b])
+            act[ni + g] = table[k](act[a], act[b], m)
         self._dirty = self.ng
-        return (self.act[-self.no :] ^ self.target) & self.tail
+        return [o ^ t for o, t in zip(act[-self.no :], self.target, strict=True)]
 
     def activation(self) -> np.ndarray:
         """All signals as 0/1, one row per source."""
         self.errors()
-        return np.unpackbits(np.ascontiguousarray(self.act).view(np.uint8), axis=1, bitorder="little")[:, : self.ne]
+        return unpack_rows(self.act, self.ne)
 
 
-def metric(name: str, errors: np.ndarray, target: np.ndarray, ne: int, *, weights: Sequence[float] | None = None, dependencies: Sequence[Sequence[int]] | None = None, threshold: float = 0.0) -> float | np.ndarray:
-    """A function of packed error and target rows."""
+def _or(signals: Sequence[int]) -> int:
+    out = 0
+    for s in signals:
+        out |= s
+    return out
+
+
+def metric(name: str, errors: Sequence[int], target: Sequence[int], ne: int, *, weights: Sequence[float] | None = None, dependencies: Sequence[Sequence[int]] | None = None, threshold: float = 0.0) -> float | np.ndarray:
+    """A function of error and target signals."""
     no = len(errors)
-    count = lambda rows: np.bitwise_count(rows).sum(axis=-1).astype(float)
-    c = count(errors)
-    mean = c / ne
-    given = np.arange(no, 0, -1.0) if weights is None else np.asarray(weights, dtype=float)
-    given = given / given.sum()
+    cells = no * ne
+    c = [e.bit_count() for e in errors]
     if name == "e1":
-        return float(c.sum() / (no * ne))
-    if name == "e2":
-        return float(given @ mean)
-    if name == "e3":
-        return float(count(np.bitwise_or.accumulate(errors, axis=0)).sum() / (no * ne))
+        return sum(c) / cells
+    if name in ("e3", "e4"):
+        total, so_far = 0, 0
+        for e in errors:
+            so_far = so_far | e if name == "e3" else max(so_far, _flood(e, ne))
+            total += so_far.bit_count() if name == "e3" else so_far
+        return total / cells
     if name == "e3_general":
-        own = [np.bitwise_or.reduce(errors[[r, *deps]], axis=0) for r, deps in enumerate(dependencies or [])]
-        return float(count(np.array(own)).sum() / (no * ne))
+        return sum(_or([errors[r], *(errors[d] for d in deps)]).bit_count() for r, deps in enumerate(dependencies or [])) / cells
     if name == "correctness":
-        return float(1 - count(np.bitwise_or.reduce(errors, axis=0)) / ne)
-    if name == "per_output_error":
-        return mean
-    first = next((r for r in range(no) if c[r] > 0), None)
-    if name in ("e4", "e5"):
-        bits = np.unpackbits(np.ascontiguousarray(errors).view(np.uint8), axis=1, bitorder="little")[:, :ne]
-        flood = np.where(bits.any(axis=1), ne - bits.argmax(axis=1), 0).astype(float)
-        if name == "e4":
-            return float(np.maximum.accumulate(flood).sum() / (no * ne))
-        return 0.0 if first is None else float((ne * (no - first - 1) + flood[first]) / (no * ne))
-    if name == "e6":
-        return 0.0 if first is None else float((ne * (no - first - 1) + c[first]) / (no * ne))
+        return 1 - _or(errors).bit_count() / ne
+    first = next((r for r in range(no) if c[r]), None)
+    if name in ("e5", "e6"):
+        return 0.0 if first is None else (ne * (no - first - 1) + (_flood(errors[first], ne) if name == "e5" else c[first])) / cells
     if name == "e7":
         return 0.0 if first is None else (no - first) / no
+    mean = [n / ne for n in c]
+    if name == "per_output_error":
+        return np.array(mean)
     if name == "e6_thresholded":
-        over = np.concatenate([[False], np.logical_or.accumulate(mean > threshold)[:-1]])
-        return float(np.where(over, 1.0, mean).mean())
+        total, over = 0.0, False
+        for share in mean:
+            total += 1.0 if over else share
+            over = over or share > threshold
+        return total / no
     if name == "e6_general":
-        return float(np.mean([1.0 if any(mean[d] > threshold for d in deps) else mean[r] for r, deps in enumerate(dependencies or [])]))
-    mcc = np.array([_mcc(ne, c[r], float(count(target[r])), float(count(errors[r] & target[r]))) for r in range(no)])
+        return sum(1.0 if any(mean[d] > threshold for d in deps) else mean[r] for r, deps in enumerate(dependencies or [])) / no
+    given = list(range(no, 0, -1)) if weights is None else list(weights)
+    if name == "e2":
+        return sum(w * share for w, share in zip(given, mean, strict=True)) / sum(given)
+    if name == "e6_mcc" and first is None:
+        return 0.0
+    wanted = [first] if name == "e6_mcc" else range(no)
+    mcc = [_mcc(ne, c[r], target[r].bit_count(), (errors[r] & target[r]).bit_count()) for r in wanted]
     if name == "per_output_mcc":
-        return mcc
+        return np.array(mcc)
     if name == "macro_mcc":
-        return float(mcc.mean())
+        return sum(mcc) / no
     if name == "e2_mcc":
-        return float(given @ mcc)
+        return sum(w * v for w, v in zip(given, mcc, strict=True)) / sum(given)
     if name == "e6_mcc":
-        return 0.0 if first is None else float((mcc[first] - (no - first - 1)) / no)
+        return (mcc[0] - (no - first - 1)) / no
     raise ValueError(f"unknown function {name!r}")
 
 
-def _mcc(ne: int, c: float, p: float, fn: float) -> float:
+def _flood(e: int, ne: int) -> int:
+    """Examples from the first error to the last example."""
+    return ne - ((e & -e).bit_length() - 1) if e else 0
+
+
+def _mcc(ne: int, c: int, p: int, fn: int) -> float:
     tp, fp = p - fn, c - fn
     tn = ne - p - fp
     if p in (0, ne):
         return 2 * (ne - c) / ne - 1
     if tp + fp == 0 or tn + fn == 0:
         return 0.0
-    return (tp * tn - fp * fn) / (np.sqrt((tp + fp) * (tp + fn)) * np.sqrt((tn + fp) * (tn + fn)))
+    return (tp * tn - fp * fn) / ((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ** 0.5
