@@ -514,10 +514,10 @@ def pairwise_labels(spark: SparkSession, sf: str) -> DataFrame:
 EXPERIMENT = {
     "name": "adders", "seed": 11,
     "base_config": {
-        "data": {"type": "generated", "operator": "add", "Nb": 2, "No": 3}, "sampling": {"Ns": 2, "Ne": 12},
+        "data": {"type": "generated", "operator": "add", "bits": 2, "out_width": 3}, "sampling": {"type": "generated", "Ns": 2, "Ne": 12, "seed": "shared"},
         "learner": {"name": "split", "network_params": {"Ng": "8n", "node_funcs": [7]}, "target_order": "lsb"},
         "optimiser": {"name": "LAHC", "guiding_function": "e1", "cost_list_length": 20, "max_iterations": 300}, "notes": "query",
-        "log_keys": [["{}_size", ["(sampling)", "(Ne)"]]],
+        "log_keys": [["{}_size", True, ["(sampling)", "(Ne)"]]],
     },
     "product": [
         [{"learner": {"name": "monolithic"}, "optimiser": {"guiding_function": "e3"}}, {"learner": {"name": "classifierchain", "target_order": "auto"}}, {"learner": {"name": "stratified", "target_order": "auto"}}],
@@ -567,7 +567,9 @@ def learn_tasks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _optimiser_run(name: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        one = {**EXPERIMENT, "product": [[{"optimiser": {"name": name, "max_restarts": 1}}], [{"learner": {"name": "split"}}]]}
+        extra = {"SA": {"num_temps": 10, "steps_per_temp": 30, "init_temp": 0.1, "temp_rate": 0.7}, "HC": {"max_iterations": 300}, "LAHC": {"max_iterations": "100n", "cost_list_length": 20}}[name]
+        base = {**EXPERIMENT["base_config"], "optimiser": {"name": name, "guiding_function": "e1", "max_restarts": 1, **extra}}
+        one = {"name": "runs", "seed": 11, "base_config": base}
         return experiment.run(experiment.tasks(spark, one)).select("config_num", "training_set_number", "learner", "ng", "trg_err", "test_err")
 
     return run
@@ -579,13 +581,15 @@ for _name in ("HC", "LAHC", "SA"):
 
 def _learner_run(name: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        one = {**EXPERIMENT, "product": [[{"learner": {"name": name, "target_order": "auto"}}], [{"data": {"add_noise": 0.1}}]]}
+        learner = {"sublearner": "classifierchain", "curricula_method": "CEbCC"} if name == "wrapper" else {"target_order": "auto"}
+        base = {**EXPERIMENT["base_config"], "learner": {"name": name, "network_params": {"Ng": "8n", "node_funcs": [7]}, **learner}}
+        one = {"name": "learners", "seed": 11, "base_config": base, "list": [{"data": {"add_noise": 0.1}}]}
         return experiment.run(experiment.tasks(spark, one)).select("config_num", "training_set_number", "learner", "nout", "ng", "actual_noise", "trg_err", "trg_mccs", "test_err", "target_order")
 
     return run
 
 
-for _name in ("split", "classifierchain", "classifierchain_plus", "ecc_member", "stratified", "stratmultipar", "apriori"):
+for _name in ("split", "classifierchain", "classifierchain_plus", "ecc_member", "stratified", "stratmultipar", "wrapper"):
     query(f"learner_{_name}")(_learner_run(_name))
 
 

@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
+import math
 import re
 import time
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from copy import deepcopy
 from itertools import product
 from pathlib import Path
@@ -50,12 +52,14 @@ def merged(base: Mapping, *overrides: Mapping) -> dict:
 
 
 def configurations(experiment: Mapping) -> list[dict]:
-    """The configurations of an experiment in order, each checked."""
-    if ("list" in experiment) == ("product" in experiment):
-        raise ValueError("an experiment has either 'list' or 'product'")
-    variants = [(v,) for v in experiment["list"]] if "list" in experiment else list(product(*experiment["product"]))
-    base = experiment.get("base_config", {})
-    return [check(merged(base, *variant)) for variant in variants]
+    """The configurations of an experiment in order, each checked; without variants the base is the only one."""
+    check_experiment(experiment)
+    if "list" in experiment:
+        variants: list[tuple] = [(v,) for v in experiment["list"]]
+    else:
+        variants = list(product(*experiment.get("product", [])))
+    base = merged(experiment["base_config"], {"log_keys": [*DEFAULT_LOG_KEYS, *experiment["base_config"].get("log_keys", [])]})
+    return [check(merged(base, *variant, {"configuration_number": i})) for i, variant in enumerate(variants)]
 
 
 def flat(config: object, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], object]]:
@@ -99,68 +103,198 @@ class Seeds:
         return 1 + int.from_bytes(digest[:8], "big") % (2**32 - 1)
 
 
-# checks
+# what is logged of every task: name, whether it has to be there, path (fixed values)
+DEFAULT_LOG_KEYS: list[list] = [
+    ["learner", True, ["learner", "name"]],
+    ["config_num", True, ["configuration_number"]],
+    ["trg_set_num", True, ["training_set_number"]],
+    ["tfs", True, ["learner", "network_params", "node_funcs"]],
+    ["guiding_function", True, ["optimiser", "guiding_function"]],
+    ["given_tgt_order", False, ["learner", "target_order"]],
+    ["targets", False, ["data", "targets"]],
+    ["sample_seed", False, ["sampling", "seed"]],
+    ["opt_{}", False, ["optimiser", ".*"]],
+]
+
+
+def unlogged(config: Mapping) -> list[str]:
+    """Names of log keys that have to match something in the configuration and don't."""
+    missing = []
+    for name, required, pattern in config.get("log_keys", []):
+        if required and not filter_keys(config | {"training_set_number": 0}, [(name, pattern)]):
+            missing.append(name)
+    return missing
+
+
+# checks: a section takes one of several forms, told apart by one of its fields
+
+Test = Callable[[object], bool]
+
+
+def _whole(least: int, most: int | None = None) -> Test:
+    return lambda v: type(v) is int and v >= least and (most is None or v <= most)
+
+
+def _number(least: float = -math.inf, most: float = math.inf) -> Test:
+    return lambda v: type(v) in (int, float) and least <= v <= most
+
+
+def _text(pattern: str = r"(?s).*") -> Test:
+    return lambda v: isinstance(v, str) and re.fullmatch(pattern, v) is not None
+
+
+def _among(*values: object) -> Test:
+    return lambda v: any(v is o if isinstance(o, bool) else v == o and not isinstance(v, bool) for o in values)
+
+
+def _either(*tests: Test) -> Test:
+    return lambda v: any(t(v) for t in tests)
+
+
+def _each(test: Test, least: int = 1) -> Test:
+    return lambda v: isinstance(v, list) and len(v) >= least and all(map(test, v))
+
+
+def _distinct(v: object) -> bool:
+    return _each(_whole(0))(v) and len(set(v)) == len(v)
 
-_REQUIRED = {"data": ("type",), "sampling": (), "learner": ("name", "network_params"), "optimiser": ("name", "guiding_function")}
-_DATA = {"generated": ("operator", "Nb"), "file": ("path",), "split": ("training_path", "test_path")}
+
+def _mapping(v: object) -> bool:
+    return isinstance(v, Mapping)
+
+
+def _network(v: object) -> bool:
+    return isinstance(v, Mapping) and set(v) == {"Ng", "node_funcs"} and _either(_whole(1), _text(r"[1-9]\d*n2?"))(v["Ng"]) and _each(_whole(0, 15))(v["node_funcs"])
+
+
+def _stop(v: object) -> bool:
+    return isinstance(v, list) and len(v) in (2, 3) and _among("guiding", *function_names(scalar=True))(v[0]) and _number()(v[1])
+
+
+_SEED = _either(_whole(0), _text(), lambda v: v is None)
+_ORDER = _either(_among("auto", "lsb", "msb", "random"), lambda v: _distinct(v) and sorted(v) == list(range(len(v))))
+_TARGETS = _either(_among("random"), _distinct, lambda v: v is None)
+_ITERATIONS = _either(_whole(1), _text(r"[1-9]\d*n"))
+_FILE = {"dir": _text(), "add_noise": _number(0, 1), "targets": _TARGETS}
+_SEARCH = {"guiding_function_parameters": _mapping, "return_option": _among("best", "last"), "stopping_condition": _stop, "max_restarts": _whole(0)}
+_GUIDED = {"guiding_function": _among(*function_names(scalar=True))}
+_LEARN = {"network_params": _network, "target_order": _ORDER}
+_MASK = _among(True, False, "prefilter")
+_STAGED = {"seed": _SEED, "minfs_params": _mapping, "early_terminate": _among(True, False), "apply_mask": _MASK}
+_STRATA = {**_STAGED, "prefilter": _among("", "prev-strata+input", "prev-strata+prev-fs", "prev-strata+prev-fs+input"), "shrink_subnets": _among(True, False)}
+
+#: section: (field that tells its forms apart, {form: (required fields, optional fields)}); None as optional: anything goes.
+FORMS: dict[str, tuple[str, dict[str, tuple[dict[str, Test], dict[str, Test] | None]]]] = {
+    "data": ("type", {
+        "generated": ({"operator": _among(*operands.OPERATORS), "bits": _whole(1)}, {"out_width": _whole(1), "add_noise": _number(0, 1), "targets": _TARGETS}),
+        "file": ({"filename": _text()}, _FILE),
+        "split": ({"training_filename": _text(), "test_filename": _text()}, _FILE),
+    }),
+    "sampling": ("type", {
+        "generated": ({"Ns": _whole(1), "Ne": _whole(1)}, {"seed": _SEED, "test": _whole(0)}),
+        "file": ({"filename": _text()}, {"test": _text(), "dir": _text()}),
+        "given": ({"indices": _each(_each(_whole(0)))}, {"test": _each(_each(_whole(0)))}),
+        "blank": ({}, {}),
+    }),
+    "optimiser": ("name", {
+        "HC": ({"max_iterations": _ITERATIONS, **_GUIDED}, _SEARCH),
+        "LAHC": ({"max_iterations": _ITERATIONS, "cost_list_length": _whole(1), **_GUIDED}, _SEARCH),
+        "SA": ({"num_temps": _whole(1), "init_temp": _number(0), "temp_rate": _number(0, 1), "steps_per_temp": _whole(1), **_GUIDED}, _SEARCH),
+    }),
+    "learner": ("name", {
+        "monolithic": (_LEARN, {"seed": _SEED, "minfs_params": _mapping}),
+        "stratified": (_LEARN, _STRATA),
+        "stratmultipar": (_LEARN, _STRATA),
+        "classifierchain": (_LEARN, _STAGED),
+        "classifierchain_plus": (_LEARN, _STAGED),
+        "split": (_LEARN, _STAGED),
+        "ecc_member": ({"network_params": _network}, {"target_order": _ORDER, "seed": _SEED}),
+        "wrapper": ({"sublearner": _among(*(n for n in LEARNERS if n != "wrapper")), "curricula_method": _among("minfs", "CEbCC", "label_effects"), "network_params": _network}, None),
+    }),
+}
+
+
+def _need(ok: bool, what: str) -> None:
+    if not ok:
+        raise ValueError(what)
+
+
+def check_experiment(experiment: Mapping) -> None:
+    _need(isinstance(experiment.get("base_config"), Mapping), "base_config has to be a mapping")
+    _need(not ("list" in experiment and "product" in experiment), "an experiment has 'list' or 'product', not both")
+    _need(_SEED(experiment.get("seed")), "seed has to be a number, a name or nothing")
+    _need(_each(_mapping)(experiment.get("list", [{}])), "'list' has to be a list of mappings")
+    _need(_each(_each(_mapping), 2)(experiment.get("product", [[{}], [{}]])), "'product' has to be at least two lists of mappings")
 
 
 def check(config: dict) -> dict:
     """The configuration, if it is a valid one; ValueError names what is wrong."""
-    def need(ok: bool, what: str) -> None:
-        if not ok:
-            raise ValueError(what)
-
-    for section, keys in _REQUIRED.items():
-        need(isinstance(config.get(section), Mapping), f"section {section} is missing")
-        for key in keys:
-            need(key in config[section], f"{section}.{key} is missing")
-    data, sampling, opt, learn = (config[s] for s in ("data", "sampling", "optimiser", "learner"))
-    need(data["type"] in _DATA, f"data.type has to be one of {', '.join(_DATA)}")
-    for key in _DATA[data["type"]]:
-        need(key in data, f"data.{key} is missing")
-    if data["type"] == "generated":
-        need(data["operator"] in operands.OPERATORS, f"unknown operator {data['operator']!r}")
-        need(isinstance(data["Nb"], int) and data["Nb"] > 0, "data.Nb has to be a positive number")
-    noise = data.get("add_noise", 0) or 0
-    need(0 <= noise <= 1, "data.add_noise has to be in 0..1")
-    blank = not sampling
-    need(not blank or data["type"] == "split", "only data in separate files may go without sampling")
-    if not blank:
-        need(isinstance(sampling.get("Ns"), int) and sampling["Ns"] > 0, "sampling.Ns has to be a positive number")
-        need(isinstance(sampling.get("Ne"), int) and sampling["Ne"] > 0, "sampling.Ne has to be a positive number")
-        need(isinstance(sampling.get("Ne_test", 1), int) and sampling.get("Ne_test", 1) > 0, "sampling.Ne_test has to be a positive number")
-    need(opt["name"] in ("HC", "LAHC", "SA"), f"unknown optimiser {opt['name']!r}")
-    need(opt["guiding_function"] in function_names(scalar=True), f"{opt['guiding_function']!r} is no scalar function")
-    need(learn["name"] in LEARNERS, f"unknown learner {learn['name']!r}")
-    network = learn["network_params"]
-    need("Ng" in network and re.fullmatch(r"[1-9]\d*n?2?", str(network["Ng"])) is not None, "network_params.Ng has to be a number, kn or kn2")
-    functions = network.get("node_funcs")
-    need(isinstance(functions, list) and bool(functions) and all(f in range(16) for f in functions), "network_params.node_funcs have to be in 0..15")
-    order = learn.get("target_order", "auto")
-    need(order in ("lsb", "msb", "random", "auto") or (isinstance(order, list) and sorted(order) == list(range(len(order)))), "target_order has to be lsb, msb, random, auto or a permutation")
+    for section, (field, forms) in FORMS.items():
+        given = config.get(section)
+        _need(isinstance(given, Mapping), f"section {section} is missing")
+        _need(given.get(field) in forms, f"{section}.{field} has to be one of {', '.join(forms)}")
+        required, optional = forms[given[field]]
+        for key, test in required.items():
+            _need(key in given, f"{section}.{key} is missing")
+            _need(test(given[key]), f"{section}.{key} can't be {given[key]!r}")
+        for key in given:
+            if key != field and key not in required and optional is not None:
+                _need(key in optional, f"{section}.{key} is not known for {given[field]}")
+                _need(optional[key](given[key]), f"{section}.{key} can't be {given[key]!r}")
+    _need(config["sampling"]["type"] != "blank" or config["data"]["type"] == "split", "only data in separate files may go without sampling")
+    _need("target_order" not in config["learner"] or config["learner"]["name"] != "wrapper", "a wrapper finds the target order itself")
+    for key in config.get("log_keys", []):
+        _need(isinstance(key, list) and len(key) == 3 and isinstance(key[0], str) and isinstance(key[1], bool) and _each(_text())(key[2]), f"log key {key!r} has to be [name, whether it has to be there, path]")
+    for key, value in config.items():
+        if key.startswith("notes"):
+            _need(isinstance(value, str), f"{key} has to be a text")
     return config
 
 
+def file_path(section: Mapping, key: str, extension: str) -> str:
+    """A file name in its folder (``dir``, unless it is absolute), with the extension if it has none."""
+    path = Path(section[key]).expanduser()
+    if section.get("dir") and not path.is_absolute():
+        path = Path(section["dir"]) / path
+    return str(path if path.suffix else path.with_suffix(extension))
+
+
 def result_folder(base: str, name: str, at: float | None = None) -> str:
     return f"{base}/{name}_{time.strftime('%y-%m-%d_%H-%M-%S', time.gmtime(at))}"
 
 
 # tasks
 
-_TASK = "task_id string, config_num int, training_set_number int, seed bigint, config string"
+_TASK = "task_id string, config_num int, training_set_number int, seed bigint, config string, training_indices array<bigint>, test_indices array<bigint>"
+
+
+def listed_samples(sampling: Mapping) -> list[tuple[list[int] | None, list[int] | None]]:
+    """(training, test) index lists of each sample; None where they are drawn or left to the complement."""
+    if sampling["type"] == "given":
+        train, test = sampling["indices"], sampling.get("test")
+    elif sampling["type"] == "file":
+        read = lambda key: np.load(file_path(sampling, key, ".npy"), allow_pickle=False).astype(int).tolist()
+        train, test = read("filename"), read("test") if "test" in sampling else None
+    else:
+        return [(None, None)] * sampling.get("Ns", 1)
+    return list(zip(train, test or [None] * len(train), strict=True))
 
 
 def tasks(spark: SparkSession, experiment: Mapping) -> DataFrame:
-    """(task_id, config_num, training_set_number, seed, config): one row per configuration and sample."""
-    seeds = Seeds(experiment.get("seed"))
+    """(task_id, config_num, training_set_number, seed, config, indices): one row per configuration and sample."""
+    seed = experiment.get("seed")
+    seeds = Seeds(seed if isinstance(seed, int) else None)
     rows = []
     for number, config in enumerate(configurations(experiment)):
-        sample_seed = seeds.seed("sampling", config["sampling"].get("seed", "shared"))
-        text = json.dumps(config | {"sample_seed": sample_seed}, sort_keys=True)
-        for sample in range(config["sampling"].get("Ns", 1)):
-            seed = seeds.seed("learner", config["learner"].get("seed"))
-            rows.append((hashlib.sha256(f"{text}/{sample}/{seed}".encode()).hexdigest()[:16], number, sample, seed, text))
+        for name in unlogged(config):
+            logging.getLogger(__name__).warning("log key %s matches nothing in configuration %d", name, number)
+        config["sampling"]["seed"] = seeds.seed("sampling", config["sampling"].get("seed"))
+        if config["data"].get("targets") == "random":
+            config["data"]["target_seed"] = seeds.seed("targets", None)
+        text = json.dumps(config, sort_keys=True)
+        for sample, (train, test) in enumerate(listed_samples(config["sampling"])):
+            learner_seed = seeds.seed("learner", config["learner"].get("seed"))
+            rows.append((hashlib.sha256(f"{text}/{sample}/{learner_seed}".encode()).hexdigest()[:16], number, sample, learner_seed, text, train, test))
     return spark.createDataFrame(rows, _TASK)
 
 
@@ -184,34 +318,38 @@ def _bits(ids: np.ndarray, n: int) -> np.ndarray:
     return (ids[None, :] >> np.arange(n)[:, None] & 1).astype(np.uint8)
 
 
-def task_data(config: Mapping, sample: int, datasets: Mapping[str, tuple[np.ndarray, np.ndarray]]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """((x, y) for training, (x, y) for test) of a task."""
-    data, sampling = config["data"], config["sampling"]
+def task_data(config: Mapping, row: Mapping, datasets: Mapping[str, tuple[np.ndarray, np.ndarray]]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """((x, y) for training, (x, y) for test) of a task; without test examples the rest of one table is the test."""
+    data, sampling, sample = config["data"], config["sampling"], int(row["training_set_number"])
+    given = lambda key: np.asarray(row[key], dtype=np.int64) if row.get(key) is not None else None
+    picked, tested = given("training_indices"), given("test_indices")
+    drawn = sampling["type"] == "generated"
     if data["type"] == "split":
-        train, test = datasets[data["training_path"]], datasets[data["test_path"]]
+        train, test = (datasets[file_path(data, k, ".npz")] for k in ("training_filename", "test_filename"))
         if len(train[0]) != len(test[0]) or len(train[1]) != len(test[1]):
             raise ValueError("training and test file have different signals")
-        if sampling:
-            pick = _drawn(train[0].shape[1], sampling["Ne"], config["sample_seed"], sample)
-            train = train[0][:, pick], train[1][:, pick]
-            if "Ne_test" in sampling:
-                pick = _drawn(test[0].shape[1], sampling["Ne_test"], config["sample_seed"] + 1, sample)
-                test = test[0][:, pick], test[1][:, pick]
+        if drawn:
+            picked = _drawn(train[0].shape[1], sampling["Ne"], sampling["seed"], sample)
+            tested = _drawn(test[0].shape[1], sampling["test"], sampling["seed"] + 1, sample) if "test" in sampling else None
+        take = lambda part, ids: part if ids is None else (part[0][:, ids], part[1][:, ids])
+        train, test = take(train, picked), take(test, tested)
     else:
         if data["type"] == "generated":
-            op, nb = data["operator"], data["Nb"]
-            ni, no = operands.input_width(op, nb), data.get("No", operands.default_outputs(op, nb))
+            op, nb = data["operator"], data["bits"]
+            ni, no = operands.input_width(op, nb), data.get("out_width", operands.default_outputs(op, nb))
             ids = np.arange(1 << ni, dtype=np.int64)
             x, y = _bits(ids, ni), _bits(np.array([operands.value(op, nb, int(i)) for i in ids]), no)
         else:
-            x, y = datasets[data["path"]]
-        pick = _drawn(x.shape[1], sampling["Ne"] + sampling.get("Ne_test", 0), config["sample_seed"], sample)
-        rest = pick[sampling["Ne"] :] if "Ne_test" in sampling else np.setdiff1d(np.arange(x.shape[1]), pick)
-        pick = pick[: sampling["Ne"]]
-        train, test = (x[:, pick], y[:, pick]), (x[:, rest], y[:, rest])
+            x, y = datasets[file_path(data, "filename", ".npz")]
+        if drawn:
+            both = _drawn(x.shape[1], sampling["Ne"] + sampling.get("test", 0), sampling["seed"], sample)
+            picked, tested = both[: sampling["Ne"]], both[sampling["Ne"] :] if "test" in sampling else None
+        if tested is None:
+            tested = np.setdiff1d(np.arange(x.shape[1]), picked)
+        train, test = (x[:, picked], y[:, picked]), (x[:, tested], y[:, tested])
     targets = data.get("targets")
     if targets == "random":
-        targets = np.random.default_rng(config["sample_seed"]).permutation(len(train[1])).tolist()
+        targets = np.random.default_rng(data["target_seed"]).permutation(len(train[1])).tolist()
     if targets:
         train, test = (train[0], train[1][targets]), (test[0], test[1][targets])
     return train, test
@@ -240,7 +378,7 @@ def run_task(row: Mapping, datasets: Mapping[str, tuple[np.ndarray, np.ndarray]]
     began = time.monotonic()
     config = json.loads(row["config"])
     rng = np.random.default_rng(int(row["seed"]))
-    (x, y), (test_x, test_y) = task_data(config, int(row["training_set_number"]), datasets)
+    (x, y), (test_x, test_y) = task_data(config, row, datasets)
     learn, opt = dict(config["learner"]), dict(config["optimiser"])
     noisy, rate = with_noise(y, config["data"].get("add_noise") or 0.0, rng)
     order = learn.get("target_order", "auto")
@@ -250,18 +388,18 @@ def run_task(row: Mapping, datasets: Mapping[str, tuple[np.ndarray, np.ndarray]]
     stop = opt.get("stopping_condition", [None, None])
     optimiser = Optimiser(
         opt["name"], guiding, None if stop[0] in (None, "guiding") else stop[0], stop[1], scaled(opt.get("max_iterations", 1000), no), opt.get("max_restarts", 0), opt.get("cost_list_length", 50),
-        opt.get("num_temps", 20), opt.get("steps_per_temp", 50), opt.get("init_temp", 0.1), opt.get("temp_rate", 0.9), options,
+        opt.get("num_temps", 20), opt.get("steps_per_temp", 50), opt.get("init_temp", 0.1), opt.get("temp_rate", 0.9), options, opt.get("return_option", "best"),
     )
     network = learn["network_params"]
     setting = Setting(
-        x, noisy, optimiser, scaled(network["Ng"], no), network["node_funcs"], rng, order, learn.get("apply_mask", learn["name"].startswith("strat")), tuple(learn.get("prefilter") or ()),
-        learn.get("shrink_subnets", True), learn.get("early_terminate", False), learn.get("options", {}),
+        x, noisy, optimiser, scaled(network["Ng"], no), network["node_funcs"], rng, order, learn.get("apply_mask", learn["name"].startswith("strat")), tuple(filter(None, learn.get("prefilter", "").split("+"))),
+        learn.get("shrink_subnets", True), learn.get("early_terminate", False), {"sublearner": learn.get("sublearner"), "method": learn.get("curricula_method"), **learn.get("options", {})},
     )
     ready = time.monotonic()
     out = {
         "task_id": row["task_id"], "config_num": int(row["config_num"]), "training_set_number": int(row["training_set_number"]), "learner_seed": int(row["seed"]), "learner": learn["name"],
         "guiding_function": guiding, "ni": len(x), "nout": no, "ne": x.shape[1], "actual_noise": rate, "setup_time": ready - began,
-        "notes": json.dumps({k: v for k, v in config.items() if k.startswith("notes")} | filter_keys(config, [(k, p) for k, p in config.get("log_keys", [])])),
+        "notes": json.dumps({k: v for k, v in config.items() if k.startswith("notes")} | filter_keys(config | {"training_set_number": int(row["training_set_number"])}, [(k, p) for k, _, p in config.get("log_keys", [])])),
     }
     try:
         got = learner(learn["name"])(setting)
@@ -308,7 +446,7 @@ def named_arrays(spark: SparkSession, task_table: DataFrame) -> dict[str, tuple[
     paths = set()
     for (text,) in task_table.select("config").distinct().collect():
         data = json.loads(text)["data"]
-        paths |= {data[k] for k in ("path", "training_path", "test_path") if k in data}
+        paths |= {file_path(data, k, ".npz") for k in ("filename", "training_filename", "test_filename") if k in data}
     out = {}
     for path in paths:
         df = read_npz(spark, path) if path.endswith(".npz") else read_examples(spark, path)

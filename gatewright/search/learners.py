@@ -229,15 +229,15 @@ def _effects(y: np.ndarray, steps: int) -> np.ndarray:
 
 
 def a_priori(s: Setting) -> Learnt:
-    """An order from the data first (options ``method``: minfs, entropy or label_effects), then another learner."""
+    """An order from the data first (options ``method``: minfs, CEbCC or label_effects), then another learner (``sublearner``)."""
     options = dict(s.options)
-    method, inner = options.get("method", "minfs"), options.get("sublearner", "classifierchain")
+    method, inner = options.get("method") or "minfs", options.get("sublearner") or "classifierchain"
     if method == "minfs":
         order = order_from_rank(_ranks(s.x, s.y)[0], s.rng)
-    elif method == "entropy":
+    elif method == "CEbCC":
         order = entropy_order(_entropies(s.y), int(options.get("variant", 1)), s.rng)
     elif method == "label_effects":
-        v = np.round(_effects(s.y, int(options.get("steps", 1))), 12)
+        v = np.round(_effects(s.y, int(options.get("t", 1))), 12)
         order = order_from_rank([int((v > w).sum()) for w in v], s.rng)
     else:
         raise ValueError(f"unknown curriculum {method!r}")
@@ -247,7 +247,7 @@ def a_priori(s: Setting) -> Learnt:
 
 LEARNERS: dict[str, Callable[[Setting], Learnt]] = {
     "monolithic": monolithic, "split": split, "classifierchain": classifier_chain, "classifierchain_plus": classifier_chain_plus, "ecc_member": ecc_member,
-    "stratified": stratified, "stratmultipar": stratified_parallel, "apriori": a_priori,
+    "stratified": stratified, "stratmultipar": stratified_parallel, "wrapper": a_priori,
 }
 
 

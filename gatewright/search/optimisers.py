@@ -63,6 +63,7 @@ class Optimiser:
     init_temp: float = 0.1
     temp_rate: float = 0.9
     options: dict | None = None
+    return_option: str = "best"
 
     def cost(self, state: State, name: str | None = None) -> float:
         name = name or self.guiding
@@ -112,7 +113,7 @@ class Optimiser:
                     best, best_at, kept = now, i, state.network
             else:
                 state.revert()
-        return Result(kept, best, best_at, i, 0)
+        return Result(kept if self.return_option == "best" else state.network, best, best_at, i, 0)
 
     def _climb(self, state: State, rng: np.random.Generator) -> Result:
         return self._walk(state, rng, lambda _, now, new: new <= now, self.max_iterations)
