@@ -2,9 +2,10 @@
 
 Identifiers are counted first, with map-side combination. An identifier that occurs once
 needs no ordering, so its message passes directly; only the rows of repeated identifiers
-are shuffled and ranked. Identifiers with more than ``hot_rows`` copies are ranked in two
-rounds, first within salts and then among the winners of the salts, so that no task ever
-sorts one identifier's copies alone.
+are shuffled and ranked. An identifier with more than ``hot_rows`` copies (and more than one in
+MAX_HOT of all repeated rows) is not ordered at all: its first copy is found by an aggregation
+that combines before the shuffle, and its rows stay where they are, so no task ever holds one
+identifier's copies.
 
 Defined results
 * Null and blank identifiers are no identifiers: such messages pass and are never copies.
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 
 WHITE = " \t\r\n"
 HOT_ROWS = 200_000
-SALTS = 64
+#: At most so many identifiers are hot, so that their list can be sent to every task.
+MAX_HOT = 50_000
 
-_ID, _N, _RANK, _SALT, _HOT = "__gw_id", "__gw_n", "__gw_rank", "__gw_salt", "__gw_hot"
+_ID, _N, _RANK, _FIRST = "__gw_id", "__gw_n", "__gw_rank", "__gw_first"
 
 
 def normal_id(column: Column) -> Column:
@@ -36,42 +38,46 @@ def _all(new: DataFrame, stored: DataFrame | None) -> DataFrame:
     return new if stored is None else stored.unionByName(new, allowMissingColumns=True)
 
 
-def _ranked(keyed: DataFrame, repeated: DataFrame, order: list[Column], spread: list[Column], hot_rows: int) -> DataFrame:
-    """The rows of repeated identifiers with ``_RANK`` 1 for the copy that stays."""
-    # at most (all rows / hot_rows) identifiers are hot: 1 in 200 000 rows
-    hot = F.broadcast(repeated.where(F.col(_N) > hot_rows).select(_ID))
-    few = repeated.where(F.col(_N) <= hot_rows).select(_ID)
-    cold_rows = keyed.join(hot, _ID, "left_anti").join(few, _ID, "left_semi")
-    cold = cold_rows.withColumn(_RANK, F.row_number().over(Window.partitionBy(_ID).orderBy(*order)))
-    salted = keyed.join(hot, _ID, "left_semi").withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-    first = salted.withColumn(_RANK, F.row_number().over(Window.partitionBy(_ID, _SALT).orderBy(*order)))
-    lost = first.where(F.col(_RANK) > 1).drop(_SALT)
-    # at most SALTS rows of an identifier are left here
-    won = first.where(F.col(_RANK) == 1).drop(_SALT, _RANK)
-    won = won.withColumn(_RANK, F.row_number().over(Window.partitionBy(_ID).orderBy(*order)))
-    return cold.unionByName(lost).unionByName(won)
-
-
-def _parts(new: DataFrame, stored: DataFrame | None, id_col: str, at_col: str, key_col: str, hot_rows: int):
+def _ranked(keyed: DataFrame, repeated: DataFrame, at_col: str, key_col: str, hot_rows: int, *, one: bool) -> DataFrame:
+    """The rows of repeated identifiers with ``_RANK`` 1 for the copy that stays.
+
+    Rows with the same identifier, time and key share a rank, or (``one``) only one of them has rank 1.
+    """
+    # fewer than MAX_HOT identifiers can have more than 1 / MAX_HOT of all rows each, which bounds the list
+    limit = F.greatest(F.lit(hot_rows), F.ceil(repeated.agg(F.sum(_N)).scalar() / MAX_HOT))
+    hot = F.broadcast(repeated.where(F.col(_N) > limit).select(_ID))
+    few = repeated.where(F.col(_N) <= limit).select(_ID)
+    at, key = F.col(f"`{at_col}`"), F.col(f"`{key_col}`")
+    order = Window.partitionBy(_ID).orderBy(at.asc_nulls_last(), key.asc_nulls_last())
+    cold = keyed.join(hot, _ID, "left_anti").join(few, _ID, "left_semi").withColumn(_RANK, (F.row_number() if one else F.rank()).over(order))
+    # the first copy of a hot identifier by aggregation, combined before the shuffle; its rows are never ordered
+    place = F.struct(at.isNull().alias("a"), at.alias("b"), key.isNull().alias("c"), key.alias("d"))
+    many = keyed.join(hot, _ID, "left_semi")
+    first = F.broadcast(many.groupBy(_ID).agg(F.min(place).alias(_FIRST)))
+    placed = many.join(first, _ID).withColumn(_RANK, F.when(at.eqNullSafe(F.col(_FIRST)["b"]) & key.eqNullSafe(F.col(_FIRST)["d"]), 1).otherwise(2)).drop(_FIRST)
+    if one:
+        placed = placed.where(F.col(_RANK) == 1).dropDuplicates([_ID])
+    return cold.unionByName(placed)
+
+
+def _parts(new: DataFrame, stored: DataFrame | None, id_col: str, at_col: str, key_col: str, hot_rows: int, *, one: bool):
     keyed = _all(new, stored)
     keyed = keyed.withColumn(_ID, normal_id(keyed[f"`{id_col}`"]))
-    order = [F.col(f"`{at_col}`").asc_nulls_last(), F.col(f"`{key_col}`").asc_nulls_last()]
-    counted = keyed.where(F.col(_ID).isNotNull()).groupBy(_ID).agg(F.count(F.lit(1)).alias(_N))
-    repeated = counted.where(F.col(_N) > 1)
-    ranked = _ranked(keyed.where(F.col(_ID).isNotNull()), repeated, order, [F.col(f"`{key_col}`"), F.col(f"`{at_col}`")], hot_rows)
-    return keyed, repeated, ranked
+    named = keyed.where(F.col(_ID).isNotNull())
+    repeated = named.groupBy(_ID).agg(F.count(F.lit(1)).alias(_N)).where(F.col(_N) > 1)
+    return keyed, repeated, _ranked(named, repeated, at_col, key_col, hot_rows, one=one)
 
 
 def copies(new: DataFrame, stored: DataFrame | None = None, *, id_col: str = "id", at_col: str = "received_at", key_col: str = "delivery_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """The keys of the copies to drop among all stored and new messages."""
     narrow = [id_col, at_col, key_col]
     pick = lambda df: df.select(*(F.col(f"`{c}`") for c in dict.fromkeys(narrow)))
-    _, _, ranked = _parts(pick(new), None if stored is None else pick(stored), id_col, at_col, key_col, hot_rows)
+    _, _, ranked = _parts(pick(new), None if stored is None else pick(stored), id_col, at_col, key_col, hot_rows, one=False)
     return ranked.where(F.col(_RANK) > 1).select(F.col(f"`{key_col}`"))
 
 
 def keep_one(new: DataFrame, stored: DataFrame | None = None, *, id_col: str = "id", at_col: str = "received_at", key_col: str = "delivery_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """All messages, one of each identifier: singles as they are, and the first of every repeated one."""
-    keyed, repeated, ranked = _parts(new, stored, id_col, at_col, key_col, hot_rows)
+    keyed, repeated, ranked = _parts(new, stored, id_col, at_col, key_col, hot_rows, one=True)
     single = keyed.join(repeated.select(_ID), _ID, "left_anti").drop(_ID)
     return single.unionByName(ranked.where(F.col(_RANK) == 1).drop(_RANK, _ID))

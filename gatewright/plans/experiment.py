@@ -300,6 +300,9 @@ def tasks(spark: SparkSession, experiment: Mapping) -> DataFrame:
 
 # running
 
+#: Bytes of example files that one run may share with all its tasks.
+MAX_SHARED = 1 << 30
+
 _RESULT = """task_id string, config_num int, training_set_number int, learner_seed bigint, learner string, guiding_function string, ni int, nout int, ng int, ne int,
     actual_noise double, target_order array<int>, trg_err double, trg_cor double, trg_mcc double, trg_err_gf double, trg_errs array<double>, trg_mccs array<double>,
     test_err double, test_cor double, test_mcc double, test_err_gf double, test_errs array<double>, test_mccs array<double>,
@@ -414,7 +417,9 @@ def run_task(row: Mapping, datasets: Mapping[str, tuple[np.ndarray, np.ndarray]]
 
 
 def run(task_table: DataFrame, datasets: Mapping[str, tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
-    """The results of the tasks, one group each. ``datasets``: 0/1 arrays by path, shared with all tasks."""
+    """The results of the tasks, one group each. ``datasets``: 0/1 arrays by path, at most MAX_SHARED bytes, shared with all tasks."""
+    if sum(a.nbytes for pair in (datasets or {}).values() for a in pair) > MAX_SHARED:
+        raise ValueError(f"the example files of the tasks hold more than {MAX_SHARED} bytes")
     shared = task_table.sparkSession.sparkContext.broadcast(dict(datasets or {}))
 
     def go(group: pd.DataFrame) -> pd.DataFrame:

@@ -45,6 +45,7 @@ def test_stored_and_new(spark):
 
 def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([ROWS[0]] * 3, SCHEMA)
-    assert deliveries.keep_one(df).count() == 1
+    for hot_rows in (200_000, 1):
+        assert deliveries.keep_one(df, hot_rows=hot_rows).count() == 1 and deliveries.copies(df, hot_rows=hot_rows).count() == 0
     empty = spark.createDataFrame([], SCHEMA)
     assert deliveries.copies(empty).count() == 0 and deliveries.keep_one(empty).count() == 0
