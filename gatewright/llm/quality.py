@@ -53,7 +53,7 @@ _CELL = re.compile(r"(?:[-+]?\d[\d.,:]*\s?%?|—|-|n/a|yes|no)\Z")
 _CODE = re.compile(r"[{}\[\]<>=_\\|~^$@#]|\d\d:\d\d:\d\d|https?:|\w\(|\);")
 # a word marked up: *word*, [word], ~word~, «word»
 _MARKED = re.compile(r"[*\[~«_]+(\w[\w'’-]*[.,;:!?]?)[*\]~»_]+")
-_END = re.compile(r"[.!?:;…][\"”»)']*\Z")
+_INNER = re.compile(r"\w[.!?][\"”»)']*\s")
 _STOP = re.compile(r"[.!?:…][\"”»)']*\Z")
 _SENTENCE = re.compile(r"[^.!?:…]+(?:[.!?:…]+(?!\w)[\"”»)']*|[.:](?=\w)[^.!?:…]*)*")
 _START = re.compile(r"\W*[A-ZÀ-ÞЀ-Я0-9]")
@@ -64,6 +64,8 @@ _FOREIGN = re.compile(r"[^\x00-\x7fЀ-ӿ]")
 _EDGES = "\"'.,;:!?…“”„«»‘’()[]¿¡-–—"
 # a natural sentence has other words too; beside this share of function words it has none
 _ONLY_COMMON = 0.72
+# words of the longest sentence; beyond it are lists that happen to end in a mark
+_LONGEST = 120
 
 
 def _is_row(line: str, common: frozenset[str]) -> bool:
@@ -84,10 +86,26 @@ def _is_encoded(line: str) -> bool:
     return len(words) > 3 and 2 * sum(any(c.isdigit() for c in w) for w in words) > len(words)
 
 
+def _starts(line: str, ended: bool, following: str) -> bool:
+    """Whether a stretch of sentences may begin with a line: not a heading, menu or bare list entry."""
+    if ended:
+        return True
+    if line[:1].islower():
+        return len(line) >= _SHORT and _INNER.search(line) is not None
+    # a short line has to go on in the next one with a small letter
+    return len(line) >= _SHORT or (_START.match(line) is not None and line.count(" ") >= 3 and following[:1].islower())
+
+
 def paragraphs(text: str, common: frozenset[str]) -> Iterator[str]:
-    """Stretches of lines that may hold running sentences, wrapped lines put together."""
+    """Stretches of lines that may hold running sentences, wrapped lines put together.
+
+    A stretch ends with a line that ends a sentence, and before a line that is much shorter
+    than those before it without ending one: wrapped lines are about as long as each other.
+    """
     held: list[str] = []
-    for raw in text.split("\n"):
+    widest = 0
+    lines = text.split("\n")
+    for at, raw in enumerate(lines):
         quoted = _QUOTE.match(raw)
         line = raw[quoted.end() :] if quoted else raw
         bare = line.strip()
@@ -98,11 +116,17 @@ def paragraphs(text: str, common: frozenset[str]) -> Iterator[str]:
                 yield " ".join(held)
                 held = []
             continue
-        ended = _END.search(bare) is not None
-        if not held and len(bare) < _SHORT and not ended:
-            continue
+        ended = _STOP.search(bare) is not None
+        if held and not ended and len(bare) < 0.6 * widest:
+            yield " ".join(held)
+            held = []
+        if not held:
+            widest = 0
+            if not _starts(bare, ended, lines[at + 1].lstrip("> \t") if at + 1 < len(lines) else ""):
+                continue
         held.append(bare)
-        if ended and len(bare) < 22:
+        widest = max(widest, len(bare))
+        if ended:
             yield " ".join(held)
             held = []
     if held:
@@ -117,7 +141,7 @@ def _spoilt(word: str) -> bool:
 def is_running(sentence: str, common: frozenset[str]) -> bool:
     words = sentence.split()
     n = len(words)
-    if n < 4 or not _STOP.search(sentence):
+    if not 4 <= n <= _LONGEST or not _STOP.search(sentence):
         return False
     if not _START.match(sentence) and n < 10:
         return False
@@ -127,7 +151,9 @@ def is_running(sentence: str, common: frozenset[str]) -> bool:
     if n >= 5 and known > _ONLY_COMMON * n:
         return False
     if not sentence.isascii() and 2 * len(_CYRILLIC.findall(sentence)) > sum(map(str.isalpha, sentence)):
-        return known > 0 and 3 * len(_SWAPPED.findall(sentence)) < n
+        # small first letters before capitals are a wrong code page, unless most words are small anyway
+        swapped = _SWAPPED.search(sentence) is not None and 2 * sum(map(str.isupper, sentence)) > sum(map(str.isalpha, sentence))
+        return known > 0 and not swapped
     commas = sentence.count(",")
     if commas >= 5 and commas > 0.3 * n:
         return False
