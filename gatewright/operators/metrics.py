@@ -73,8 +73,9 @@ def profile(errors: DataFrame, no: int, *, by: Sequence[str] = (), dependencies:
         same = reduce(lambda a, b: a & b, (errors[c].eqNullSafe(right[n]) for c, n in zip(by, names, strict=True)))
         placed, at = errors.join(right, same), [F.col(f"__gw_first{r}") for r in range(no)]
     else:
-        # one row, read as scalar subqueries: nothing is joined
-        placed, at = errors, [errors.agg(firsts[r]).scalar() for r in range(no)]
+        # one row, read as a scalar subquery: nothing is joined
+        all_firsts = errors.agg(F.struct(*firsts)).scalar()
+        placed, at = errors, [all_firsts[f"__gw_first{r}"] for r in range(no)]
     floods = [F.count(F.when(F.col(order) >= at[r], F.lit(1))).alias(f"f{r}") for r in range(no)]
     return placed.groupBy(*by).agg(*kept, *floods) if by else placed.agg(*kept, *floods)
 
