@@ -111,7 +111,8 @@ def paragraphs(text: str, common: frozenset[str]) -> Iterator[str]:
         bare = line.strip()
         if "*" in bare or "[" in bare or "~" in bare or "_" in bare:
             bare = _MARKED.sub(r"\1", bare)
-        if not bare or _BULLET.match(line) or _is_row(bare, common) or len(_CODE.findall(bare)) > max(1, len(bare) // 40) or _is_encoded(bare):
+        # a dash in front of a line goes on a sentence that is open
+        if not bare or (_BULLET.match(line) and not (held and bare[0] in "—–")) or _is_row(bare, common) or len(_CODE.findall(bare)) > max(1, len(bare) // 40) or _is_encoded(bare):
             if held:
                 yield " ".join(held)
                 held = []
