@@ -129,7 +129,9 @@ def alias_rules(versioned: DataFrame, steps: DataFrame, targets: list[str]) -> d
     metadata; more than MAX_RULES distinct renames raise ValueError.
     """
     pairs = steps.where("change = 'renamed'").groupBy("field", "to_field").agg(F.count(F.lit(1)).alias("n"))
-    both = versioned.select(F.explode(F.map_keys("fields")).alias("field"), F.map_keys("fields").alias("all")).join(pairs.select("field", "to_field"), "field")
+    # files of one schema tell the same, and there are far fewer schemas than files
+    schemas = versioned.groupBy("fingerprint").agg(F.any_value(F.map_keys("fields")).alias("all"))
+    both = schemas.select(F.explode("all").alias("field"), "all").join(pairs.select("field", "to_field"), "field")
     together = both.where(F.array_contains("all", F.col("to_field"))).select("field", "to_field").distinct()
     kept = pairs.join(together, ["field", "to_field"], "left_anti").limit(MAX_RULES + 1).collect()
     if len(kept) > MAX_RULES:
