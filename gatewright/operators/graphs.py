@@ -60,17 +60,22 @@ def connectivity(networks: DataFrame) -> DataFrame:
 def operator_errors(networks: DataFrame) -> DataFrame:
     """(net_id, r, ne, errors): each output against the network's target function over all 2^ni examples.
 
-    Two-operand functions take ni / 2 bits each. Networks without a known function, with an
-    odd number of inputs for two operands, or of more than MAX_INPUTS inputs give no rows.
+    Two-operand functions take ni / 2 bits each. Invalid networks and those without a known
+    function, with an odd number of inputs for two operands, or of more than MAX_INPUTS inputs
+    give no rows.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for net_id, name, ni, no, gates in part.itertuples(index=False):
-                if name not in operands.OPERATORS or not 0 < ni <= MAX_INPUTS or ni % operands.operand_count(name):
+                try:
+                    if not 0 < ni <= MAX_INPUTS or ni % operands.operand_count(name):
+                        continue
+                    ni, no = int(ni), int(no)
+                    net = Network.of([(g["src1"], g["src2"], g["tf"]) for g in gates], ni, no)
+                except (ValueError, TypeError):
                     continue
-                net = Network.of([(g["src1"], g["src2"], g["tf"]) for g in gates], int(ni), int(no))
                 ids = np.arange(1 << ni, dtype=np.int64)
                 x = (ids >> np.arange(ni)[:, None] & 1).astype(bool)
                 want = np.array([operands.value(name, ni // operands.operand_count(name), int(i)) for i in ids])
