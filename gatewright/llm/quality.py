@@ -86,9 +86,17 @@ def _is_encoded(line: str) -> bool:
     return len(words) > 3 and 2 * sum(any(c.isdigit() for c in w) for w in words) > len(words)
 
 
-def _starts(line: str, ended: bool, following: str) -> bool:
+def _is_loose(line: str, common: frozenset[str]) -> bool:
+    """A line of text with gaps between its words: sentences spaced at will, whose lines break at will too."""
+    if _GAPS.search(line) is None:
+        return False
+    words = line.split()
+    return 5 * sum(w.lower().strip(_EDGES) in common for w in words) >= len(words)
+
+
+def _starts(line: str, ended: bool, loose: bool, following: str) -> bool:
     """Whether a stretch of sentences may begin with a line: not a heading, menu or bare list entry."""
-    if ended:
+    if ended or (loose and _START.match(line) is not None):
         return True
     if line[:1].islower():
         return len(line) >= _SHORT and _INNER.search(line) is not None
@@ -103,7 +111,7 @@ def paragraphs(text: str, common: frozenset[str]) -> Iterator[str]:
     than those before it without ending one: wrapped lines are about as long as each other.
     """
     held: list[str] = []
-    widest = 0
+    widest, loose = 0, False
     lines = text.split("\n")
     for at, raw in enumerate(lines):
         quoted = _QUOTE.match(raw)
@@ -118,12 +126,12 @@ def paragraphs(text: str, common: frozenset[str]) -> Iterator[str]:
                 held = []
             continue
         ended = _STOP.search(bare) is not None
-        if held and not ended and len(bare) < 0.6 * widest:
+        if held and not ended and len(bare) < 0.6 * widest and not (loose := loose or _is_loose(bare, common)):
             yield " ".join(held)
             held = []
         if not held:
-            widest = 0
-            if not _starts(bare, ended, lines[at + 1].lstrip("> \t") if at + 1 < len(lines) else ""):
+            widest, loose = 0, _is_loose(bare, common)
+            if not _starts(bare, ended, loose, lines[at + 1].lstrip("> \t") if at + 1 < len(lines) else ""):
                 continue
         held.append(bare)
         widest = max(widest, len(bare))
