@@ -75,10 +75,12 @@ def _is_row(line: str, common: frozenset[str]) -> bool:
     cells = [c for c in _GAPS.split(line) if c.strip()]
     if len(cells) < 3:
         return len(cells) == 2 and _CELL.match(cells[1].strip()) is not None
-    if any(_CELL.match(c.strip()) for c in cells):
-        return True
     words = line.split()
-    return sum(w.lower().strip(_EDGES) in common for w in words) < 0.2 * len(words)
+    grammar = sum(w.lower().strip(_EDGES) in common for w in words) >= 0.2 * len(words)
+    if any(_CELL.match(c.strip()) for c in cells):
+        # a number between gaps may stand in a sentence, if the line goes over a sentence's end
+        return not (grammar and _INNER.search(line))
+    return not grammar
 
 
 def _is_encoded(line: str) -> bool:
