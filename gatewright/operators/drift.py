@@ -6,32 +6,43 @@
    a file whose fingerprint differs starts a new version.
 3. ``migrations`` turns each change of version into explicit steps: rename, add (a default
    comes in), remove, retype (a cast comes in). ``report`` lists them.
-4. ``alias_rules`` chains the renames of all streams to one name per field; ``unify`` routes
-   every file through rename, cast and default rules into one table.
+4. ``routes`` follows each stream's own renames to the target fields, so every file is sent
+   through the rules of its own version. A name that a stream never renames is read as the
+   target that other streams renamed it to only if the stream is of the same record family:
+   it holds at least half of the target fields, and at least MIN_SHARED, by its own steps.
+5. ``unify`` applies the rename, cast and default rules of a line's file; ``applied`` lists
+   them per file, ``leftovers`` each value that no rule could place.
 
 Types: boolean, integer, decimal, string, object, array<...> with the types inside. A key
 that only ever holds null has the empty set of types.
 
+Nothing is lost: of several values for one target the one with the shortest chain of renames
+that can be cast is taken; the others, and values that can't be cast, stay in ``others`` under
+their own names and in the report of ``leftovers`` (``unused`` or ``uncast``), where a line that
+is no JSON object stands whole (``unparsed``). A key that stands twice in an object is, as in
+JSON, its last value.
+
 Defined results: lines that are null or not one JSON object carry no keys (``unify`` gives
-them a row of nulls); a key that stands twice in an object counts with its last value;
-files without a line have no fields; files without a stream or a place in it are in no
-comparison; a file listed twice counts once. Whole lines that repeat change nothing in a
+them a row of nulls); files without a line have no fields; files without a stream or a place
+in it are in no comparison and are read by the target names alone; a file listed twice counts once. Whole lines that repeat change nothing in a
 schema. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.operators.scans import previous
+from gatewright.session import checkpoint
 
-#: Rename rules kept on the driver; they are metadata (distinct pairs of names), and more of them is an error.
-MAX_RULES = 20_000
+#: Target fields that a stream has to hold, besides half of all, before renames of other streams count for it.
+MIN_SHARED = 3
 
 _SCALARS = {bool: "boolean", int: "integer", float: "decimal", str: "string", dict: "object"}
 
@@ -121,66 +132,145 @@ def report(steps: DataFrame, *, file_col: str = "log_file_id") -> DataFrame:
     return steps.select(F.col("file_id").alias(file_col), "field", "change")
 
 
-def alias_rules(versioned: DataFrame, steps: DataFrame, targets: list[str]) -> dict[str, list[str]]:
-    """For each target field the names it has had, chained over the renames of all streams.
-
-    Two names of one field never stand in the same file; a rename between names that do is
-    a chance meeting (one field went, another of its type came) and makes no rule. Names are
-    metadata; more than MAX_RULES distinct renames raise ValueError.
-    """
-    pairs = steps.where("change = 'renamed'").groupBy("field", "to_field").agg(F.count(F.lit(1)).alias("n"))
-    # files of one schema tell the same, and there are far fewer schemas than files
-    schemas = versioned.groupBy("fingerprint").agg(F.any_value(F.map_keys("fields")).alias("all"))
-    both = schemas.select(F.explode("all").alias("field"), "all").join(pairs.select("field", "to_field"), "field")
-    together = both.where(F.array_contains("all", F.col("to_field"))).select("field", "to_field").distinct()
-    kept = pairs.join(together, ["field", "to_field"], "left_anti").limit(MAX_RULES + 1).collect()
-    if len(kept) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} distinct renames")
-    beside: dict[str, set[str]] = {}
-    for row in kept:
-        beside.setdefault(row["field"], set()).add(row["to_field"])
-        beside.setdefault(row["to_field"], set()).add(row["field"])
-    rules, taken = {}, set(targets)
-    for target in targets:
-        names, at = [target], 0
-        while at < len(names):
-            new = sorted(beside.get(names[at], set()) - taken)
-            names += new
-            taken |= set(new)
-            at += 1
-        rules[target] = names
-    return rules
-
-
-def _number(text: Column) -> Column:
-    """A time in seconds from a number, a text such as ``1.8s``, or an object with ``value``; whole numbers are milliseconds."""
+def _seconds(text: Column) -> Column:
+    """A number from a number, a text such as ``1.8 s``, or an object with ``value``; a unit other than seconds fails."""
+    unit = F.coalesce(F.get_json_object(text, "$.unit"), F.lit("s"))
     bare = F.coalesce(F.get_json_object(text, "$.value"), text)
     bare = F.btrim(F.regexp_replace(bare, r"(?i)\s*s(ec(onds)?)?\s*\z", ""))
-    return F.when(text.rlike(r"\A-?[0-9]+\z"), text.try_cast("double") / F.lit(1000.0)).otherwise(bare.try_cast("double"))
+    return F.when(F.lower(unit).isin("s", "sec", "seconds"), bare.try_cast("double"))
 
 
 def _order(text: Column) -> Column:
     """A target order as lsb, msb or a JSON list of numbers, from a list, a list of texts or ``1,0``."""
     listed = F.from_json(F.when(text.rlike(r"\A\s*\["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), "array<string>")
-    return F.when(F.lower(F.btrim(text)).isin("lsb", "msb"), F.lower(F.btrim(text))).otherwise(F.to_json(F.transform(listed, lambda v: v.try_cast("int"))))
+    numbers = F.transform(listed, lambda v: v.try_cast("int"))
+    word = F.lower(F.btrim(text))
+    return F.when(word.isin("lsb", "msb"), word).when(~F.exists(numbers, lambda v: v.isNull()), F.to_json(numbers))
+
+
+class Field(NamedTuple):
+    """A target field: its Spark type, the type that needs no cast, the cast rule (else a plain cast), the default."""
 
+    name: str
+    kind: str
+    native: str
+    rule: Callable[[Column], Column] | None = None
+    default: object = None
 
-#: Target field, Spark type, cast rule.
-RECORD_FIELDS: list[tuple[str, str, object]] = [
-    ("id", "bigint", None), ("learner", "string", None), ("Ni", "int", None), ("No", "int", None), ("Ng", "int", None), ("config_num", "int", None),
-    ("target_order", "string", _order), ("setup_time", "double", _number), ("learning_time", "double", None), ("trg_err", "double", None), ("test_err", "double", None), ("extra", "string", None),
+    def cast(self, text: Column) -> Column:
+        return self.rule(text) if self.rule else text if self.kind == "string" else text.try_cast(self.kind)
+
+
+RECORD_FIELDS = [
+    Field("id", "bigint", "integer"), Field("learner", "string", "string"), Field("Ni", "int", "integer"), Field("No", "int", "integer"), Field("Ng", "int", "integer"), Field("config_num", "int", "integer"),
+    Field("target_order", "string", "array<integer>", _order), Field("setup_time", "double", "decimal", _seconds), Field("learning_time", "double", "decimal"), Field("trg_err", "double", "decimal"),
+    Field("test_err", "double", "decimal"), Field("extra", "string", "object"),
 ]
 
+#: The scope of renames of all streams together; streams' own scopes start with =.
+_ALL = "*"
+
 
-def unify(lines: DataFrame, rules: dict[str, list[str]], fields: list[tuple[str, str, object]] = RECORD_FIELDS, *, keep: tuple[str, ...] = ("log_file_id", "line_no"), line_col: str = "line") -> DataFrame:
-    """Every line as one row of the target fields; keys without a target stay in ``others``."""
-    # as a map of texts: objects and arrays stay JSON, texts lose their quotes
-    parsed = lines.withColumn("__gw_m", F.from_json(F.col(f"`{line_col}`"), "map<string,string>"))
-    columns, known = [], []
-    for name, kind, rule in fields:
-        names = rules.get(name, [name])
-        known += names
-        value = F.coalesce(*(F.try_element_at("__gw_m", F.lit(n)) for n in names))
-        columns.append((rule(value) if rule else value.try_cast(kind)).alias(name))
-    others = F.map_filter("__gw_m", lambda k, _: ~k.isin(*known))
-    return parsed.select(*keep, *columns, others.alias("others"))
+def _renames(versioned: DataFrame, steps: DataFrame) -> DataFrame:
+    """(scope, field, to_field), each way: the renames of single streams and of all together.
+
+    Two names of one field never stand in the same file; a rename between names that do is
+    a chance meeting (one field went, another of its type came) and makes no rule.
+    """
+    pairs = steps.where("change = 'renamed'").select(F.explode(F.array(F.lit(_ALL), F.concat(F.lit("="), F.col("stream").cast("string")))).alias("scope"), "field", "to_field").distinct()
+    # files of one schema tell the same, and there are far fewer schemas than files
+    schemas = versioned.groupBy("fingerprint").agg(F.any_value(F.map_keys("fields")).alias("all"))
+    both = schemas.select(F.explode("all").alias("field"), "all").join(pairs.select("field", "to_field").distinct(), "field")
+    together = both.where(F.array_contains("all", F.col("to_field"))).select("field", "to_field").distinct()
+    kept = pairs.join(together, ["field", "to_field"], "left_anti")
+    return kept.unionByName(kept.select("scope", F.col("to_field").alias("field"), F.col("field").alias("to_field"))).distinct()
+
+
+def _chains(scopes: DataFrame, renames: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """(scope, field, place, far): the names that lead to a target (its place in the list) over ``far`` renames.
+
+    A name belongs to the target with the shortest chain, then to the one listed first. All
+    scopes take one step per round, so the rounds are as many as the longest chain has names.
+    """
+    named = F.array(*(F.struct(F.lit(t).alias("field"), F.lit(i).alias("place"), F.lit(0).alias("far")) for i, t in enumerate(targets)))
+    known = front = checkpoint(scopes.select("scope", F.inline(named)))
+    renames, far = checkpoint(renames), 0
+    while True:
+        far += 1
+        met = renames.join(front.select("scope", "field", "place"), ["scope", "field"]).select("scope", F.col("to_field").alias("field"), "place")
+        new = met.join(known.select("scope", "field"), ["scope", "field"], "left_anti").groupBy("scope", "field").agg(F.min("place").alias("place"))
+        front = checkpoint(new.withColumn("far", F.lit(far)))
+        if front.isEmpty():
+            return known
+        known = known.unionByName(front)
+
+
+def routes(versioned: DataFrame, steps: DataFrame, fields: Sequence[Field] = RECORD_FIELDS) -> DataFrame:
+    """(file_id, field, types, target, far): where each field of each file goes, by the steps of the file's own stream.
+
+    Streams of the same record family (see above) take over the renames of others for names
+    that their own steps say nothing about. Fields that go nowhere have no row.
+    """
+    targets = [f.name for f in fields]
+    keys = versioned.select("file_id", F.concat(F.lit("="), F.col("stream").cast("string")).alias("scope"), F.explode("fields").alias("field", "types"))
+    held = keys.select("scope", "field").distinct()
+    one = versioned.sparkSession.range(1).select(F.lit(_ALL).alias("scope"))
+    chains = _chains(held.select("scope").distinct().unionByName(one), _renames(versioned, steps), targets)
+    own = held.join(chains, ["scope", "field"])
+    family = own.groupBy("scope").agg(F.count_distinct("place").alias("n")).where((F.col("n") >= MIN_SHARED) & (2 * F.col("n") >= len(targets))).select("scope")
+    others = chains.where(F.col("scope") == _ALL).select("field", "place", "far")
+    taken = held.join(family, "scope", "left_semi").join(own.select("scope", "field"), ["scope", "field"], "left_anti").join(others, "field").select("scope", "field", "place", "far")
+    rules = own.select("scope", "field", "place", "far").unionByName(taken)
+    name = F.element_at(F.array(*map(F.lit, targets)), F.col("place") + 1)
+    return keys.join(rules, ["scope", "field"]).select("file_id", "field", "types", name.alias("target"), "far")
+
+
+def applied(routed: DataFrame, versioned: DataFrame, fields: Sequence[Field] = RECORD_FIELDS, *, file_col: str = "log_file_id") -> DataFrame:
+    """(file, field, target, rule) of every rule that changes something in a file: rename, cast, default (no field)."""
+    native = F.create_map(*(F.lit(v) for f in fields for v in (f.name, f.native)))
+    rules = F.array_compact(F.array(F.when(F.col("field") != F.col("target"), F.lit("rename")), F.when((F.col("types") != "") & (F.col("types") != native[F.col("target")]), F.lit("cast"))))
+    changed = routed.select("file_id", "field", "target", F.explode(rules).alias("rule"))
+    have = routed.groupBy("file_id").agg(F.collect_set("target").alias("have"))
+    every = versioned.select("file_id").join(have, "file_id", "left")
+    missing = F.array_except(F.array(*(F.lit(f.name) for f in fields)), F.coalesce("have", F.array().cast("array<string>")))
+    filled = every.select("file_id", F.lit(None).cast("string").alias("field"), F.explode(missing).alias("target"), F.lit("default").alias("rule"))
+    return changed.unionByName(filled).withColumnRenamed("file_id", file_col)
+
+
+def unify(lines: DataFrame, routed: DataFrame, fields: Sequence[Field] = RECORD_FIELDS, *, keep: tuple[str, ...] = ("log_file_id", "line_no"), file_col: str = "log_file_id", line_col: str = "line") -> DataFrame:
+    """Every line as one row of the target fields, ``others`` (what has no place there) and ``leftovers`` (field, rule, value)."""
+    place = {f.name: i for i, f in enumerate(fields)}
+    at = F.create_map(*(v for f in fields for v in (F.lit(f.name), F.lit(place[f.name]))))
+    entry = F.struct("field", F.struct(at[F.col("target")].alias("place"), "far"))
+    per_file = routed.groupBy(F.col("file_id").alias("__gw_file")).agg(F.map_from_entries(F.collect_list(entry)).alias("__gw_route"))
+    plain = F.create_map(*(v for f in fields for v in (F.lit(f.name), F.struct(F.lit(place[f.name]).alias("place"), F.lit(0).alias("far")))))
+    # as texts: objects and arrays stay JSON, texts lose their quotes
+    parsed = lines.withColumn("__gw_e", F.map_entries(F.from_json(F.col(f"`{line_col}`"), "map<string,string>")))
+    names = F.col("__gw_e.key")
+    last = lambda e, i: F.array_position(F.reverse(names), e["key"]) == F.size(names) - i
+    parsed = parsed.withColumn("__gw_e", F.filter("__gw_e", last)).join(per_file, F.col(f"`{file_col}`").cast("bigint") == F.col("__gw_file"), "left")
+
+    def placed(e: Column) -> Column:
+        to = F.coalesce(F.col("__gw_route"), plain)[e["key"]]
+        fits = F.coalesce(*(F.when(to["place"] == i, f.cast(e["value"]).isNotNull()) for i, f in enumerate(fields)), F.lit(False))
+        return F.struct(to["place"].alias("place"), (~fits).alias("misfit"), to["far"].alias("far"), e["key"].alias("field"), e["value"].alias("value"))
+
+    # the first of each place that fits, by length of chain, then name, is taken; exploding one
+    # array of arrays gives back the row, with the inner array worked out once
+    parsed = parsed.select("*", F.explode(F.array(F.array_sort(F.transform("__gw_e", placed)))).alias("__gw_p"))
+    is_taken = lambda p, i: ~p["misfit"] & ~F.coalesce(F.get("__gw_p", i - 1)["place"] == p["place"], F.lit(False))
+    parsed = parsed.withColumn("__gw_s", F.filter("__gw_p", lambda p, i: p["place"].isNull() | (p["value"].isNotNull() & ~is_taken(p, i))))
+    first = lambda i: F.get(F.filter("__gw_p", lambda p: (p["place"] == i) & ~p["misfit"]), F.lit(0))["value"]
+    columns = []
+    for f in fields:
+        value = f.cast(first(place[f.name]))
+        columns.append((value if f.default is None else F.coalesce(value, F.lit(f.default))).alias(f.name))
+    others = F.map_from_entries(F.transform("__gw_s", lambda p: F.struct(p["field"], p["value"])))
+    left = F.transform(F.filter("__gw_s", lambda p: p["place"].isNotNull()), lambda p: F.struct(p["field"].alias("field"), F.when(p["misfit"], F.lit("uncast")).otherwise("unused").alias("rule"), p["value"].alias("value")))
+    unread = F.when(F.col("__gw_e").isNull() & F.col(f"`{line_col}`").isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit("unparsed").alias("rule"), F.col(f"`{line_col}`").alias("value"))))
+    return parsed.select(*keep, *columns, others.alias("others"), F.coalesce(unread, left).alias("leftovers"))
+
+
+def leftovers(unified: DataFrame, *, keep: tuple[str, ...] = ("log_file_id", "line_no")) -> DataFrame:
+    """(file, line, field, rule, value) of every value that had a target and could not be put there."""
+    return unified.select(*keep, F.inline("leftovers"))

@@ -18,12 +18,35 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return drift.report(drift.migrations(versioned))
 
 
-def p1_unified(spark: SparkSession, sf: str) -> DataFrame:
+def _drift(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, versions, routes)"""
     lines = table(spark, sf, "record_lines")
     versioned = checkpoint(drift.versions(lines, table(spark, sf, "record_files")))
-    rules = drift.alias_rules(versioned, drift.migrations(versioned), [name for name, _, _ in drift.RECORD_FIELDS])
-    unified = drift.unify(lines, rules)
-    return unified.withColumn("others", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("others")))))
+    return lines, versioned, drift.routes(versioned, drift.migrations(versioned))
+
+
+def p1_unified(spark: SparkSession, sf: str) -> DataFrame:
+    """One table of all records; of ``extra`` and ``others`` their keys, and sums of the numbers in them."""
+    lines, _, routed = _drift(spark, sf)
+    keys = lambda m: F.array_join(F.array_sort(m), ",")
+    total = lambda values: F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + F.coalesce(v.try_cast("double"), F.lit(0.0))), 6)
+    extra = F.from_json("extra", "map<string,string>")
+    unified = drift.unify(lines, routed).withColumns({
+        "extra_keys": keys(F.map_keys(extra)), "extra_errors": total(F.from_json(extra["best_err"], "array<string>")), "other_keys": keys(F.map_keys("others")), "other_sum": total(F.map_values("others")),
+    })
+    return unified.drop("extra", "others", "leftovers")
+
+
+def p1_applied(spark: SparkSession, sf: str) -> DataFrame:
+    """The rename, cast and default rules that each file went through."""
+    _, versioned, routed = _drift(spark, sf)
+    return drift.applied(routed, versioned)
+
+
+def p1_leftovers(spark: SparkSession, sf: str) -> DataFrame:
+    """The values that no rule could place in the one table; they stay in ``others``."""
+    lines, _, routed = _drift(spark, sf)
+    return drift.leftovers(drift.unify(lines, routed)).select("log_file_id", "line_no", "field", "rule")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +90,7 @@ def p6_kept(spark: SparkSession, sf: str) -> DataFrame:
     return deliveries.keep_one(table(spark, sf, "result_messages")).select("delivery_id", "id", "batch_id", "worker", "body")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_journal, p2_records, p3_found, p3_nodes, p5_found, p5_loaded, p6_found, p6_kept)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_unified, p1_applied, p1_leftovers, p2_found, p2_journal, p2_records, p3_found, p3_nodes, p5_found, p5_loaded, p6_found, p6_kept)}
 
 _SIGNALS = ", ".join([*(f"x{i}" for i in range(8)), *(f"y{i}" for i in range(4))])
 _MESSAGES = r"select *, nullif(lower(trim(id, e' \t\r\n')), '') as nid from result_messages"
@@ -86,9 +109,7 @@ _PARSED = f"""r as (select raw_id, line, ni, 1 + ni + nout + 2 as n, ni + nout a
                 when d <> '' and not (regexp_full_match(d, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') and try_cast(d as date) is not null) then 'value'
             end as reason from c)"""
 
-SQL: dict[str, str] = {
-    "p1_found": """
-        with recursive rec as (select log_file_id, unnest(json_keys(line)) as k, line from record_lines),
+_DRIFT = """with recursive rec as (select log_file_id, unnest(json_keys(line)) as k, line from record_lines),
         vals as (select log_file_id, k, json_extract(line, '$."' || k || '"') as v from rec),
         -- types of values; lists are opened level by level, their types put together from the inside
         leaf as (select log_file_id, k, v, json_type(v) as jt from vals),
@@ -101,11 +122,55 @@ SQL: dict[str, str] = {
         sides as (select log_file_id, k, max(new) as new, max(old) as old from pairs group by all),
         gone as (select *, count(*) over (partition by log_file_id, old) as n from sides where new is null),
         came as (select *, count(*) over (partition by log_file_id, new) as n from sides where old is null),
-        ren as (select g.log_file_id, g.k as field, c.k as to_field from gone g join came c on g.log_file_id = c.log_file_id and g.old = c.new and g.n = 1 and c.n = 1)
+        ren as (select g.log_file_id, g.k as field, c.k as to_field from gone g join came c on g.log_file_id = c.log_file_id and g.old = c.new and g.n = 1 and c.n = 1)"""
+# record fields, their place, the type that needs no cast
+_TARGETS = """t as (select unnest(['id', 'learner', 'Ni', 'No', 'Ng', 'config_num', 'target_order', 'setup_time', 'learning_time', 'trg_err', 'test_err', 'extra']) as target,
+            unnest(['integer', 'string', 'integer', 'integer', 'integer', 'integer', 'array<integer>', 'decimal', 'decimal', 'decimal', 'decimal', 'object']) as native, unnest(range(12)) as place)"""
+_ROUTES = f"""{_DRIFT}, {_TARGETS},
+        met as (select distinct a.k as x, b.k as y from fields a join fields b using (log_file_id)),
+        pr as (select distinct unnest([stream_id::varchar, '*']) as scope, field as a, to_field as b from ren join record_files using (log_file_id) where (field, to_field) not in (select (x, y) from met)),
+        nb as (select scope, a, b from pr union select scope, b, a from pr),
+        reach as (select scope, target as k, place, 0 as far from (select distinct stream_id::varchar as scope from record_files union select '*'), t
+            union select r.scope, b, place, far + 1 from reach r join nb on nb.scope = r.scope and nb.a = r.k where b not in (select target from t) and far < 12),
+        chain as (select scope, k, min(far) as far, min_by(place, far * 100 + place) as place from reach group by all),
+        held as (select distinct stream_id::varchar as scope, k from fields join record_files using (log_file_id)),
+        own as (select * from held join chain using (scope, k)),
+        family as (select scope from own group by scope having count(distinct place) >= 6),
+        rule as (select * from own union all select h.scope, h.k, c.far, c.place from held h join chain c on c.scope = '*' and c.k = h.k where h.scope in (select scope from family) and (h.scope, h.k) not in (select (scope, k) from own)),
+        routed as (select log_file_id, f.k as field, ty, place, target, native, far from fields f join record_files using (log_file_id) join rule on scope = stream_id::varchar and rule.k = f.k join t using (place))"""
+_VALUES = f"""{_ROUTES},
+        vals2 as (select log_file_id, line_no, k as field, json_extract(line, '$."' || k || '"') as v from (select *, unnest(json_keys(line)) as k from record_lines)),
+        texts as (select *, case json_type(v) when 'NULL' then null when 'VARCHAR' then v ->> '$' else v::varchar end as s from vals2),
+        cast_ as (select x.*, target, place, far, case
+            when target in ('learner', 'extra') then s
+            when target in ('id', 'Ni', 'No', 'Ng', 'config_num') then try_cast(s as bigint)::varchar
+            when target = 'target_order' then case when lower(trim(s)) in ('lsb', 'msb') then lower(trim(s)) else to_json(try_cast(case when s like '[%' then replace(s, '"', '') else '[' || s || ']' end as int[]))::varchar end
+            when target = 'setup_time' then try_cast(trim(regexp_replace(case when json_type(v) = 'OBJECT' then v ->> '$.value' else s end, '(?i)\\s*s(ec(onds)?)?\\s*$', '')) as double)::varchar
+            when target is not null then try_cast(s as double)::varchar end as c from texts x left join routed using (log_file_id, field)),
+        pick as (select *, row_number() over (partition by log_file_id, line_no, place order by c is null, far, field) as rn from cast_)"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"""
+        {_DRIFT}
         select log_file_id, k as field, 'retyped' as change from sides where new <> old
         union all select log_file_id, field, 'renamed' from ren
         union all select log_file_id, k, 'removed' from gone where (log_file_id, k) not in (select (log_file_id, field) from ren)
         union all select log_file_id, k, 'added' from came where (log_file_id, k) not in (select (log_file_id, to_field) from ren)""",
+    "p1_applied": f"""
+        {_ROUTES}
+        select log_file_id, field, target, 'rename' as rule from routed where field <> target
+        union all select log_file_id, field, target, 'cast' from routed where ty <> '' and ty <> native
+        union all select log_file_id, null, target, 'default' from record_files, t where (log_file_id, target) not in (select (log_file_id, target) from routed)""",
+    "p1_leftovers": f"""
+        {_VALUES}
+        select log_file_id, line_no, field, case when c is null then 'uncast' else 'unused' end as rule from pick where place is not null and s is not null and (c is null or rn > 1)""",
+    "p1_unified": f"""
+        {_VALUES},
+        one as (select log_file_id, line_no, {", ".join(f"max(c) filter (target = '{n}' and rn = 1) as {n}" for n in ("id", "learner", "Ni", "No", "Ng", "config_num", "target_order", "setup_time", "learning_time", "trg_err", "test_err", "extra"))},
+            string_agg(field, ',' order by field) filter (place is null or (s is not null and (c is null or rn > 1))) as other_keys, sum(try_cast(s as double)) filter (place is null or c is null or rn > 1) as other_sum from pick group by all)
+        select log_file_id, line_no, id::bigint as id, learner, Ni::int as Ni, No::int as No, Ng::int as Ng, config_num::int as config_num, target_order, setup_time::double as setup_time, learning_time::double as learning_time, trg_err::double as trg_err,
+            test_err::double as test_err, array_to_string(list_sort(json_keys(extra)), ',') as extra_keys, round(list_sum(json_extract(extra, '$.best_err')::double[]), 6) as extra_errors, coalesce(other_keys, '') as other_keys, round(coalesce(other_sum, 0), 6) as other_sum
+        from record_lines left join one using (log_file_id, line_no)""",
     "p3_found": """
         with recursive raw as (select distinct result_id, nout, target_order, extra from results where extra is not null),
         un as (select result_id, nout, target_order, extra::json as e from raw

@@ -61,24 +61,79 @@ def test_order_over_many_blocks(spark):
     assert got == {(i, f"k{i // 5 - 1}", "renamed") for i in range(5, 30, 5)}
 
 
-def test_unified_table(spark):
-    text = lambda **k: json.dumps(k)
-    files = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 1, 3)], FILES)
-    lines = spark.createDataFrame(
-        [(1, 1, text(id=1, setup_time=1.5, target_order=[1, 0], extra={"a": 1})), (2, 1, text(id=2, setupTime=0.5, target_order="1,0", extra={"a": 1}, more=True)), (3, 1, text(id=3, setupTime="2.5 s", target_order=["1", "0"], extra=None)),
-         (3, 2, text(id=4, setupTime={"value": 0.25, "unit": "s"}, target_order="MSB")), (3, 3, text(id=5, setupTime=750)), (3, 4, "no json"), (3, 5, None)], LINES)
+def unified(spark, files, lines, fields=drift.RECORD_FIELDS):
+    files, lines = spark.createDataFrame(files, FILES), spark.createDataFrame(lines, LINES)
     versioned = drift.versions(lines, files)
-    rules = drift.alias_rules(versioned, drift.migrations(versioned), [n for n, _, _ in drift.RECORD_FIELDS])
-    assert rules["setup_time"] == ["setup_time", "setupTime"]
-    rows = {(r["log_file_id"], r["line_no"]): r for r in drift.unify(lines, rules).collect()}
-    assert [rows[k]["setup_time"] for k in sorted(rows)] == [1.5, 0.5, 2.5, 0.25, 0.75, None, None]
+    routed = drift.routes(versioned, drift.migrations(versioned), fields)
+    got = drift.unify(lines, routed, fields)
+    return routed, drift.applied(routed, versioned, fields), got
+
+
+def text(**k):
+    return json.dumps(k)
+
+
+FIELDS = [drift.Field("id", "bigint", "integer"), drift.Field("setup_time", "double", "decimal", drift._seconds), drift.Field("trg_err", "double", "decimal"), drift.Field("learner", "string", "string", None, "unknown")]
+
+
+def test_unified_table(spark):
+    files = [(1, 1, 1), (2, 1, 2), (3, 1, 3)]
+    lines = [
+        (1, 1, text(id=1, setup_time=1.5, target_order=[1, 0], extra={"a": 1})), (2, 1, text(id=2, setupTime=0.5, target_order="1,0", extra={"a": 1}, more=True)), (3, 1, text(id=3, setupTime="2.5 s", target_order=["1", "0"], extra=None)),
+        (3, 2, text(id=4, setupTime={"value": 0.25, "unit": "s"}, target_order="MSB")), (3, 3, text(id=5, setupTime=750)), (3, 4, "no json"), (3, 5, None),
+    ]
+    routed, _, got = unified(spark, files, lines)
+    assert {(r["file_id"], r["field"], r["target"]) for r in routed.where("target = 'setup_time'").collect()} == {(1, "setup_time", "setup_time"), (2, "setupTime", "setup_time"), (3, "setupTime", "setup_time")}
+    rows = {(r["log_file_id"], r["line_no"]): r for r in got.collect()}
+    assert [rows[k]["setup_time"] for k in sorted(rows)] == [1.5, 0.5, 2.5, 0.25, 750.0, None, None]
     assert [rows[k]["target_order"] for k in sorted(rows)] == ["[1,0]", "[1,0]", "[1,0]", "msb", None, None, None]
     assert rows[2, 1]["others"] == {"more": "true"} and rows[1, 1]["extra"] == '{"a":1}' and len(rows) == 7
+    assert [tuple(r) for r in drift.leftovers(got).collect()] == [(3, 4, None, "unparsed", "no json")]
+
+
+def test_no_value_is_lost(spark):
+    files = [(1, 1, 1), (2, 1, 2), (3, 1, 3)]
+    lines = [
+        (1, 1, text(id=1, setup_time=1.5, trg_err=0.5)), (2, 1, text(id=2, setupTime=2.5, trg_err="n/a")), (3, 1, text(id=3, st=9.25, trg_err=0.5)),
+        (9, 1, '{"setup_time": 1.5, "st": 9.25}'), (9, 2, text(id="about 2", setup_time="about 2 s", learner="split")), (9, 3, text(setup_time={"value": 3, "unit": "h"})), (9, 4, '{"id": 1, "id": 2}'),
+    ]
+    _, _, got = unified(spark, [*files, (9, 1, 9)], lines[:3] + [(9, 1, text(id=4, setup_time=1.5, trg_err=0.5)), (9, 2, text(id=5, st=9.25, trg_err=0.5))], FIELDS)
+    # setup_time and st meet in file 9, but their chain runs over setupTime
+    rows = {(r["log_file_id"], r["line_no"]): r for r in got.collect()}
+    assert [rows[k]["setup_time"] for k in sorted(rows)] == [1.5, 2.5, 9.25, 1.5, 9.25]
+    assert rows[2, 1]["trg_err"] is None and rows[2, 1]["others"] == {"trg_err": "n/a"} and rows[1, 1]["learner"] == "unknown"
+    _, _, got = unified(spark, [*files, (9, 1, 9)], lines, FIELDS)
+    rows = {(r["log_file_id"], r["line_no"]): r for r in got.collect()}
+    assert rows[9, 1]["setup_time"] == 1.5 and rows[9, 1]["others"] == {"st": "9.25"}
+    assert rows[9, 2]["others"] == {"id": "about 2", "setup_time": "about 2 s"} and rows[9, 2]["learner"] == "split" and rows[9, 4]["id"] == 2
+    assert {tuple(r) for r in drift.leftovers(got).collect()} == {
+        (2, 1, "trg_err", "uncast", "n/a"), (9, 1, "st", "unused", "9.25"), (9, 2, "id", "uncast", "about 2"), (9, 2, "setup_time", "uncast", "about 2 s"), (9, 3, "setup_time", "uncast", '{"value":3,"unit":"h"}'),
+    }
+
+
+def test_streams_keep_their_own_names(spark):
+    whole = dict(id=1, trg_err=0.5, learner="split")
+    files = [(1, 1, 1), (2, 1, 2), (3, 2, 1), (4, 3, 1), (5, 4, 1), (6, 4, 2)]
+    lines = [
+        (1, 1, text(**whole, setup_time=1.5)), (2, 1, text(**whole, st=2.5)),  # the rename
+        (3, 1, text(id=3, st=7.5, colour="red")),  # another kind of record with a field st of its own
+        (4, 1, text(**whole, st=3.5)),  # the same kind, in a stream that never renamed it
+        (5, 1, text(**whole, begin=4.5)), (6, 1, text(**whole, start=5.5)),  # renamed, but not from or to a target
+        (7, 1, text(id=7, st=1.5, setup_time=2.5)),  # a file of no stream is read by the target names
+    ]
+    routed, done, got = unified(spark, files, lines, FIELDS)
+    rows = {r["log_file_id"]: (r["setup_time"], r["others"]) for r in got.collect()}
+    assert rows == {1: (1.5, {}), 2: (2.5, {}), 3: (None, {"st": "7.5", "colour": "red"}), 4: (3.5, {}), 5: (None, {"begin": "4.5"}), 6: (None, {"start": "5.5"}), 7: (2.5, {"st": "1.5"})}
+    assert {tuple(r) for r in done.where("log_file_id in (2, 3, 4)").collect()} == {
+        (2, "st", "setup_time", "rename"), (4, "st", "setup_time", "rename"), (3, None, "setup_time", "default"), (3, None, "trg_err", "default"), (3, None, "learner", "default"),
+    }
 
 
 def test_chance_renames_make_no_rule(spark):
-    text = lambda **k: json.dumps(k)
-    files = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 2, 1)], FILES)
-    lines = spark.createDataFrame([(1, 1, text(setup_time=1.5)), (2, 1, text(noise=0.5)), (3, 1, text(setup_time=1.5, noise=0.5))], LINES)
-    versioned = drift.versions(lines, files)
-    assert drift.alias_rules(versioned, drift.migrations(versioned), ["setup_time"]) == {"setup_time": ["setup_time"]}
+    files = [(1, 1, 1), (2, 1, 2), (3, 2, 1)]
+    lines = [(1, 1, text(setup_time=1.5)), (2, 1, text(noise=0.5)), (3, 1, text(setup_time=1.5, noise=0.5))]
+    routed, _, got = unified(spark, files, lines)
+    assert {(r["file_id"], r["field"]) for r in routed.collect()} == {(1, "setup_time"), (3, "setup_time")}
+    assert drift.leftovers(got).isEmpty()
+    routed, done, got = unified(spark, [], [])
+    assert got.isEmpty() and done.isEmpty()
