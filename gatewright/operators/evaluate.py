@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.functions.gates import gate
+from gatewright.functions.gates import TABLE, gate
 from gatewright.model.network import Network
 
 WIDE_GATES = 400
@@ -58,15 +58,9 @@ def evaluate_bits(gates: Sequence[tuple[int, int, int]], ni: int, x: np.ndarray)
     return act
 
 
-# transfer functions 0 to 7 on bool or unsigned vectors; the others are complements
-_VECTOR = [
-    lambda x, y: np.zeros_like(x), lambda x, y: ~(x | y), lambda x, y: ~x & y, lambda x, y: ~x,
-    lambda x, y: x & ~y, lambda x, y: ~y, lambda x, y: x ^ y, lambda x, y: ~(x & y),
-]
-
-
 def vector_gate(k: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return _VECTOR[k](x, y) if k < 8 else ~_VECTOR[15 - k](x, y)
+    """A function on vectors of bools or of unsigned words; always a new array."""
+    return np.array(TABLE[k](x, y, ~np.zeros_like(x)))
 
 
 def _vectors(df: DataFrame, network: Network, inputs: Sequence[str] | None, prefix: str) -> DataFrame:

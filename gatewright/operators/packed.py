@@ -1,43 +1,48 @@
 """Bit-sliced tables: 64 examples per row, one bigint word per signal.
 
-Bit i of word b is example 64 b + i of the order by ``position``, a dense number from 0.
+Bit i of word b is the example at position 64 b + i. Positions are unique; they need not be
+dense, as the word ``valid`` has a 1 for each position that is there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _at(bit: Column | int, place: Column) -> Column:
+    return F.call_function("shiftleft", (bit if isinstance(bit, Column) else F.lit(bit)).cast("bigint"), place)
+
+
 def pack(df: DataFrame, signals: Sequence[str], position: str = "id") -> DataFrame:
-    """(blk, n_valid, signal words). Partial words are combined before the shuffle."""
-    bit = F.pmod(F.col(position), F.lit(64)).cast("int")
-    words = [F.bit_or(F.call_function("shiftleft", F.col(s).cast("bigint"), bit)).alias(s) for s in signals]
-    return df.groupBy(F.floor(F.col(position) / 64).alias("blk")).agg(F.count(F.lit(1)).cast("int").alias("n_valid"), *words)
+    """(blk, n_valid, valid, signal words). Partial words are combined before the shuffle."""
+    place = F.pmod(F.col(position), F.lit(64)).cast("int")
+    words = [F.bit_or(_at(F.col(s), place)).alias(s) for s in signals]
+    return df.groupBy(F.floor(F.col(position) / 64).alias("blk")).agg(F.count(F.lit(1)).cast("int").alias("n_valid"), F.bit_or(_at(1, place)).alias("valid"), *words)
 
 
 def unpack(packed: DataFrame, signals: Sequence[str], position: str = "id") -> DataFrame:
-    """The rows of a packed table whose blocks are full but for the last."""
-    rows = packed.select("*", F.explode(F.sequence(F.lit(0), F.col("n_valid") - 1)).alias("__gw_i"))
+    """The rows of a packed table."""
+    rows = packed.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("valid", i) == 1)).alias("__gw_i"))
     return rows.select((F.col("blk") * 64 + F.col("__gw_i")).alias(position), *(F.getbit(F.col(s), F.col("__gw_i")).cast("int").alias(s) for s in signals))
 
 
-def valid_mask():
-    """The word with a 1 for every example of a block (all ones for a full one)."""
-    return F.when(F.col("n_valid") >= 64, F.lit(-1).cast("bigint")).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("n_valid")) - 1)
-
-
 def popcounts(packed: DataFrame, signals: Sequence[str]) -> DataFrame:
-    """One row: the ones of every signal; tail bits that gates may have set don't count."""
-    return packed.agg(*(F.sum(F.bit_count(F.col(s).bitwiseAND(valid_mask())).cast("bigint")).alias(s) for s in signals))
-
-
-def floodcounts(packed: DataFrame, signals: Sequence[str], total: int | None = None) -> DataFrame:
-    """One row: per signal the examples from its first one to the end, 0 if it has none."""
-    word = lambda s: F.col(s).bitwiseAND(valid_mask())
-    # trailing zeros of a word: ones below its lowest one
-    first = lambda s: F.min(F.when(word(s) != 0, F.col("blk") * 64 + F.bit_count((word(s).bitwiseAND(-word(s))) - 1)))
-    n = F.sum("n_valid").cast("bigint") if total is None else F.lit(total)
-    return packed.agg(*(F.coalesce(n - first(s), F.lit(0)).alias(s) for s in signals))
+    """One row: the ones of every signal; bits that gates may have set where there is no example don't count."""
+    return packed.agg(*(F.sum(F.bit_count(F.col(s).bitwiseAND(F.col("valid"))).cast("bigint")).alias(s) for s in signals))
+
+
+def floodcounts(packed: DataFrame, signals: Sequence[str]) -> DataFrame:
+    """One row: per signal the examples from its first one to the last example, 0 if it has none.
+
+    The first block with a one is found by one aggregation, the examples before it by another;
+    nothing is ordered.
+    """
+    word = lambda s: F.col(s).bitwiseAND(F.col("valid"))
+    first = packed.agg(F.struct(*(F.min(F.when(word(s) != 0, F.col("blk"))).alias(s) for s in signals))).scalar()
+    # in that block, the valid bits from the lowest one of the signal up
+    from_here = lambda s: F.col("valid").bitwiseAND(F.bitwise_not((word(s).bitwiseAND(-word(s))) - 1))
+    n = lambda s: F.when(F.col("blk") > first[s], F.col("n_valid")).when(F.col("blk") == first[s], F.bit_count(from_here(s)))
+    return packed.agg(*(F.coalesce(F.sum(n(s).cast("bigint")), F.lit(0)).alias(s) for s in signals))

@@ -310,13 +310,13 @@ def pack_unpack(spark: SparkSession, sf: str) -> DataFrame:
 def packed_error_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Error counts from packed words: gates run on 64 examples at once."""
     words = packed.pack(tables.events(spark, sf), ["x0", "x1", "x2", "y0", "y1", "y2"])
-    return packed.popcounts(evaluate.errors(words, NET, keep=["blk", "n_valid"], packed=True), ["e0", "e1", "e2"])
+    return packed.popcounts(evaluate.errors(words, NET, keep=["blk", "n_valid", "valid"], packed=True), ["e0", "e1", "e2"])
 
 
 @query("packed_floodcounts", f"with {_CELLS} select max(f) filter (r = 0)::bigint as e0, max(f) filter (r = 1)::bigint as e1, max(f) filter (r = 2)::bigint as e2 from o")
 def packed_floodcounts(spark: SparkSession, sf: str) -> DataFrame:
     words = packed.pack(tables.events(spark, sf), ["x0", "x1", "x2", "y0", "y1", "y2"])
-    return packed.floodcounts(evaluate.errors(words, NET, keep=["blk", "n_valid"], packed=True), ["e0", "e1", "e2"])
+    return packed.floodcounts(evaluate.errors(words, NET, keep=["blk", "n_valid", "valid"], packed=True), ["e0", "e1", "e2"])
 
 
 @query("target_reorder", f"with {_ORDERS} select id, y3 as y0, y1 as y1 from bo")

@@ -7,19 +7,13 @@ two operations on whole numbers, whatever the number of examples, and counting o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 
+from gatewright.functions.gates import TABLE
 from gatewright.model.network import Move, Network
 
-#: Transfer function k on signals x and y, with all ones in m.
-GATES: list[Callable[[int, int, int], int]] = [
-    lambda x, y, m: 0, lambda x, y, m: m ^ (x | y), lambda x, y, m: y & (m ^ x), lambda x, y, m: m ^ x, lambda x, y, m: x & (m ^ y), lambda x, y, m: m ^ y, lambda x, y, m: x ^ y, lambda x, y, m: m ^ (x & y),
-    lambda x, y, m: x & y, lambda x, y, m: m ^ x ^ y, lambda x, y, m: y, lambda x, y, m: (m ^ x) | y, lambda x, y, m: x, lambda x, y, m: x | (m ^ y), lambda x, y, m: x | y, lambda x, y, m: m,
-]
-
-
 def pack_rows(bits: np.ndarray) -> list[int]:
     """Rows of 0/1 as whole numbers, the first example in the lowest bit."""
     return [int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little") for row in np.asarray(bits, dtype=np.uint8)]
@@ -93,7 +87,7 @@ class State:
 
     def errors(self) -> list[int]:
         """The error signals of the outputs, evaluated from the lowest changed gate on."""
-        act, m, ni, table = self.act, self.ones, self.ni, GATES
+        act, m, ni, table = self.act, self.ones, self.ni, TABLE
         for g in range(self._dirty, self.ng):
             a, b, k = self.gates[g]
             act[ni + g] = table[k](act[a], act[b], m)

@@ -43,15 +43,24 @@ def truth_table(spark: SparkSession, operator: str, nb: int, no: int | None = No
     return examples(spark.range(1 << operands.input_width(operator, nb)), operator, nb, no, order)
 
 
-def included(index: DataFrame, operator: str, nb: int, no: int | None = None, order: Sequence[int] | None = None) -> DataFrame:
-    """The listed examples (``pos``, ``id``), in the given order and as often as they are listed."""
+def _listed(index: DataFrame, operator: str, nb: int) -> Column:
+    """``id``, failing at run time on a number outside the operator's domain."""
     limit = 1 << operands.input_width(operator, nb)
-    return examples(index.where((F.col("id") >= 0) & (F.col("id") < limit)), operator, nb, no, order)
+    inside = (F.col("id") >= 0) & (F.col("id") < limit)
+    return F.when(inside, F.col("id")).otherwise(F.raise_error(F.format_string(f"example %s is not in 0..{limit - 1}", F.col("id"))).cast("bigint"))
+
+
+def included(index: DataFrame, operator: str, nb: int, no: int | None = None, order: Sequence[int] | None = None) -> DataFrame:
+    """The listed examples (``pos``, ``id``), in the given order and as often as they are listed; unknown numbers fail."""
+    return examples(index.withColumn("id", _listed(index, operator, nb)), operator, nb, no, order)
 
 
 def excluded(spark: SparkSession, index: DataFrame, operator: str, nb: int, no: int | None = None, order: Sequence[int] | None = None) -> DataFrame:
-    """All examples but the listed ones, ascending."""
-    numbers = spark.range(1 << operands.input_width(operator, nb)).join(index.select("id").distinct(), "id", "left_anti")
+    """All examples but the listed ones, ascending; unknown numbers fail, as does a list longer than the domain."""
+    n = 1 << operands.input_width(operator, nb)
+    too_long = F.raise_error(F.lit(f"more than {n} examples are listed; there are no more")).cast("boolean")
+    fits = F.when(index.agg(F.count(F.lit(1))).scalar() > n, too_long).otherwise(True)
+    numbers = spark.range(n).where(fits).join(index.select(_listed(index, operator, nb).alias("id")), "id", "left_anti")
     return examples(numbers, operator, nb, no, order)
 
 

@@ -1,8 +1,11 @@
+import hashlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gatewright.functions import operands
-from gatewright.operators import graphs, sampling
+from gatewright.operators import graphs, packed, sampling
 from gatewright.operators.scans import previous, running_before
 from gatewright.sources import truth_tables
 
@@ -43,9 +46,16 @@ def test_operators_agree_with_plain_numbers(spark, operator):
 
 
 def test_operator_limits(spark):
-    index = truth_tables.index_table(spark, [1, 99, -1, 1])
-    assert sorted(r["pos"] for r in truth_tables.included(index, "and", 2).collect()) == [0, 3]
-    assert truth_tables.excluded(spark, index, "and", 2).count() == 15
+    index = truth_tables.index_table(spark, [1, 3, 1])
+    assert sorted(r["pos"] for r in truth_tables.included(index, "and", 2).collect()) == [0, 1, 2]
+    assert truth_tables.excluded(spark, index, "and", 2).count() == 14
+    for outside in (99, -1):
+        index = truth_tables.index_table(spark, [1, outside])
+        for made in (truth_tables.included(index, "and", 2), truth_tables.excluded(spark, index, "and", 2)):
+            with pytest.raises(Exception, match="is not in 0..15"):
+                made.collect()
+    with pytest.raises(Exception, match="more than 16"):
+        truth_tables.excluded(spark, truth_tables.index_table(spark, list(range(16)) + [3]), "and", 2).collect()
     for bad in (lambda: operands.operand_count("div"), lambda: operands.input_width("and", 0), lambda: truth_tables.truth_table(spark, "and", 2, 2, order=[2])):
         with pytest.raises(ValueError):
             bad()
@@ -69,3 +79,31 @@ def test_noise_and_bags(spark):
     bag = sampling.bag_index(df, 40, 3).collect()
     assert len(bag) == 40 and all(0 <= r["id"] < 40 for r in bag) and len({r["id"] for r in bag}) < 40
     assert sampling.sample_index(df, 2, 99, 1).count() == 80
+    # any keys will do: places are given to them first
+    sparse = spark.range(0, 300, 3)
+    bag = sampling.gather(sparse, sampling.bag_index(sparse, 100, 3)).collect()
+    assert len(bag) == 100 and all(r["id"] % 3 == 0 for r in bag)
+    assert sampling.bag_index(df.limit(0), 0, 3).count() == 0
+
+
+@pytest.mark.parametrize("bits", [0, 3, 16])
+def test_lowest_of_many_without_ordering_all(spark, bits):
+    df = spark.range(500).withColumnRenamed("id", "k").repartition(5)
+    chance = lambda s, k: hashlib.md5(f"{k}-7-{s}".encode()).hexdigest()
+    got = sampling.sample_index(df, 3, 60, 7, "k", bits=bits)
+    rows = {(r["sample"], r["pos"]): r["k"] for r in got.collect()}
+    assert rows == {(s, i): k for s in range(3) for i, k in enumerate(sorted(range(500), key=lambda k: chance(s, k))[:60])}
+    flipped = sampling.noisy(df.selectExpr("k", "0 as y0", "0 as y1"), ["y0", "y1"], 500, 0.2, 7, "k", bits=bits).collect()
+    for t in ("y0", "y1"):
+        assert {r["k"] for r in flipped if r[t]} == set(sorted(range(500), key=lambda k: chance(t, k))[:100])
+    assert sampling.sample_index(df, 2, 0, 7, "k", bits=bits).count() == 0
+
+
+def test_packed_positions_with_gaps(spark):
+    df = spark.createDataFrame([(0, 1), (5, 1), (40, 1), (41, 0), (200, 1)], "id bigint, s int")
+    words = packed.pack(df, ["s"])
+    assert packed.popcounts(words, ["s"]).first()["s"] == 4
+    assert sorted(tuple(r) for r in packed.unpack(words, ["s"]).collect()) == [(0, 1), (5, 1), (40, 1), (41, 0), (200, 1)]
+    # rows from the first one to the last: all five; with the first row 0, four
+    assert packed.floodcounts(words, ["s"]).first()["s"] == 5
+    assert packed.floodcounts(packed.pack(df.withColumn("s", F.when(F.col("id") == 0, 0).otherwise(F.col("s"))), ["s"]), ["s"]).first()["s"] == 4
