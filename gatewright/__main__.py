@@ -2,7 +2,7 @@
 
     python -m gatewright check experiment.yaml
     python -m gatewright prepare experiment.yaml folder
-    python -m gatewright run folder [--range first end]
+    python -m gatewright run folder [--range first end | --list file]
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ def main(arguments: list[str] | None = None) -> int:
     prepare.add_argument("folder")
     run = commands.add_parser("run", help="run the tasks of a folder that have no result yet")
     run.add_argument("folder")
-    run.add_argument("--range", nargs=2, type=int, metavar=("FIRST", "END"), help="only tasks of these configurations")
+    some = run.add_mutually_exclusive_group()
+    some.add_argument("--range", nargs=2, type=int, metavar=("FIRST", "END"), help="only tasks of these configurations")
+    some.add_argument("--list", metavar="FILE", help="only the tasks whose ids the file lists, one a line")
     options = parser.parse_args(arguments)
 
     if options.command == "check":
@@ -48,7 +50,10 @@ def main(arguments: list[str] | None = None) -> int:
     tasks = spark.read.parquet(f"{options.folder}/tasks")
     if options.range:
         tasks = tasks.where(F.col("config_num").between(options.range[0], options.range[1] - 1))
-    results = experiment.run_new(tasks, f"{options.folder}/results", experiment.named_arrays(spark, tasks))
+    if options.list:
+        wanted = spark.read.text(options.list).select(F.trim("value").alias("task_id")).distinct()
+        tasks = tasks.join(wanted, "task_id", "left_semi")
+    results = experiment.run_new(tasks, f"{options.folder}/results")
     print(f"{results.count()} results in {Path(options.folder) / 'results'}")
     return 0
 

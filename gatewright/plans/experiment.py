@@ -62,28 +62,46 @@ def configurations(experiment: Mapping) -> list[dict]:
     return [check(merged(base, *variant, {"configuration_number": i})) for i, variant in enumerate(variants)]
 
 
-def flat(config: object, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], object]]:
-    """(path, value) of every leaf."""
-    if isinstance(config, Mapping):
-        for key, value in config.items():
-            yield from flat(value, (*path, str(key)))
-    else:
-        yield path, config
+def leaves(config: Mapping) -> list[tuple[tuple[str, ...], object]]:
+    """(path, value) of everything in a nested mapping that is no mapping itself, in order."""
+    out, todo = [], [((), config)]
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, Mapping):
+            todo += [((*path, str(k)), v) for k, v in reversed(value.items())]
+        else:
+            out.append((path, value))
+    return out
 
 
-def filter_keys(config: Mapping, wanted: Sequence[tuple[str, Sequence[str]]]) -> dict:
-    """Leaves whose path matches a pattern (one regular expression per element), under new names.
+class KeyFilter:
+    """Leaves picked by patterns, one regular expression per path element, and given new names.
 
-    The first pattern that matches counts; ``{}`` in a name becomes the path elements that
-    are not literally the pattern's, joined by ``_``.
+    The first pattern listed that matches a path counts; ``{}`` in its name becomes the path
+    elements that its wildcard expressions matched, joined by ``_``.
     """
-    out = {}
-    for path, value in flat(config):
+
+    def __init__(self, wanted: Sequence[tuple[str, Sequence[str]]]) -> None:
+        self._by_length: dict[int, list[tuple[str, re.Pattern, list[int]]]] = {}
         for name, pattern in wanted:
-            if len(pattern) == len(path) and all(re.fullmatch(p, part) for p, part in zip(pattern, path, strict=True)):
-                out[name.format("_".join(part for p, part in zip(pattern, path, strict=True) if part != p)) if "{}" in name else name] = value
-                break
-    return out
+            # elements are texts without \0, so a joined path is matched by a joined pattern
+            whole = re.compile("\0".join(f"(?:{p})" for p in pattern), re.DOTALL)
+            wild = [i for i, p in enumerate(pattern) if set(p) & set(r".^$*+?{}[]\|()")]
+            self._by_length.setdefault(len(pattern), []).append((name, whole, wild))
+
+    def __call__(self, config: Mapping) -> dict:
+        found = {}
+        for path, value in leaves(config):
+            text = "\0".join(path)
+            match = next(((n, w) for n, whole, w in self._by_length.get(len(path), ()) if (m := whole.fullmatch(text)) and m[0].count("\0") == len(path) - 1), None)
+            if match:
+                name, wild = match
+                found[name.replace("{}", "_".join(path[i] for i in wild))] = value
+        return found
+
+
+def filter_keys(config: Mapping, wanted: Sequence[tuple[str, Sequence[str]]]) -> dict:
+    return KeyFilter(wanted)(config)
 
 
 class Seeds:
@@ -180,7 +198,9 @@ _SEARCH = {"guiding_function_parameters": _mapping, "return_option": _among("bes
 _GUIDED = {"guiding_function": _among(*function_names(scalar=True))}
 _LEARN = {"network_params": _network, "target_order": _ORDER}
 _MASK = _among(True, False, "prefilter")
-_STAGED = {"seed": _SEED, "minfs_params": _mapping, "early_terminate": _among(True, False), "apply_mask": _MASK}
+#: Feature sets are found greedily inside tasks; other solvers and metrics of published packages are not offered.
+_MINFS = lambda v: isinstance(v, Mapping) and set(v) <= {"solver", "metric"} and v.get("solver", "greedy") == "greedy" and v.get("metric", "cardinality>first") == "cardinality>first"
+_STAGED = {"seed": _SEED, "minfs_params": _MINFS, "early_terminate": _among(True, False), "apply_mask": _MASK}
 _STRATA = {**_STAGED, "prefilter": _among("", "prev-strata+input", "prev-strata+prev-fs", "prev-strata+prev-fs+input"), "shrink_subnets": _among(True, False)}
 
 #: section: (field that tells its forms apart, {form: (required fields, optional fields)}); None as optional: anything goes.
@@ -202,7 +222,7 @@ FORMS: dict[str, tuple[str, dict[str, tuple[dict[str, Test], dict[str, Test] | N
         "SA": ({"num_temps": _whole(1), "init_temp": _number(0), "temp_rate": _number(0, 1), "steps_per_temp": _whole(1), **_GUIDED}, _SEARCH),
     }),
     "learner": ("name", {
-        "monolithic": (_LEARN, {"seed": _SEED, "minfs_params": _mapping}),
+        "monolithic": (_LEARN, {"seed": _SEED, "minfs_params": _MINFS}),
         "stratified": (_LEARN, _STRATA),
         "stratmultipar": (_LEARN, _STRATA),
         "classifierchain": (_LEARN, _STAGED),
@@ -396,7 +416,7 @@ def run_task(row: Mapping, datasets: Mapping[str, tuple[np.ndarray, np.ndarray]]
     network = learn["network_params"]
     setting = Setting(
         x, noisy, optimiser, scaled(network["Ng"], no), network["node_funcs"], rng, order, learn.get("apply_mask", learn["name"].startswith("strat")), tuple(filter(None, learn.get("prefilter", "").split("+"))),
-        learn.get("shrink_subnets", True), learn.get("early_terminate", False), {"sublearner": learn.get("sublearner"), "method": learn.get("curricula_method"), **learn.get("options", {})},
+        learn.get("shrink_subnets", True), learn.get("early_terminate", True), {"sublearner": learn.get("sublearner"), "method": learn.get("curricula_method"), **learn.get("options", {})},
     )
     ready = time.monotonic()
     out = {
@@ -417,19 +437,32 @@ def run_task(row: Mapping, datasets: Mapping[str, tuple[np.ndarray, np.ndarray]]
 
 
 def run(task_table: DataFrame, datasets: Mapping[str, tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
-    """The results of the tasks, one group each. ``datasets``: 0/1 arrays by path, at most MAX_SHARED bytes, shared with all tasks."""
+    """The results of the tasks, one group each. ``datasets``: 0/1 arrays by path, at most MAX_SHARED bytes, shared with all tasks.
+
+    Example files that are not among them are read by the tasks that name them.
+    """
     if sum(a.nbytes for pair in (datasets or {}).values() for a in pair) > MAX_SHARED:
         raise ValueError(f"the example files of the tasks hold more than {MAX_SHARED} bytes")
     shared = task_table.sparkSession.sparkContext.broadcast(dict(datasets or {}))
 
     def go(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [run_task(r, shared.value) for r in group.to_dict("records")]
+        rows = [run_task(r, _Held(shared.value)) for r in group.to_dict("records")]
         frame = pd.DataFrame([[r.get(f) for f in _FIELDS] for r in rows], columns=_FIELDS)
         return frame.astype({c: "Int64" for c in ("ng", "ni", "nout", "ne")})
 
     return task_table.groupBy("task_id").applyInPandas(go, _RESULT)
 
 
+class _Held(dict):
+    """Example files by path, read when they are first asked for; learning data are small enough for one task."""
+
+    def __missing__(self, path: str) -> tuple[np.ndarray, np.ndarray]:
+        from gatewright.sources.files import npz_arrays, parquet_arrays
+
+        self[path] = npz_arrays(path) if path.endswith(".npz") else parquet_arrays(path)
+        return self[path]
+
+
 def run_new(task_table: DataFrame, folder: str, datasets: Mapping[str, tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
     """Run the tasks that have no result in ``folder`` yet and add theirs; returns all results there."""
     spark = task_table.sparkSession
@@ -442,20 +475,3 @@ def run_new(task_table: DataFrame, folder: str, datasets: Mapping[str, tuple[np.
 
 def with_config(results: DataFrame, task_table: DataFrame) -> DataFrame:
     return results.join(task_table.select("task_id", F.col("config")), "task_id")
-
-
-def named_arrays(spark: SparkSession, task_table: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The example files that the tasks name, as 0/1 arrays; learning data are small enough for one task each."""
-    from gatewright.sources.files import read_examples, read_npz, signals
-
-    paths = set()
-    for (text,) in task_table.select("config").distinct().collect():
-        data = json.loads(text)["data"]
-        paths |= {file_path(data, k, ".npz") for k in ("filename", "training_filename", "test_filename") if k in data}
-    out = {}
-    for path in paths:
-        df = read_npz(spark, path) if path.endswith(".npz") else read_examples(spark, path)
-        x, y = signals(df)
-        held = df.orderBy("id").select(*x, *y).toPandas().to_numpy(dtype=np.uint8).T
-        out[path] = held[: len(x)], held[len(x) :]
-    return out

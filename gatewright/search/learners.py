@@ -34,7 +34,7 @@ class Setting:
     apply_mask: bool | str = False
     prefilter: tuple[str, ...] = ()
     shrink: bool = True
-    early_terminate: bool = False
+    early_terminate: bool = True
     options: dict = field(default_factory=dict)
 
 
@@ -130,23 +130,22 @@ def ecc_member(s: Setting) -> Learnt:
 
 
 def candidates(ni: int, sizes: Sequence[int], previous: Sequence[int] | None, wanted: Sequence[str]) -> list[int]:
-    """Sources that a stratum may read: all so far, or those named by ``wanted``.
+    """Sources that a stratum may read: those that the prefilters ``wanted`` name, without any all so far.
 
-    ``sizes``: gates of earlier strata. input: the inputs; prev-strata: the last stratum;
-    prev-fs: the target's feature set of the stage before.
+    ``sizes``: gates of earlier strata; the first stratum has only inputs to read.
     """
-    unknown = set(wanted) - {"input", "prev-strata", "prev-fs"}
-    if unknown:
-        raise ValueError(f"unknown prefilters {sorted(unknown)}")
-    end = ni + sum(sizes)
-    if not sizes:
-        return list(range(ni))
-    if not wanted:
-        return list(range(end))
-    out = set(range(ni)) if "input" in wanted else set()
-    out |= set(range(end - sizes[-1], end)) if "prev-strata" in wanted else set()
-    out |= set(previous or ()) if "prev-fs" in wanted else set()
-    return sorted(out)
+    so_far = ni + sum(sizes)
+    sources: dict[str, Sequence[int]] = {
+        "all": range(so_far),
+        "input": range(ni),
+        "prev-strata": range(so_far - sizes[-1] if sizes else so_far, so_far),
+        # the target's feature set of the stage before
+        "prev-fs": previous or (),
+    }
+    if not set(wanted) < set(sources):
+        raise ValueError(f"unknown prefilters {sorted(set(wanted) - set(sources))}")
+    names = (wanted or ["all"]) if sizes else ["input"]
+    return sorted({s for name in names for s in sources[name]})
 
 
 def _stratified(s: Setting, most: int) -> Learnt:

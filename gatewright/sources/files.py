@@ -45,12 +45,28 @@ def from_arrays(spark: SparkSession, x: np.ndarray, y: np.ndarray) -> DataFrame:
     return spark.createDataFrame(frame)
 
 
-def read_npz(spark: SparkSession, path: str, targets: Sequence[int] | None = None) -> DataFrame:
-    """A packed array file: ``matrix`` (signals by words, lowest bit first), ``Ne`` examples, ``Ni`` inputs."""
+def npz_arrays(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y), signals by examples, of a packed array file: ``matrix`` (signals by words, lowest bit first), ``Ne`` examples, ``Ni`` inputs."""
     with np.load(path, allow_pickle=False) as held:
         matrix, ne, ni = np.ascontiguousarray(held["matrix"]), int(held["Ne"]), int(held["Ni"])
-    rows = np.unpackbits(matrix.astype(matrix.dtype.newbyteorder("<")).view(np.uint8), axis=1, bitorder="little")[:, :ne].T
-    return pick_targets(from_arrays(spark, rows[:, :ni], rows[:, ni:]), targets)
+    rows = np.unpackbits(matrix.astype(matrix.dtype.newbyteorder("<")).view(np.uint8), axis=1, bitorder="little")[:, :ne]
+    return rows[:ni], rows[ni:]
+
+
+def parquet_arrays(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y), signals by examples, of an example table in Parquet, by ``id``; read by the process that calls, not by Spark."""
+    import pyarrow.parquet as pq
+
+    held = pq.read_table(path).sort_by("id")
+    column = lambda p: sorted((c for c in held.column_names if c[:1] == p and c[1:].isdigit()), key=lambda c: int(c[1:]))
+    rows = lambda p: np.array([held[c].to_numpy() for c in column(p)], dtype=np.uint8)
+    return rows("x"), rows("y")
+
+
+def read_npz(spark: SparkSession, path: str, targets: Sequence[int] | None = None) -> DataFrame:
+    """A packed array file as an example table."""
+    x, y = npz_arrays(path)
+    return pick_targets(from_arrays(spark, x.T, y.T), targets)
 
 
 def read_function_json(spark: SparkSession, path: str, name: str) -> DataFrame:

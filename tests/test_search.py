@@ -66,7 +66,7 @@ def test_optimisers_improve_and_repeat(name, guiding):
 @pytest.mark.parametrize("name", list(LEARNERS))
 def test_learners_give_networks_over_all_inputs(name):
     x, y = adder()
-    s = Setting(x, y, Optimiser(max_iterations=600), 36, [7, 6, 8], np.random.default_rng(1), order=None if name != "split" else [2, 0, 1], apply_mask=name in ("split", "stratified"), options={"method": "CEbCC"})
+    s = Setting(x, y, Optimiser(max_iterations=600), 36, [7, 6, 8], np.random.default_rng(1), order=None if name != "split" else [2, 0, 1], apply_mask=name in ("split", "stratified"), early_terminate=False, options={"method": "CEbCC"})
     got = learner(name)(s)
     assert (got.network.ni, got.network.no) == (4, 3) and sorted(got.order) == [0, 1, 2]
     state = State(got.network, x, y)
@@ -80,7 +80,7 @@ def test_learners_give_networks_over_all_inputs(name):
 
 def test_split_joins_what_it_learnt_and_early_stop():
     x, y = adder()
-    s = Setting(x, y, Optimiser(max_iterations=300), 30, [7], np.random.default_rng(4), apply_mask=True)
+    s = Setting(x, y, Optimiser(max_iterations=300), 30, [7], np.random.default_rng(4), apply_mask=True, early_terminate=False)
     got = learner("split")(s)
     state = State(got.network, x, y)
     by_output = dict(zip(got.order, got.extra["best_err"]))
@@ -115,7 +115,7 @@ def test_configurations_checks_and_filters():
 
 
 def test_run_resumes_and_repeats(spark, tmp_path):
-    one = {**EXPERIMENT, "product": [[{"learner": {"name": "split"}}], [{"sampling": {"Ne": 8}}]]}
+    one = {**EXPERIMENT, "product": [[{"learner": {"name": "split", "early_terminate": False}}], [{"sampling": {"Ne": 8}}]]}
     tasks = experiment.tasks(spark, one)
     first = {r["task_id"]: r for r in experiment.run_new(tasks.limit(1), str(tmp_path / "r")).collect()}
     both = {r["task_id"]: r for r in experiment.run_new(tasks, str(tmp_path / "r")).collect()}
@@ -146,9 +146,33 @@ def test_file_data_and_failures(spark, tmp_path):
     assert [tuple(r) for r in files.read_index(spark, [4, 4]).collect()] == [(0, 4), (1, 4)]
 
 
+def test_stages_end_early_by_default(spark):
+    learn = {"name": "classifierchain", "network_params": {"Ng": 3, "node_funcs": [7]}, "target_order": "lsb"}
+    one = {"seed": 1, "base_config": {**EXPERIMENT["base_config"], "learner": learn, "optimiser": {"name": "HC", "guiding_function": "e1", "max_iterations": 1}}}
+    rows = experiment.run(experiment.tasks(spark, one)).collect()
+    assert rows and all("ended with error" in r["failed"] and r["trg_err"] is None for r in rows)
+    one["base_config"]["learner"] = {**learn, "early_terminate": False}
+    assert all(r["failed"] is None and r["trg_err"] > 0 for r in experiment.run(experiment.tasks(spark, one)).collect())
+    for bad in ({"solver": "cplex"}, {"solver": "raps"}, {"metric": "entropy"}, {"other": 1}):
+        with pytest.raises(ValueError):
+            experiment.configurations({"base_config": {**one["base_config"], "learner": {**learn, "minfs_params": bad}}})
+    assert experiment.configurations({"base_config": {**one["base_config"], "learner": {**learn, "minfs_params": {"solver": "greedy"}}}})
+
+
+def test_tasks_read_their_files(spark, tmp_path):
+    x, y = adder()
+    files.from_arrays(spark, x.T, y.T).repartition(3).write.parquet(str(tmp_path / "a.parquet"))
+    words = np.packbits(np.pad(np.vstack([x, y]), ((0, 0), (0, 48))), axis=1, bitorder="little").view(np.uint64)
+    np.savez(tmp_path / "b.npz", matrix=words, Ne=16, Ni=4)
+    data = {"type": "split", "training_filename": "a.parquet", "test_filename": "b", "dir": str(tmp_path)}
+    config = {**EXPERIMENT["base_config"], "data": data, "sampling": {"type": "blank"}, "learner": {"name": "monolithic", "network_params": {"Ng": 9, "node_funcs": [7]}, "target_order": "lsb"}}
+    row = experiment.run(experiment.tasks(spark, {"seed": 1, "base_config": config})).first()
+    assert row["ne"] == 16 and row["trg_err"] == row["test_err"] and row["trg_errs"] == row["test_errs"]
+
+
 def test_samples_given_and_from_files(spark, tmp_path):
     np.save(tmp_path / "s.npy", np.array([[0, 1, 2], [3, 4, 5]]))
-    base = {**EXPERIMENT["base_config"], "learner": {"name": "split", "network_params": {"Ng": 9, "node_funcs": [7]}, "target_order": "msb"}}
+    base = {**EXPERIMENT["base_config"], "learner": {"name": "split", "network_params": {"Ng": 9, "node_funcs": [7]}, "target_order": "msb", "early_terminate": False}}
     for sampling in ({"type": "given", "indices": [[0, 1, 2], [3, 4, 5]]}, {"type": "file", "filename": "s", "dir": str(tmp_path)}, {"type": "given", "indices": [[0, 1, 2], [3, 4, 5]], "test": [[9], [9]]}):
         rows = experiment.run(experiment.tasks(spark, {"seed": "name", "base_config": {**base, "sampling": sampling, "data": {"type": "generated", "operator": "xor", "bits": 2, "targets": "random"}}})).collect()
         assert [r["ne"] for r in rows] == [3, 3] and all(r["target_order"] == [1, 0] and r["nout"] == 2 for r in rows)
