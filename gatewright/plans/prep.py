@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatewright.operators import bad_rows, compaction, deliveries, drift, nested
@@ -57,6 +57,21 @@ def p2_journal(spark: SparkSession, sf: str) -> DataFrame:
     return compaction.compact(table(spark, sf, "small_files"), table(spark, sf, "examples"))
 
 
+def p2_journal_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """What has to hold of the journal, per key: every tiny file is one input, outputs are inputs once at most, rows add up."""
+    journal = checkpoint(compaction.compact(table(spark, sf, "small_files"), table(spark, sf, "examples")))
+    tiny = ~F.col("input").startswith("L")
+    made = journal.where("output is not null").groupBy(F.col("output").alias("o")).agg(F.sum("rows_kept").alias("made"))
+    seen = journal.join(made, F.col("input") == F.col("o"), "left")
+    times = Window.partitionBy("input")
+    seen = seen.withColumn("times", F.count(F.lit(1)).over(times))
+    n = lambda c: F.count(F.when(c, 1))
+    return seen.groupBy(F.col("key").cast("int").alias("dataset_id")).agg(
+        n(tiny).alias("files"), n(tiny & F.col("output").isNull()).alias("discarded"), F.sum(F.when(tiny, F.col("rows_in"))).alias("rows_in"), F.sum(F.when(tiny, F.col("rows_kept"))).alias("rows_kept"),
+        n(F.col("times") > 1).alias("inputs_twice"), n(~tiny & ~F.col("made").eqNullSafe(F.col("rows_kept"))).alias("rows_astray"),
+    )
+
+
 def p2_records(spark: SparkSession, sf: str) -> DataFrame:
     return compaction.compacted(table(spark, sf, "small_files"), table(spark, sf, "examples")).drop("out_file", "file_id")
 
@@ -90,7 +105,7 @@ def p6_kept(spark: SparkSession, sf: str) -> DataFrame:
     return deliveries.keep_one(table(spark, sf, "result_messages")).select("delivery_id", "id", "batch_id", "worker", "body")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_unified, p1_applied, p1_leftovers, p2_found, p2_journal, p2_records, p3_found, p3_nodes, p5_found, p5_loaded, p6_found, p6_kept)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_unified, p1_applied, p1_leftovers, p2_found, p2_journal, p2_journal_totals, p2_records, p3_found, p3_nodes, p5_found, p5_loaded, p6_found, p6_kept)}
 
 _SIGNALS = ", ".join([*(f"x{i}" for i in range(8)), *(f"y{i}" for i in range(4))])
 _MESSAGES = r"select *, nullif(lower(trim(id, e' \t\r\n')), '') as nid from result_messages"
@@ -149,6 +164,11 @@ _VALUES = f"""{_ROUTES},
             when target is not null then try_cast(s as double)::varchar end as c from texts x left join routed using (log_file_id, field)),
         pick as (select *, row_number() over (partition by log_file_id, line_no, place order by c is null, far, field) as rn from cast_)"""
 
+_ADDING = f"""whens as (select file_id, written_at from small_files), first as (
+            select e.dataset_id, e.id, {_SIGNALS}, min(row(f.written_at, f.file_id)) as place
+            from examples e join whens f using (file_id) group by all),
+        kept as (select place[2] as file_id, count(*) as n from first group by 1)"""
+
 SQL: dict[str, str] = {
     "p1_found": f"""
         {_DRIFT}
@@ -194,11 +214,12 @@ SQL: dict[str, str] = {
         from feats left join ord using (target_order, stage)
         where coalesce(target, t, case when stage < nout then case target_order when 'lsb' then stage when 'msb' then nout - 1 - stage end end) is not null and f is not null""",
     "p2_found": f"""
-        with whens as (select file_id, written_at from small_files), first as (
-            select e.dataset_id, e.id, {_SIGNALS}, min(row(f.written_at, f.file_id)) as place
-            from examples e join whens f using (file_id) group by all),
-        adding as (select distinct e.file_id from examples e join whens f using (file_id) join first using (dataset_id, id, {_SIGNALS}) where row(f.written_at, f.file_id) = place)
-        select file_id from small_files where file_id not in (select file_id from adding)""",
+        with {_ADDING}
+        select file_id from small_files where file_id not in (select file_id from kept)""",
+    "p2_journal_totals": f"""
+        with {_ADDING}
+        select dataset_id, count(*) as files, count(*) filter (kept.file_id is null) as discarded, sum(coalesce(held.n, 0))::bigint as rows_in, sum(coalesce(kept.n, 0))::bigint as rows_kept, 0::bigint as inputs_twice, 0::bigint as rows_astray
+        from small_files left join kept using (file_id) left join (select file_id, count(*) as n from examples group by 1) held using (file_id) group by 1""",
     "p2_records": f"select distinct dataset_id, id, {_SIGNALS} from examples",
     "p5_found": f"""
         with {_PARSED}
