@@ -1,207 +1,338 @@
 """Deeply nested JSON as flat node tables with interval labels.
 
-``label`` walks each record's JSON documents once, depth first, and numbers every node in
-pre-order and post-order in one sequence: a node lies inside another exactly if its
-interval ``(pre, post)`` lies inside the other's. Nodes carry their type, the path with
-list places removed, so every type is a table of its own; ``node_table`` picks one.
+``label_records`` walks each record's JSON documents once, depth first, and numbers every node
+in pre-order and post-order in one sequence: a node lies inside another exactly if its interval
+``(pre, post)`` lies inside the other's. Nodes carry their parent's ``pre``, their type (the path
+with list places removed, so every type is a table of its own), and, per named container type,
+the interval of the innermost such container around them with scalar members of it. So nodes
+of one type are tied to those that contain them without any join or window; ``label`` and
+``node_table`` give the tables, ``within`` ties two of them by interval containment.
 
-``inside`` ties the nodes of one type to the node of another type that contains them. The
-containers of one type do not overlap, so the nearest one that starts before a node is the
-only one that can contain it: a single ordered pass over a record's nodes finds it, and no
-pair of nodes is ever formed.
-
-``learning_features`` uses both to flatten learning records into (stage, target, feature).
+``learning_tables`` makes the related tables of stages, targets and features of learning records,
+``learning_features`` the flat (stage, target, feature).
 
 Defined results: null, blank or broken JSON has no nodes (words such as ``lsb`` are one
-text node); JSON text inside a JSON text is walked as if it stood there; a wrapper object
-``{"extra": ...}`` around a record is passed through; nesting deeper than MAX_DEPTH is one
-text node; whole rows that repeat give each node once; numbers are kept as written in JSON.
+text node); JSON text inside a JSON text, however often wrapped, is walked as if it stood there;
+a wrapper object ``{"extra": ...}`` around a record is passed through; nesting may have any depth;
+whole rows that repeat give each node once in ``learning_tables``; numbers are kept as written.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 200
-#: Nodes of one Arrow batch.
+#: Nodes gathered before their records are handed on; a record is never cut.
 BATCH_NODES = 50_000
-_NODE = "rk string, doc string, pre int, post int, depth int, type string, key string, place int, kind string, value string"
-_WRAPPERS = ("extra", "target_order")
 
 
-def _decoded(text: str) -> object:
+class _Raw(str):
+    """A number as written."""
+
+
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|(")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?)|(true|false|null))')
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _parse_deep(text: str) -> object:
+    """JSON of any depth, with a stack of its own; ValueError if it is none."""
+    at, stack, done, want = 0, [], None, "value"
+    while True:
+        m = _TOKEN.match(text, at)
+        if m is None:
+            raise ValueError("no JSON token")
+        at, mark, ready = m.end(), m[1], False
+        if mark in ("[", "{") and want in ("value", "value or end"):
+            stack.append(([] if mark == "[" else {}, None))
+            want = "value or end" if mark == "[" else "key or end"
+            continue
+        if mark in ("]", "}") and stack and want in ("next", "value or end" if mark == "]" else "key or end") and isinstance(stack[-1][0], list) == (mark == "]"):
+            done, ready = stack.pop()[0], True
+        elif mark == "," and want == "next" and stack:
+            want = "value" if isinstance(stack[-1][0], list) else "key"
+            continue
+        elif m[2] and want in ("key", "key or end"):
+            key, at = json.decoder.scanstring(text, at)
+            m = _TOKEN.match(text, at)
+            if m is None or m[1] != ":":
+                raise ValueError("no colon")
+            stack[-1], at, want = (stack[-1][0], key), m.end(), "value"
+            continue
+        elif mark is None and want in ("value", "value or end"):
+            if m[2]:
+                done, at = json.decoder.scanstring(text, at)
+            else:
+                done = _Raw(m[3]) if m[3] else _WORDS[m[4]]
+            ready = True
+        if not ready:
+            raise ValueError("misplaced token")
+        if not stack:
+            if text[at:].strip(" \t\n\r"):
+                raise ValueError("text after the end")
+            return done
+        holder, key = stack[-1]
+        holder.append(done) if isinstance(holder, list) else holder.__setitem__(key, done)
+        want = "next"
+
+
+def _decoded(text: object) -> object:
     """The JSON value of a text, also of JSON texts inside JSON texts; the text itself if it is no JSON object or list."""
-    for _ in range(5):
-        bare = text.strip() if isinstance(text, str) else ""
-        if bare[:1] not in ('{', '[', '"'):
-            return text
+    # every layer taken off leaves a shorter text
+    while type(text) is str and (bare := text.strip())[:1] in ("{", "[", '"'):
         try:
             text = json.loads(bare, parse_float=_Raw, parse_int=_Raw)
-        except (ValueError, RecursionError):
+        except RecursionError:
+            try:
+                text = _parse_deep(bare)
+            except ValueError:
+                return text
+        except ValueError:
             return text
     return text
 
 
-class _Raw(str):
-    """A number as written."""
+def _unwrapped(value: object, name: str) -> object:
+    """The record without outer objects that only wrap it under its own name."""
+    while isinstance(value, dict) and name in value:
+        value = _decoded(value[name])
+    return value
+
+
+class Container:
+    """A type of nodes (a regular expression) and the scalar members that are told of it."""
 
+    def __init__(self, types: str, facts: Sequence[str] = ()) -> None:
+        self.types, self.facts = re.compile(types), list(facts)
 
-def walk(value: object, root: str) -> list[tuple]:
-    """The labelled nodes (pre, post, depth, type, key, place, kind, value) of a parsed document, iteratively."""
+
+def walk(value: object, root: str = "$", containers: Sequence[Container] = ()) -> list[list]:
+    """The labelled nodes of a parsed document: [pre, post, depth, parent, type, key, place, kind, value, held].
+
+    ``held`` has per container the number of the innermost node of that type around the node (itself included).
+    """
     nodes: list[list] = []
     clock = 0
-    # a task is a node to open, or the place of a node to close
-    todo: list[tuple] = [(value, root, None, None, 0)]
+    nothing = (None,) * len(containers)
+    known: dict[str, list[bool]] = {}
+    # a task is a node to open, or the number of a node to close
+    todo: list[tuple] = [(value, root, None, None, 0, None)]
     while todo:
         task = todo.pop()
         if len(task) == 1:
             nodes[task[0]][1] = clock
             clock += 1
             continue
-        item, kind_path, key, place, depth = task
-        if type(item) is str:
-            item = _decoded(item)
-        if isinstance(item, (dict, list)) and depth >= MAX_DEPTH:
-            item = "..."
+        item, type_, key, place, depth, above = task
+        item = _decoded(item) if type(item) is str else item
         at = len(nodes)
-        node = [clock, None, depth, kind_path, key, place, None, None]
+        if type_ not in known:
+            known[type_] = [c.types.fullmatch(type_) is not None for c in containers]
+        held = tuple(at if mine else outer for mine, outer in zip(known[type_], nothing if above is None else nodes[above][9], strict=True))
+        node = [clock, None, depth, None if above is None else nodes[above][0], type_, key, place, None, None, held]
         clock += 1
         nodes.append(node)
         todo.append((at,))
         if isinstance(item, dict):
-            node[6] = "object"
-            todo += [(v, f"{kind_path}.{k}", k, None, depth + 1) for k, v in reversed(item.items())]
+            node[7] = "object"
+            todo += [(v, f"{type_}.{k}", k, None, depth + 1, at) for k, v in reversed(item.items())]
         elif isinstance(item, list):
-            node[6] = "array"
-            todo += [(v, f"{kind_path}[]", None, i, depth + 1) for i, v in reversed(list(enumerate(item)))]
+            node[7] = "array"
+            todo += [(v, f"{type_}[]", None, i, depth + 1, at) for i, v in zip(range(len(item) - 1, -1, -1), reversed(item), strict=True)]
         elif item is None:
-            node[6] = "null"
+            node[7] = "null"
         else:
-            node[6] = "boolean" if isinstance(item, bool) else "number" if isinstance(item, _Raw) else "string"
-            node[7] = str(item).lower() if isinstance(item, bool) else str(item)
-    return [tuple(n) for n in nodes]
-
-
-def _unwrapped(value: object, name: str) -> object:
-    """The record without outer objects that only wrap it under its own name."""
-    while isinstance(value, dict) and name in value:
-        inner = value[name]
-        value = _decoded(inner) if isinstance(inner, str) else inner
-    return value
-
-
-_ARROW = pa.schema([(n, {"string": pa.string(), "int": pa.int32()}[t]) for n, t in (f.split() for f in _NODE.split(", "))])
+            node[7] = "boolean" if isinstance(item, bool) else "number" if isinstance(item, _Raw) else "string"
+            node[8] = str(item).lower() if isinstance(item, bool) else str(item)
+    return nodes
 
 
-def _label(columns: list[str], keep: re.Pattern | None):
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bool] = {}
+_NODE = [("doc", "string"), ("pre", "int"), ("post", "int"), ("depth", "int"), ("parent", "int"), ("type", "string"), ("key", "string"), ("place", "int"), ("kind", "string"), ("value", "string")]
+
+
+def _clean(values: list) -> list:
+    """Texts without lone surrogates, which can't leave Python."""
+    return [v if v is None or v.isascii() else v.encode("utf-8", "replace").decode() for v in values]
+
+
+class _Labels:
+    """Nodes of a batch of records, column by column."""
+
+    def __init__(self, names: list[str], containers: list[Container]) -> None:
+        self.names, self.containers = names, containers
+        self.columns: list[list] = [[] for _ in _NODE]
+        self.held: list[list[list]] = [[[] for _ in range(3 + len(c.facts))] for c in containers]
+        self.ends = [0]
+
+    def add(self, doc: str, nodes: list[list], keep: Mapping[str, bool]) -> None:
+        facts: list[dict[int, dict[str, str]]] = []
+        for i, c in enumerate(self.containers):
+            # scalar members stand right below the container; by number of the container
+            mine: dict[int, dict[str, str]] = {}
+            for n in nodes if c.facts else ():
+                if n[5] in c.facts and n[8] is not None and n[9][i] is not None and nodes[n[9][i]][0] == n[3]:
+                    mine.setdefault(n[9][i], {})[n[5]] = n[8]
+            facts.append(mine)
+        for n in nodes:
+            if keep[n[4]]:
+                for column, v in zip(self.columns, (doc, *n[:9]), strict=True):
+                    column.append(v)
+                for i, c in enumerate(self.containers):
+                    at = n[9][i]
+                    told = (None,) * 3 if at is None else (nodes[at][0], nodes[at][1], nodes[at][6])
+                    more = facts[i].get(at, {}) if at is not None else {}
+                    for column, v in zip(self.held[i], (*told, *(more.get(f) for f in c.facts)), strict=True):
+                        column.append(v)
+
+    def close_record(self) -> None:
+        self.ends.append(len(self.columns[0]))
+
+    def array(self) -> pa.Array:
+        kind = {"string": pa.string(), "int": pa.int32()}
+        made = [pa.array(_clean(v) if t == "string" else v, kind[t]) for v, (_, t) in zip(self.columns, _NODE, strict=True)]
+        names = [n for n, _ in _NODE]
+        for name, c, parts in zip(self.names, self.containers, self.held, strict=True):
+            inner = [pa.array(v, pa.int32()) for v in parts[:3]] + [pa.array(_clean(v), pa.string()) for v in parts[3:]]
+            made.append(pa.StructArray.from_arrays(inner, names=["pre", "post", "place", *c.facts]))
+            names.append(name)
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays(made, names=names))
+
+
+def label_records(records: DataFrame, columns: Sequence[str], *, keep: Sequence[str] = (), types: str | None = None, containers: Mapping[str, Container] | None = None) -> DataFrame:
+    """``keep`` and ``nodes``, an array of all nodes of the JSON ``columns`` of a record; one walk for all of them.
+
+    ``types`` is a regular expression for the node types wanted; labels don't depend on it. Each
+    container adds a field of its name to the nodes: struct(pre, post, place, facts).
+    """
+    wanted = re.compile(types) if types else None
+    names, made = list(containers or {}), list((containers or {}).values())
+    held = "".join(f", {n}: struct<pre: int, post: int, place: int{''.join(f', {f}: string' for f in c.facts)}>" for n, c in zip(names, made, strict=True))
+    node = ", ".join(f"{n}: {t}" for n, t in _NODE) + held
+    columns, keep = list(columns), list(keep)
+
+    class Keep(dict):
+        def __missing__(self, type_: str) -> bool:
+            self[type_] = wanted is None or wanted.fullmatch(type_) is not None
+            return self[type_]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Keep()
         for batch in batches:
-            out: list[tuple] = []
-            keys = batch.column("rk").to_pylist()
-            for column in columns:
-                for rk, text in zip(keys, batch.column(column).to_pylist(), strict=True):
+            texts = [batch.column(len(keep) + i).to_pylist() for i in range(len(columns))]
+            labels, begun = _Labels(names, made), 0
+            for at in range(batch.num_rows):
+                for column, held_texts in zip(columns, texts, strict=True):
+                    text = held_texts[at]
                     if text is not None and text.strip():
-                        for n in walk(_unwrapped(_decoded(text), column), "$"):
-                            if keep is not None and n[3] not in known:
-                                known[n[3]] = keep.fullmatch(n[3]) is not None
-                            if keep is None or known[n[3]]:
-                                out.append((rk, column, *n))
-                                if len(out) >= BATCH_NODES:
-                                    yield _batch(out)
-                                    out = []
-            yield _batch(out)
-
-    return nodes
-
+                        labels.add(column, walk(_unwrapped(_decoded(text), column), "$", made), kept)
+                labels.close_record()
+                if labels.ends[-1] >= BATCH_NODES or at == batch.num_rows - 1:
+                    part = batch.slice(begun, at + 1 - begun)
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), labels.array()], names=[*keep, "nodes"])
+                    labels, begun = _Labels(names, made), at + 1
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(_ARROW)
-    # lone surrogates can't leave Python
-    clean = lambda values: [v if v is None or v.isascii() else v.encode("utf-8", "replace").decode() for v in values]
-    return pa.record_batch([pa.array(clean(v) if f.type == pa.string() else v, f.type) for v, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+    given = dict(records.dtypes)
+    schema = "".join(f"`{c}` {given[c]}, " for c in keep) + f"nodes array<struct<{node}>>"
+    return records.select(*(F.col(f"`{c}`") for c in [*keep, *columns])).mapInArrow(run, schema)
 
 
-def label(records: DataFrame, columns: list[str], *, types: str | None = None) -> DataFrame:
-    """All nodes of the JSON ``columns`` of ``records`` (with a text record key ``rk``).
-
-    ``types`` is a regular expression for the node types wanted; labels do not depend on it.
-    """
-    keep = re.compile(types) if types else None
-    return records.select("rk", *columns).mapInArrow(_label(columns, keep), _NODE)
+def label(records: DataFrame, columns: Sequence[str], *, key: str = "rk", **options) -> DataFrame:
+    """The record key ``rk`` and the nodes as rows."""
+    return label_records(records, columns, keep=[key], **options).select(F.col(f"`{key}`").alias("rk"), F.inline("nodes"))
 
 
 def node_table(nodes: DataFrame, node_type: str) -> DataFrame:
     return nodes.where(F.col("type") == node_type).drop("type")
 
 
-def inside(nodes: DataFrame, containers: dict[str, str]) -> DataFrame:
-    """``nodes`` with, per name in ``containers``, the place/pre of the container that holds the node.
-
-    ``containers`` maps a name to a regular expression of container types that do not nest
-    in themselves. Column ``<name>``: struct(pre, post, place, value) or null.
-    """
-    order = Window.partitionBy("rk", "doc").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
-    opened = lambda types: F.last(F.when(F.col("type").rlike(rf"\A(?:{types})\z"), F.struct("pre", "post", "place", "value")), ignorenulls=True).over(order)
-    held = lambda name: F.when((F.col(f"{name}.pre") <= F.col("pre")) & (F.col(f"{name}.post") >= F.col("post")), F.col(name))
-    found = nodes.withColumns({n: opened(t) for n, t in containers.items()})
-    return found.withColumns({n: held(n) for n in containers})
+def within(inner: Column, outer: Column) -> Column:
+    """Whether the interval of one node (struct with pre, post) lies inside the other's."""
+    return (outer["pre"] <= inner["pre"]) & (inner["post"] <= outer["post"])
 
 
-# fixed types of the records' feature sets
+# types of the nodes that hold stages, targets and features
 _STRATUM = r"\$\.strata\[\]"
 _STAGE = r"\$\.stages\[\]"
 _LISTED = r"\$\.feature_sets\[\]"
 _TARGETS = r"\$\.strata\[\]\.targets(?:\[\])?"
 _SET = r"\$\.strata\[\](?:\.targets(?:\[\])?)?\.fs|\$\.stages\[\]\.(?:feature_set\.features|fs)"
 _FEATURE = rf"(?:{_SET}|{_LISTED})\[\](?:\.input)?"
-_TYPES = rf"{_STRATUM}(?:\.stage|\.target)?|{_STAGE}(?:\.stage|\.target)?|{_LISTED}|{_TARGETS}(?:\.target|\.stage)?|{_FEATURE}"
+_ENTRY = r"\$\[\]"
+_WANTED = rf"{_STRATUM}|{_STAGE}|{_LISTED}|{_TARGETS}|{_FEATURE}|\$|{_ENTRY}"
+_CONTAINERS = {"stage": Container(rf"{_STRATUM}|{_STAGE}|{_LISTED}", ["stage"]), "holder": Container(rf"{_TARGETS}|{_STAGE}", ["target", "stage"]), "entry": Container(_ENTRY, ["target", "rank"])}
+
+
+def _whole(text: Column) -> Column:
+    return text.try_cast("bigint")
+
+
+def _is(node: Column, types: str) -> Column:
+    return node["type"].rlike(rf"\A(?:{types})\z")
+
+
+def _labelled(results: DataFrame) -> DataFrame:
+    """result_id, nout, rk (tells different records of one result apart) and ``nodes`` of extra and target_order."""
+    records = results.select("result_id", F.col("nout").cast("bigint").alias("nout"), "target_order", "extra").where("extra is not null")
+    records = records.withColumn("rk", F.xxhash64("result_id", "nout", "target_order", "extra"))
+    return label_records(records, ["extra", "target_order"], keep=["result_id", "nout", "rk"], types=_WANTED, containers=_CONTAINERS)
+
+
+def _stage_no(n: Column) -> Column:
+    """The ``stage`` beside a feature set or around it, else the place in its list."""
+    return F.coalesce(_whole(n["holder"]["stage"]), _whole(n["stage"]["stage"]), n["stage"]["place"].cast("bigint"))
+
+
+def _number(n: Column) -> Column:
+    return F.regexp_extract(F.lower(F.btrim(n["value"])), r"\A(?:x_?)?([0-9]+)\z", 1).try_cast("int")
+
+
+def _extra(types: str, *, scalar: bool = False):
+    def test(n: Column) -> Column:
+        mine = (n["doc"] == "extra") & _is(n, types) & n["stage"]["pre"].isNotNull() & within(n, n["stage"])
+        return mine & n["kind"].isin("number", "string") if scalar else mine
+
+    return test
+
+
+def learning_tables(results: DataFrame) -> dict[str, DataFrame]:
+    """Related flat tables, each row once: stages (rk, pre, post, result_id, stage_no), targets (rk, pre, post, stage_pre, target) and features (rk, pre, post, stage_pre, target_pre, feature).
+
+    ``rk`` and ``stage_pre`` or ``target_pre`` are the links to the parent rows; a target that is not
+    given beside its feature set has none, as has a feature whose set stands under no target.
+    """
+    nodes = _labelled(results)
+    rows = lambda types, scalar=False: nodes.select("rk", "result_id", F.explode(F.filter("nodes", _extra(types, scalar=scalar))).alias("n"))
+    n = F.col("n")
+    stages = rows(rf"{_STRATUM}|{_STAGE}|{_LISTED}").select("rk", "n.pre", "n.post", "result_id", F.coalesce(_whole(n["stage"]["stage"]), n["place"].cast("bigint")).alias("stage_no"))
+    targets = rows(rf"{_TARGETS}|{_STAGE}").select("rk", "n.pre", "n.post", F.col("n.stage.pre").alias("stage_pre"), _whole(n["holder"]["target"]).alias("target")).where("target is not null")
+    held = F.when(_whole(n["holder"]["target"]).isNotNull(), n["holder"]["pre"])
+    features = rows(_FEATURE, True).select("rk", "n.pre", "n.post", F.col("n.stage.pre").alias("stage_pre"), held.alias("target_pre"), _number(n).alias("feature")).where("feature is not null")
+    return {name: t.dropDuplicates(["rk", "pre"]) for name, t in (("stages", stages), ("targets", targets), ("features", features))}
 
 
 def learning_features(results: DataFrame) -> DataFrame:
     """(result_id, stage_no, target, feature), distinct, from ``extra`` and ``target_order``.
 
     The stage is the ``stage`` beside a feature set, else the place in its list; the target
-    is the ``target`` beside it, else the entry of the target order at that stage.
+    is the ``target`` beside it, else the entry of the target order at that stage. Stages,
+    targets and order stand in the record's own node array, so rows only meet in the last step.
     """
-    whole = F.col("value").try_cast("bigint")
-    records = results.select("result_id", F.col("nout").cast("bigint").alias("nout"), "target_order", "extra").where("extra is not null")
-    # the key holds what the flat rows need of the record, so it is not joined back; the hash
-    # tells different records of one result apart, and rows that repeat share their key
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    records = records.withColumn("rk", F.concat_ws(":", text("result_id"), text("nout"), F.xxhash64("target_order", "extra")))
-    extra = inside(label(records, ["extra"], types=_TYPES), {"stage": rf"{_STRATUM}|{_STAGE}|{_LISTED}", "holder": rf"{_TARGETS}|{_STAGE}"})
-    held = Window.partitionBy("rk", "doc", F.col("stage.pre"))
-    beside = Window.partitionBy("rk", "doc", F.col("holder.pre"))
-    is_type = lambda t: F.col("type").rlike(rf"\A(?:{t})\z")
-    extra = extra.withColumns({
-        "given_stage": F.max(F.when(is_type(rf"(?:{_STRATUM}|{_STAGE}|{_TARGETS})\.stage") & F.col("stage").isNotNull(), whole)).over(held),
-        "given_target": F.max(F.when(is_type(rf"(?:{_TARGETS}|{_STAGE})\.target") & F.col("holder").isNotNull(), whole)).over(beside),
-    })
-    number = F.regexp_extract(F.lower(F.btrim("value")), r"\A(?:x_?)?([0-9]+)\z", 1).try_cast("int")
-    features = extra.where(is_type(_FEATURE) & F.col("kind").isin("number", "string") & F.col("stage").isNotNull()).select(
-        "rk", F.coalesce("given_stage", F.col("stage.place").cast("bigint")).alias("stage_no"), F.when(F.col("holder").isNotNull(), F.col("given_target")).alias("target"), number.alias("feature")
-    )
-    features = features.where("feature is not null and stage_no is not null").distinct()
-
-    ordered = label(records, ["target_order"], types=r"\$|\$\[\](?:\.target|\.rank)?")
-    entries = inside(ordered, {"entry": r"\$\[\]"}).where("entry is not null or (type = '$' and kind = 'string')")
-    entry = entries.groupBy("rk", F.col("entry.place").alias("place")).agg(
-        F.max(F.when((F.col("type") == "$[].target") | ((F.col("type") == "$[]") & F.col("kind").isin("number", "string")), whole)).alias("target"), F.max(F.when(F.col("type") == "$[].rank", whole)).alias("rank"),
-        F.max(F.when(F.col("type") == "$", F.lower(F.btrim("value")))).alias("word"),
-    )
-    # one row per stage named by the order; words such as lsb hold for every stage
-    entry = entry.select(F.col("rk").alias("e_rk"), F.coalesce("rank", F.col("place").cast("bigint")).alias("e_stage"), F.col("target").alias("e_target"), "word").where("e_target is not null or word is not null")
-    asks = F.col("target").isNull() & (F.col("rk") == F.col("e_rk")) & (F.col("word").isNotNull() | (F.col("stage_no") == F.col("e_stage")))
-    part = lambda i: F.split_part("rk", F.lit(":"), F.lit(i)).try_cast("bigint")
-    named = features.join(entry, asks, "left").withColumns({"result_id": part(1), "nout": part(2)})
+    nodes = _labelled(results)
+    order = F.filter("nodes", lambda n: n["doc"] == "target_order")
+    entries = F.filter(order, lambda n: n["type"] == "$[]")
+    # an entry is a number, or an object with a target and perhaps a rank
+    pair = F.transform(entries, lambda n: F.named_struct(F.lit("stage"), F.coalesce(_whole(n["entry"]["rank"]), n["place"].cast("bigint")), F.lit("target"), F.when(n["kind"].isin("number", "string"), _whole(n["value"])).otherwise(_whole(n["entry"]["target"]))))
+    word = F.lower(F.btrim(F.get(F.filter(order, lambda n: (n["type"] == "$") & (n["kind"] == "string")), F.lit(0))["value"]))
+    found = F.transform(F.filter("nodes", _extra(_FEATURE, scalar=True)), lambda n: F.named_struct(F.lit("stage_no"), _stage_no(n), F.lit("given"), F.when(within(n, n["holder"]), _whole(n["holder"]["target"])), F.lit("feature"), _number(n)))
+    # worked out once per record, below the explode
+    told = nodes.select("result_id", "nout", word.alias("word"), pair.alias("order"), found.alias("found"))
+    flat = told.select("result_id", "nout", "word", "order", F.explode("found").alias("f")).select("result_id", "nout", "word", "order", "f.*")
+    listed = F.array_max(F.transform(F.filter("order", lambda p: p["stage"] == F.col("stage_no")), lambda p: p["target"]))
     in_range = (F.col("stage_no") >= 0) & (F.col("stage_no") < F.col("nout"))
     by_word = F.when((F.col("word") == "lsb") & in_range, F.col("stage_no")).when((F.col("word") == "msb") & in_range, F.col("nout") - 1 - F.col("stage_no"))
-    flat = named.select("result_id", F.col("stage_no").cast("int").alias("stage_no"), F.coalesce("target", "e_target", by_word).cast("int").alias("target"), "feature")
-    return flat.where("target is not null").distinct()
+    rows = flat.select("result_id", F.col("stage_no").cast("int").alias("stage_no"), F.coalesce("given", listed, by_word).cast("int").alias("target"), "feature")
+    return rows.where("target is not null and feature is not null and stage_no is not null").distinct()

@@ -81,9 +81,31 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    results = table(spark, sf, "results").select("result_id", "extra", "target_order")
-    records = results.withColumn("rk", F.concat_ws(":", F.col("result_id").cast("string"), F.xxhash64("extra", "target_order")))
-    return nested.label(records, ["extra", "target_order"]).groupBy("doc", "type", "kind").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"))
+    nodes = nested.label(table(spark, sf, "results"), ["extra", "target_order"], key="result_id")
+    return nodes.groupBy("doc", "type", "kind").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"))
+
+
+def p3_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """Stages of all records with the number of given targets and of features tied to them."""
+    tables = nested.learning_tables(table(spark, sf, "results"))
+    count = lambda name, what: tables[name].groupBy("rk", F.col("stage_pre").alias("pre")).agg(F.count(F.lit(1)).alias(what))
+    stages = tables["stages"].join(count("targets", "targets"), ["rk", "pre"], "left").join(count("features", "features"), ["rk", "pre"], "left")
+    return stages.select("result_id", F.col("stage_no").cast("int").alias("stage_no"), F.coalesce("targets", F.lit(0)).alias("targets"), F.coalesce("features", F.lit(0)).alias("features"))
+
+
+def p3_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets given beside their feature sets, tied to their stage."""
+    tables = nested.learning_tables(table(spark, sf, "results"))
+    stages = tables["stages"].select("rk", F.col("pre").alias("stage_pre"), "result_id", "stage_no")
+    return tables["targets"].join(stages, ["rk", "stage_pre"]).select("result_id", F.col("stage_no").cast("int").alias("stage_no"), F.col("target").cast("int").alias("target"))
+
+
+def p3_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features tied to their stage and, where it is given, their target."""
+    tables = nested.learning_tables(table(spark, sf, "results"))
+    stages = tables["stages"].select("rk", F.col("pre").alias("stage_pre"), "result_id", "stage_no")
+    targets = tables["targets"].select("rk", F.col("pre").alias("target_pre"), F.col("target").cast("int").alias("target"))
+    return tables["features"].join(stages, ["rk", "stage_pre"]).join(targets, ["rk", "target_pre"], "left").select("result_id", F.col("stage_no").cast("int").alias("stage_no"), "target", "feature")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +127,7 @@ def p6_kept(spark: SparkSession, sf: str) -> DataFrame:
     return deliveries.keep_one(table(spark, sf, "result_messages")).select("delivery_id", "id", "batch_id", "worker", "body")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_unified, p1_applied, p1_leftovers, p2_found, p2_journal, p2_journal_totals, p2_records, p3_found, p3_nodes, p5_found, p5_loaded, p6_found, p6_kept)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_unified, p1_applied, p1_leftovers, p2_found, p2_journal, p2_journal_totals, p2_records, p3_found, p3_nodes, p3_stages, p3_targets, p3_features, p5_found, p5_loaded, p6_found, p6_kept)}
 
 _SIGNALS = ", ".join([*(f"x{i}" for i in range(8)), *(f"y{i}" for i in range(4))])
 _MESSAGES = r"select *, nullif(lower(trim(id, e' \t\r\n')), '') as nid from result_messages"
@@ -164,6 +186,33 @@ _VALUES = f"""{_ROUTES},
             when target is not null then try_cast(s as double)::varchar end as c from texts x left join routed using (log_file_id, field)),
         pick as (select *, row_number() over (partition by log_file_id, line_no, place order by c is null, far, field) as rn from cast_)"""
 
+_DOCS = """with recursive raw as (select distinct result_id, nout, target_order, extra from results where extra is not null),
+        un as (select result_id, nout, target_order, extra::json as e from raw
+            union all select result_id, nout, target_order, case when json_type(e) = 'VARCHAR' then (e ->> '$')::json else json_extract(e, '$.extra') end from un
+            where json_type(e) = 'VARCHAR' or (json_type(e) = 'OBJECT' and json_exists(e, '$.extra'))),
+        doc as (select * from un where json_type(e) = 'OBJECT' and not json_exists(e, '$.extra'))"""
+_SETS = """sets as (
+            select result_id, nout, target_order, i::bigint as stage, null::bigint as target, json_extract(e, '$.feature_sets[' || i || ']') as fs
+            from doc, lateral (select unnest(range(json_array_length(e, '$.feature_sets')::bigint)) as i)
+            union all
+            select result_id, nout, target_order, coalesce((s ->> '$.stage')::bigint, i), (t ->> '$.target')::bigint, json_extract(t, '$.fs')
+            from (select *, json_extract(e, '$.strata[' || i || ']') as s from doc, lateral (select unnest(range(json_array_length(e, '$.strata')::bigint)) as i)),
+                lateral (select unnest(case when json_type(s, '$.targets') = 'ARRAY' then json_extract(s, '$.targets[*]') else [json_extract(s, '$.targets')] end) as t)
+            union all
+            select result_id, nout, target_order, coalesce((s ->> '$.stage')::bigint, i), (s ->> '$.target')::bigint, json_extract(s, '$.feature_set.features')
+            from (select *, json_extract(e, '$.stages[' || i || ']') as s from doc, lateral (select unnest(range(json_array_length(e, '$.stages')::bigint)) as i)))"""
+# places of stages in a record are its own, so rows that agree in all but the place stay apart
+_PLACED = f"""{_DOCS}, numbered as (select *, row_number() over () as rk from doc),
+        lists as (select rk, result_id, i, null::json as s, json_extract(e, '$.feature_sets[' || i || ']') as direct, 'l' as form from numbered, lateral (select unnest(range(json_array_length(e, '$.feature_sets')::bigint)) as i)
+            union all select rk, result_id, i, json_extract(e, '$.strata[' || i || ']'), null, 's' from numbered, lateral (select unnest(range(json_array_length(e, '$.strata')::bigint)) as i)
+            union all select rk, result_id, i, json_extract(e, '$.stages[' || i || ']'), null, 't' from numbered, lateral (select unnest(range(json_array_length(e, '$.stages')::bigint)) as i)),
+        stage as (select *, coalesce((s ->> '$.stage')::bigint, i)::int as stage_no from lists),
+        tgt as (select rk, result_id, form, i, stage_no, (t ->> '$.target')::int as target, json_extract(t, '$.fs') as fs
+                from stage, lateral (select unnest(case when json_type(s, '$.targets') = 'ARRAY' then json_extract(s, '$.targets[*]') else [json_extract(s, '$.targets')] end) as t) where form = 's'
+            union all select rk, result_id, form, i, stage_no, (s ->> '$.target')::int, json_extract(s, '$.feature_set.features') from stage where form = 't'
+            union all select rk, result_id, form, i, stage_no, null, direct from stage where form = 'l'),
+        feat as (select rk, result_id, form, i, stage_no, target, ltrim(case json_type(f) when 'OBJECT' then f ->> '$.input' else f ->> '$' end, 'x')::int as feature from (select *, unnest(json_extract(fs, '$[*]')) as f from tgt))"""
+
 _ADDING = f"""whens as (select file_id, written_at from small_files), first as (
             select e.dataset_id, e.id, {_SIGNALS}, min(row(f.written_at, f.file_id)) as place
             from examples e join whens f using (file_id) group by all),
@@ -191,28 +240,25 @@ SQL: dict[str, str] = {
         select log_file_id, line_no, id::bigint as id, learner, Ni::int as Ni, No::int as No, Ng::int as Ng, config_num::int as config_num, target_order, setup_time::double as setup_time, learning_time::double as learning_time, trg_err::double as trg_err,
             test_err::double as test_err, array_to_string(list_sort(json_keys(extra)), ',') as extra_keys, round(list_sum(json_extract(extra, '$.best_err')::double[]), 6) as extra_errors, coalesce(other_keys, '') as other_keys, round(coalesce(other_sum, 0), 6) as other_sum
         from record_lines left join one using (log_file_id, line_no)""",
-    "p3_found": """
-        with recursive raw as (select distinct result_id, nout, target_order, extra from results where extra is not null),
-        un as (select result_id, nout, target_order, extra::json as e from raw
-            union all select result_id, nout, target_order, case when json_type(e) = 'VARCHAR' then (e ->> '$')::json else json_extract(e, '$.extra') end from un
-            where json_type(e) = 'VARCHAR' or (json_type(e) = 'OBJECT' and json_exists(e, '$.extra'))),
-        doc as (select * from un where json_type(e) = 'OBJECT' and not json_exists(e, '$.extra')),
-        sets as (
-            select result_id, nout, target_order, i::bigint as stage, null::bigint as target, json_extract(e, '$.feature_sets[' || i || ']') as fs
-            from doc, lateral (select unnest(range(json_array_length(e, '$.feature_sets')::bigint)) as i)
-            union all
-            select result_id, nout, target_order, coalesce((s ->> '$.stage')::bigint, i), (t ->> '$.target')::bigint, json_extract(t, '$.fs')
-            from (select *, json_extract(e, '$.strata[' || i || ']') as s from doc, lateral (select unnest(range(json_array_length(e, '$.strata')::bigint)) as i)),
-                lateral (select unnest(case when json_type(s, '$.targets') = 'ARRAY' then json_extract(s, '$.targets[*]') else [json_extract(s, '$.targets')] end) as t)
-            union all
-            select result_id, nout, target_order, coalesce((s ->> '$.stage')::bigint, i), (s ->> '$.target')::bigint, json_extract(s, '$.feature_set.features')
-            from (select *, json_extract(e, '$.stages[' || i || ']') as s from doc, lateral (select unnest(range(json_array_length(e, '$.stages')::bigint)) as i))),
+    "p3_found": f"""
+        {_DOCS}, {_SETS},
         feats as (select * exclude (fs, f), case json_type(f) when 'OBJECT' then (f ->> '$.input') else (f ->> '$') end as f from (select *, unnest(json_extract(fs, '$[*]')) as f from sets)),
         ord as (select distinct target_order, coalesce((o ->> '$.rank')::bigint, i) as stage, case json_type(o) when 'OBJECT' then (o ->> '$.target') else (o ->> '$') end::bigint as t
             from (select distinct target_order, i, json_extract(target_order, '$[' || i || ']') as o from (select distinct target_order from raw where target_order like '[%'), lateral (select unnest(range(json_array_length(target_order)::bigint)) as i)))
         select distinct result_id, stage::int as stage_no, coalesce(target, t, case when stage >= 0 and stage < nout then case target_order when 'lsb' then stage when 'msb' then nout - 1 - stage end end)::int as target, ltrim(f, 'x')::int as feature
         from feats left join ord using (target_order, stage)
         where coalesce(target, t, case when stage < nout then case target_order when 'lsb' then stage when 'msb' then nout - 1 - stage end end) is not null and f is not null""",
+    "p3_stages": f"""
+        {_PLACED}
+        select s.result_id, s.stage_no, coalesce(t.n, 0) as targets, coalesce(f.n, 0) as features from stage s
+        left join (select rk, form, i, count(target) as n from tgt group by all) t on t.rk = s.rk and t.form = s.form and t.i = s.i
+        left join (select rk, form, i, count(feature) as n from feat group by all) f on f.rk = s.rk and f.form = s.form and f.i = s.i""",
+    "p3_targets": f"""
+        {_PLACED}
+        select result_id, stage_no, target from tgt where target is not null""",
+    "p3_features": f"""
+        {_PLACED}
+        select result_id, stage_no, target, feature from feat where feature is not null""",
     "p2_found": f"""
         with {_ADDING}
         select file_id from small_files where file_id not in (select file_id from kept)""",

@@ -1,5 +1,8 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 import brute
 from gatewright.operators import nested
 from gatewright.session import table
@@ -54,6 +57,44 @@ def test_intervals_are_containment(spark):
         for b in nodes:
             inside = a["pre"] < b["pre"] and b["post"] < a["post"]
             assert inside == (b["type"] != a["type"] and b["type"].startswith(a["type"]) and not (a["pre"] > b["pre"] or a["post"] < b["pre"]))
-    tied = nested.inside(nested.label(df, ["extra"]), {"item": r"\$\.a\[\]"}).where("type = '$.a[].c[]'").select("item.place").collect()
-    assert [r[0] for r in tied] == [0, 0]
+    assert [n["parent"] for n in nodes] == [None, 0, 1, 2, 2, nodes[4]["pre"], nodes[4]["pre"], 1, 0, nodes[8]["pre"], nodes[9]["pre"], nodes[9]["pre"], nodes[11]["pre"]]
+    tied = nested.label(df, ["extra"], containers={"item": nested.Container(r"\$\.a\[\]", ["b"])})
+    assert [tuple(r) for r in tied.where("type = '$.a[].c[]'").select("item.place", "item.b").collect()] == [(0, "1"), (0, "1")]
+    assert tied.where(nested.within(F.struct("pre", "post"), F.col("item"))).count() == 6
     assert nested.node_table(nested.label(df, ["extra"]), "$.a[].b").count() == 1
+
+
+def test_any_depth_and_any_wrapping(spark):
+    deep = "[" * 30_000 + "7" + "]" * 30_000
+    value = nested._decoded(deep)
+    depth = 0
+    while isinstance(value, list):
+        value, depth = value[0], depth + 1
+    assert depth == 30_000 and value == "7"
+    assert len(nested.walk(nested._decoded("[" * 3_000 + "7" + "]" * 3_000))) == 3_001
+    text = json.dumps({"feature_sets": [[1]]})
+    for _ in range(12):
+        text = json.dumps(text)
+    assert got(spark, [(1, 1, "lsb", text)]) == [(1, 0, 0, 1)]
+    same = ['{"a": [1, -2.5e3, true, null, "x\\u00e9\\"", {}], "b": {"c": []}, "a": 2}', "[]", "{}", ' [ 1 , [ ] ] ', '{"a":{"b":[{"c":"d"}]}}']
+    for t in same:
+        assert nested._parse_deep(t) == json.loads(t, parse_int=nested._Raw, parse_float=nested._Raw)
+    for t in ("[1,]", "{,}", '{"a"}', '{"a":1,}', "[1 2]", "[", "]", "[}", '{"a":1]', "", "[1]x", '{1:2}', "[,1]"):
+        with pytest.raises(ValueError):
+            nested._parse_deep(t)
+
+
+def test_related_tables(spark):
+    strata = json.dumps({"strata": [{"stage": 4, "targets": [{"target": 1, "fs": [4, "x5"]}, {"fs": [6]}]}, {"targets": {"target": 2, "fs": None}}]})
+    sets = json.dumps({"feature_sets": [[0, "x2"], None]})
+    rows = [(1, 4, "lsb", strata), (1, 4, "lsb", strata), (2, 4, "lsb", sets), (3, 4, "lsb", None)]
+    tables = nested.learning_tables(spark.createDataFrame([(*r, "clash") for r in rows], RESULTS))
+    s, t, f = (tables[n].alias(n[0]) for n in ("stages", "targets", "features"))
+    assert sorted((r["result_id"], r["stage_no"]) for r in s.collect()) == [(1, 1), (1, 4), (2, 0), (2, 1)]
+    linked = t.join(s, (F.col("s.rk") == F.col("t.rk")) & (F.col("stage_pre") == F.col("s.pre")))
+    assert sorted((r["stage_no"], r["target"]) for r in linked.collect()) == [(1, 2), (4, 1)]
+    linked = f.join(s, (F.col("s.rk") == F.col("f.rk")) & (F.col("stage_pre") == F.col("s.pre"))).join(t, (F.col("t.rk") == F.col("f.rk")) & (F.col("target_pre") == F.col("t.pre")), "left")
+    assert sorted(((r["result_id"], r["stage_no"], r["feature"], r["target"]) for r in linked.select("s.result_id", "stage_no", "feature", "target").collect()), key=str) == sorted([(1, 4, 4, 1), (1, 4, 5, 1), (1, 4, 6, None), (2, 0, 0, None), (2, 0, 2, None)], key=str)
+    # links and intervals say the same
+    inside = f.join(s, (F.col("s.rk") == F.col("f.rk")) & nested.within(F.struct("f.pre", "f.post"), F.struct("s.pre", "s.post")))
+    assert all(r[0] == r[1] for r in inside.select("f.stage_pre", "s.pre").collect()) and inside.count() == 5
