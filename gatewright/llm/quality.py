@@ -1,38 +1,39 @@
 """Per-document text statistics and fixed-threshold rules, each failure with its reason.
 
-Counts of words, characters, symbols, bullets and line ends are JVM expressions over the
-text. What needs an eye for lines and sentences, the shares of common words and of words in
-running sentences, is one pandas function over Arrow batches. The rules are a table of
-(reason, statistic, lowest, highest); two such tables are given:
+Everything is expressions over the text that run in the JVM: words, lengths, symbols, bullets,
+line ends and common words of the document, and the share of its words that stand in running
+sentences, from the same kinds of statistics of its lines and passages. The rules are a table
+of (reason, statistic, lowest, highest):
 
 * ``PUBLISHED``: thresholds published for large web corpora (50 to 100 000 words, mean word
   length 3 to 10, symbols to words at most 0.1, under 90 % bullet lines, under 30 % lines
   ending in an ellipsis, 80 % of words with a letter, at least two common words, 12 % of
   lines ending in punctuation).
-* ``PROSE``: what makes natural prose here: at least 50 words, and at least half of them in
-  running sentences. Published rules alone misjudge both ways: plain sentences with hardly
-  a function word, and lists made of function words.
-
-A running sentence ends in a sentence mark, is not a list entry, table row, code, log or
-encoded line, has words of one readable script, and looks like grammar: function words (but
-not only those), or names, numbers or clauses between its words. Sentences may be wrapped
-over lines, quoted with ``>`` and spaced at will.
+* ``PROSE``, which decides: those of them that tell junk on any page (words, word length,
+  symbols, bullets, ellipses, letters), and at least half of the words in running sentences.
+  The other two are reported but don't decide: they reject plain sentences with hardly a
+  function word, and pages of wrapped lines.
+
+Lines are told by their statistics: bullets; table rows by bars, or by gaps with values or with
+few common words; code by its symbols; encoded data by its digits; headings and menu entries
+by their length and lack of a line end. Lines that go on are put together (a wrapped line is
+about as long as the one before it), cut at sentence ends, and each passage has to have a
+sentence end, a sentence's length, words of one readable script, some common words, names,
+numbers or clauses, but not common words alone.
 
 Defined results: null and empty texts have 0 words, shares of 0 and fail as ``words``; a
 document that stands twice is judged twice; any language may mix with any other, as the
-common words of all listed languages count.
+common words of all listed languages count; white space is what Unicode calls so.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Listed common words, which go to every task; more are an error.
+#: Listed common words, which become part of the plan; more are an error.
 MAX_COMMON = 500_000
 
 Rule = tuple[str, str, float | None, float | None]
@@ -41,185 +42,161 @@ PUBLISHED: list[Rule] = [
     ("words", "n_words", 50, 100_000), ("word_length", "mean_word_length", 3, 10), ("symbols", "symbol_ratio", None, 0.1), ("bullets", "bullet_share", None, 0.9),
     ("ellipses", "ellipsis_share", None, 0.3), ("letters", "alpha_share", 0.8, None), ("common_words", "n_common", 2, None), ("line_ends", "line_end_share", 0.12, None),
 ]
-PROSE: list[Rule] = [("words", "n_words", 50, None), ("sentences", "running_share", 0.5, None)]
-
-# the longest line that may be a heading or menu entry rather than part of a wrapped sentence
-_SHORT = 36
-_BULLET = re.compile(r"\s*(?:[-*•·–—▪◦‣+]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s")
-_QUOTE = re.compile(r"\s*(?:>\s?)+")
-_BARS = re.compile(r"\s[|;¦»·›]\s")
-_GAPS = re.compile(r"\t+| {2,}")
-_CELL = re.compile(r"(?:[-+]?\d[\d.,:]*\s?%?|—|-|n/a|yes|no)\Z")
-_CODE = re.compile(r"[{}\[\]<>=_\\|~^$@#]|\d\d:\d\d:\d\d|https?:|\w\(|\);")
-# a word marked up: *word*, [word], ~word~, «word»
-_MARKED = re.compile(r"[*\[~«_]+(\w[\w'’-]*[.,;:!?]?)[*\]~»_]+")
-_INNER = re.compile(r"\w[.!?][\"”»)']*\s")
-_STOP = re.compile(r"[.!?:…][\"”»)']*\Z")
-_SENTENCE = re.compile(r"[^.!?:…]+(?:[.!?:…]+(?!\w)[\"”»)']*|[.:](?=\w)[^.!?:…]*)*")
-_START = re.compile(r"\W*[A-ZÀ-ÞЀ-Я0-9]")
-_NAME = re.compile(r"\W*(?:[A-Z][a-z]|[А-ЯЁ][а-яё])")
-_SWAPPED = re.compile(r"\b[а-яё][А-ЯЁ]{2,}")
-_CYRILLIC = re.compile(r"[Ѐ-ӿ]")
-_FOREIGN = re.compile(r"[^\x00-\x7fЀ-ӿ]")
+PROSE: list[Rule] = [
+    ("words", "n_words", 50, None), ("word_length", "mean_word_length", 3, 10), ("symbols", "symbol_ratio", None, 0.1), ("bullets", "bullet_share", None, 0.9),
+    ("ellipses", "ellipsis_share", None, 0.3), ("letters", "alpha_share", 0.8, None), ("sentences", "running_share", 0.5, None),
+]
+
+#: Fixed thresholds of lines and passages. A line below HEADING characters without an end is a heading or menu
+#: entry; one below GOES_ON of the length of the line before it, without an end, doesn't go on from it.
+HEADING, GOES_ON = 36, 0.6
+#: Words of a passage: at least and at most (longer ones are lists that happen to end in a mark), and at least
+#: without a capital at the start; common words at most, as natural sentences have others too.
+PASSAGE_WORDS, LOWER_WORDS, ONLY_COMMON = (4, 120), 10, 0.72
+#: Common words that a row of cells has at least if it is a sentence; words per comma, with 5 or more, in a list.
+ROW_COMMON, COMMA_SHARE = 0.2, 0.3
+
+_SPACES = "".join(map(chr, [0x0B, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _EDGES = "\"'.,;:!?…“”„«»‘’()[]¿¡-–—"
-# a natural sentence has other words too; beside this share of function words it has none
-_ONLY_COMMON = 0.72
-# words of the longest sentence; beyond it are lists that happen to end in a mark
-_LONGEST = 120
-
-
-def _is_row(line: str, common: frozenset[str]) -> bool:
-    """A table or menu row: cells between bars, or between gaps with values or without grammar."""
-    if len(_BARS.findall(line)) >= 2:
-        return True
-    cells = [c for c in _GAPS.split(line) if c.strip()]
-    if len(cells) < 3:
-        return len(cells) == 2 and _CELL.match(cells[1].strip()) is not None
-    words = line.split()
-    grammar = sum(w.lower().strip(_EDGES) in common for w in words) >= 0.2 * len(words)
-    if any(_CELL.match(c.strip()) for c in cells):
+_W = r"[\p{L}\p{N}_]"
+_CLOSE = r"[\"”»)']*"
+_BULLET = r"\A\s*(?:[-*•·▪◦‣+]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s"
+_DASH = r"\A\s*[–—]\s"
+# a word marked up: *word*, [word], ~word~, «word»
+_MARKED = rf"[*\[~«_]+({_W}(?:{_W}|['’-])*[.,;:!?]?)[*\]~»_]+"
+_BARS = r"\s[|;¦»·›]\s"
+_GAPS = r"\t+| {2,}"
+_VALUE = r"\A(?i:[-+]?\d[\d.,:]*\s?%?|—|-|n/a|yes|no)\z"
+_CODE = r"[{}\[\]<>=_\\|~^$@#]|\d\d:\d\d:\d\d|https?:|\w\(|\);"
+_STOP = rf"[.!?:…]{_CLOSE}\z"
+_INNER = rf"{_W}[.!?]{_CLOSE}\s"
+_START = r"\A[^\p{L}\p{N}]*[\p{Lu}0-9]"
+_NAME = r"\A(?:\d|[^\p{L}\p{N}]*(?:[A-Z][a-z]|[А-ЯЁ][а-яё]))"
+_BREAK = "\u001e"
+_SENTENCE = rf"([^.!?:…{_BREAK}]+(?:[.!?:…]+{_CLOSE}(?:{_W}[^.!?:…{_BREAK}]*)?)*)"
+_CYRILLIC, _FOREIGN = "[Ѐ-ӿ]", r"[^\x00-\x7fЀ-ӿ]"
+# small first letters before capitals: a wrong code page, unless most letters are small anyway
+_SWAPPED = r"(?:\A|[^\p{L}])[а-яё][А-ЯЁ]{2,}"
+
+
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
+
+
+def _words(text: Column) -> Column:
+    return F.split(text, r"\s+")
+
+
+def _known(words: Column, common: list[str]) -> Column:
+    """How many of the words are common ones (a hash lookup per word)."""
+    return F.size(F.filter(words, lambda w: F.lower(F.btrim(w, F.lit(_EDGES))).isin(common)))
+
+
+def _once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """``df`` with a column that is worked out once, however often later expressions read it."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
+def _line(common: list[str]) -> Callable[[Column], Column]:
+    """The statistics of a line (without quote marks in front)."""
+
+    def told(raw: Column) -> Column:
+        return F.named_struct(F.lit("raw"), raw, F.lit("text"), F.btrim(F.regexp_replace(raw, _MARKED, "$1"), F.lit(" \t\r\f")))
+
+    def stats(line: Column) -> Column:
+        raw, text = line["raw"], line["text"]
+        words = _words(text)
+        n, known = F.size(words), _known(words, common)
+        cells = F.filter(F.split(text, _GAPS), lambda c: F.btrim(c) != "")
+        value = lambda c: F.btrim(c).rlike(_VALUE)
+        inner, grammar = text.rlike(_INNER), known >= ROW_COMMON * n
         # a number between gaps may stand in a sentence, if the line goes over a sentence's end
-        return not (grammar and _INNER.search(line))
-    return not grammar
-
-
-def _is_encoded(line: str) -> bool:
-    words = line.split()
-    return len(words) > 3 and 2 * sum(any(c.isdigit() for c in w) for w in words) > len(words)
-
-
-def _is_loose(line: str, common: frozenset[str]) -> bool:
-    """A line of text with gaps between its words: sentences spaced at will, whose lines break at will too."""
-    if _GAPS.search(line) is None:
-        return False
-    words = line.split()
-    return 5 * sum(w.lower().strip(_EDGES) in common for w in words) >= len(words)
-
-
-def _starts(line: str, ended: bool, loose: bool, following: str) -> bool:
-    """Whether a stretch of sentences may begin with a line: not a heading, menu or bare list entry."""
-    if ended or (loose and _START.match(line) is not None):
-        return True
-    if line[:1].islower():
-        return len(line) >= _SHORT and _INNER.search(line) is not None
-    # a short line has to go on in the next one with a small letter
-    return len(line) >= _SHORT or (_START.match(line) is not None and line.count(" ") >= 3 and following[:1].islower())
-
-
-def paragraphs(text: str, common: frozenset[str]) -> Iterator[str]:
-    """Stretches of lines that may hold running sentences, wrapped lines put together.
-
-    A stretch ends with a line that ends a sentence, and before a line that is much shorter
-    than those before it without ending one: wrapped lines are about as long as each other.
-    """
-    held: list[str] = []
-    widest, loose = 0, False
-    lines = text.split("\n")
-    for at, raw in enumerate(lines):
-        quoted = _QUOTE.match(raw)
-        line = raw[quoted.end() :] if quoted else raw
-        bare = line.strip()
-        if "*" in bare or "[" in bare or "~" in bare or "_" in bare:
-            bare = _MARKED.sub(r"\1", bare)
+        gap_row = F.when(F.size(cells) == 2, value(F.element_at(cells, -1))).when(F.size(cells) >= 3, F.when(F.exists(cells, value), ~(grammar & inner)).otherwise(~grammar)).otherwise(False)
+        row = (_count(text, _BARS) >= 2) | gap_row
+        code = _count(text, _CODE) > F.greatest(F.lit(1), F.floor(F.length(text) / 40))
+        encoded = (n > 3) & (2 * F.size(F.filter(words, lambda w: w.rlike(r"\d"))) > n)
+        return F.named_struct(
+            F.lit("text"), text, F.lit("outside"), (text == "") | row | code | encoded, F.lit("bullet"), raw.rlike(_BULLET), F.lit("dash"), raw.rlike(_DASH), F.lit("ended"), text.rlike(_STOP), F.lit("length"), F.length(text),
+            F.lit("loose"), (_count(text, _GAPS) > 0) & grammar, F.lit("small"), text.rlike(r"\A\p{Ll}"), F.lit("capital"), text.rlike(_START), F.lit("inner"), inner, F.lit("spaces"), _count(text, " "),
+        )
+
+    told.stats = stats  # type: ignore[attr-defined]
+    return told
+
+
+def _joined(lines: str) -> Column:
+    """The lines that may hold sentences as one text, with breaks where a stretch of them ends."""
+
+    def kept(s: Column, i: Column) -> Column:
+        before, after = F.get(lines, i - 1), F.get(lines, i + 1)
+        open_ = F.coalesce(~before["outside"] & ~before["bullet"] & ~before["ended"], F.lit(False))
         # a dash in front of a line goes on a sentence that is open
-        if not bare or (_BULLET.match(line) and not (held and bare[0] in "—–")) or _is_row(bare, common) or len(_CODE.findall(bare)) > max(1, len(bare) // 40) or _is_encoded(bare):
-            if held:
-                yield " ".join(held)
-                held = []
-            continue
-        ended = _STOP.search(bare) is not None
-        if held and not ended and len(bare) < 0.6 * widest and not (loose := loose or _is_loose(bare, common)):
-            yield " ".join(held)
-            held = []
-        if not held:
-            widest, loose = 0, _is_loose(bare, common)
-            if not _starts(bare, ended, loose, lines[at + 1].lstrip("> \t") if at + 1 < len(lines) else ""):
-                continue
-        held.append(bare)
-        widest = max(widest, len(bare))
-        if ended:
-            yield " ".join(held)
-            held = []
-    if held:
-        yield " ".join(held)
-
-
-def _spoilt(word: str) -> bool:
-    """Mostly letters of no script that the text could be in: what wrong decoding leaves."""
-    return len(word) > 1 and len(_FOREIGN.findall(word.strip(_EDGES))) > 0.6 * len(word)
-
-
-def is_running(sentence: str, common: frozenset[str]) -> bool:
-    words = sentence.split()
-    n = len(words)
-    if not 4 <= n <= _LONGEST or not _STOP.search(sentence):
-        return False
-    if not _START.match(sentence) and n < 10:
-        return False
-    if not sentence.isascii() and 2 * sum(map(_spoilt, words)) > n:
-        return False
-    known = sum(w.lower().strip(_EDGES) in common for w in words)
-    if n >= 5 and known > _ONLY_COMMON * n:
-        return False
-    if not sentence.isascii() and 2 * len(_CYRILLIC.findall(sentence)) > sum(map(str.isalpha, sentence)):
-        # small first letters before capitals are a wrong code page, unless most words are small anyway
-        swapped = _SWAPPED.search(sentence) is not None and 2 * sum(map(str.isupper, sentence)) > sum(map(str.isalpha, sentence))
-        return known > 0 and not swapped
-    commas = sentence.count(",")
-    if commas >= 5 and commas > 0.3 * n:
-        return False
-    return known > 0 or "," in sentence[:-1] or ";" in sentence[:-1] or any(w[:1].isdigit() or _NAME.match(w) for w in words[1:])
-
-
-def sentence_words(text: str, common: frozenset[str]) -> tuple[int, int, int]:
-    """(words, words in running sentences, common words) of a text."""
-    words = text.split()
-    known = sum(w.lower().strip(_EDGES) in common for w in words)
-    inside = 0
-    for paragraph in paragraphs(text, common):
-        for sentence in _SENTENCE.findall(paragraph):
-            if is_running(bare := sentence.strip(), common):
-                inside += len(bare.split())
-    return len(words), min(inside, len(words)), known
-
-
-def _reader(common: frozenset[str]):
-    @F.pandas_udf("words bigint, running bigint, common bigint")
-    def read(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            yield pd.DataFrame([sentence_words(t, common) if isinstance(t, str) else (0, 0, 0) for t in batch], columns=["words", "running", "common"], dtype="int64")
-
-    return read
-
-
-def common_set(common_words: DataFrame, word_col: str = "word") -> frozenset[str]:
+        outside = s["outside"] | s["bullet"] | (s["dash"] & ~open_)
+        goes_on = open_ & (s["ended"] | s["loose"] | before["loose"] | (s["length"] >= GOES_ON * before["length"]))
+        # a short line without an end has to go on in the next one with a small letter
+        continued = s["capital"] & (s["spaces"] >= 3) & F.coalesce(after["small"], F.lit(False))
+        starts = s["ended"] | (s["loose"] & s["capital"]) | F.when(s["small"], (s["length"] >= HEADING) & s["inner"]).otherwise((s["length"] >= HEADING) | continued)
+        text = F.when(outside, F.lit(_BREAK)).when(goes_on, s["text"]).when(starts, F.concat(F.lit(_BREAK), s["text"])).otherwise(F.lit(_BREAK))
+        return F.concat(text, F.when(s["ended"], F.lit(_BREAK)).otherwise(F.lit("")))
+
+    return F.array_join(F.transform(lines, kept), " ")
+
+
+def _is_running(common: list[str]) -> Callable[[Column], Column]:
+    """Whether a passage is a running sentence, by its own statistics."""
+
+    def test(s: Column) -> Column:
+        words = _words(s)
+        n, known, commas = F.size(words), _known(words, common), _count(s, ",")
+        spoilt = F.size(F.filter(words, lambda w: (F.length(w) > 1) & (_count(F.btrim(w, F.lit(_EDGES)), _FOREIGN) > 0.6 * F.length(w))))
+        letters = _count(s, r"\p{L}")
+        whole = n.between(*PASSAGE_WORDS) & s.rlike(_STOP) & (s.rlike(_START) | (n >= LOWER_WORDS)) & (2 * spoilt <= n) & ~((n >= 5) & (known > ONLY_COMMON * n))
+        swapped = s.rlike(_SWAPPED) & (2 * _count(s, r"\p{Lu}") > letters)
+        clauses = F.substr(s, F.lit(1), F.length(s) - 1).rlike("[,;]") | F.exists(F.slice(words, F.lit(2), n), lambda w: w.rlike(_NAME))
+        cyrillic = 2 * _count(s, _CYRILLIC) > letters
+        return whole & F.when(cyrillic, (known > 0) & ~swapped).otherwise(~((commas >= 5) & (commas > COMMA_SHARE * n)) & ((known > 0) | clauses))
+
+    return test
+
+
+def common_list(common_words: DataFrame, word_col: str = "word") -> list[str]:
     """The listed words of all languages; a fixed list, checked against MAX_COMMON."""
     rows = common_words.select(F.lower(F.btrim(F.col(word_col)))).where(F.col(word_col).isNotNull()).distinct().limit(MAX_COMMON + 1).collect()
     if len(rows) > MAX_COMMON:
         raise ValueError(f"more than {MAX_COMMON} common words")
-    return frozenset(r[0] for r in rows if r[0])
+    return sorted(r[0] for r in rows if r[0])
 
 
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def statistics(documents: DataFrame, common_words: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_lines, mean_word_length, symbol_ratio, bullet_share, ellipsis_share, line_end_share, alpha_share, n_common, common_share, running_share)."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("bigint")
-    raw = documents.select(
-        F.col(f"`{id_col}`"), _reader(common_set(common_words))(F.col(f"`{text_col}`")).alias("r"),
-        count(r"\S").alias("chars"), count(r"#|…|\.\.\.").alias("symbols"), count(r"(?m)^[ \t]*\S").alias("lines"),
-        count(r"(?m)^[ \t]*(?:[-*•·–—▪◦‣+]|[0-9]{1,3}[.)])\s").alias("bullets"), count(r"(?m)(?:…|\.\.\.)[ \t]*$").alias("ellipses"),
-        count("(?m)[.!?…][\"”»)']*[ \\t]*$").alias("line_ends"), count(r"\S*?\p{L}\S*").alias("alpha"),
-    )
-    words = F.col("r.words")
-    return raw.select(
-        F.col(f"`{id_col}`"), words.alias("n_words"), F.col("lines").alias("n_lines"), _share(F.col("chars"), words).alias("mean_word_length"), _share(F.col("symbols"), words).alias("symbol_ratio"),
-        _share(F.col("bullets"), F.col("lines")).alias("bullet_share"), _share(F.col("ellipses"), F.col("lines")).alias("ellipsis_share"), _share(F.col("line_ends"), F.col("lines")).alias("line_end_share"),
-        _share(F.col("alpha"), words).alias("alpha_share"), F.col("r.common").alias("n_common"), _share(F.col("r.common"), words).alias("common_share"), _share(F.col("r.running"), words).alias("running_share"),
-    )
+def statistics(documents: DataFrame, common_words: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", running: bool = True) -> DataFrame:
+    """(id, n_words, n_lines, mean_word_length, symbol_ratio, bullet_share, ellipsis_share, line_end_share, alpha_share, n_common, common_share, and with ``running`` running_share)."""
+    common = common_list(common_words)
+    text = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), _SPACES, " " * len(_SPACES))
+    rows = _once(documents.select(F.col(f"`{id_col}`").alias("__gw_id"), text.alias("__gw_text")), "__gw_raw", F.split("__gw_text", "\n"))
+    t, filled = F.col("__gw_text"), F.filter("__gw_raw", lambda r: r.rlike(r"\S"))
+    lines = lambda pattern: F.size(F.filter("__gw_raw", lambda r: r.rlike(pattern)))
+    counts = {
+        "words": _count(t, r"\S+"), "chars": _count(t, r"\S"), "symbols": _count(t, r"#|…|\.\.\."), "alpha": F.size(F.filter(_words(t), lambda w: w.rlike(r"\p{L}"))), "lines": F.size(filled),
+        "bullets": lines(r"\A[ \t]*(?:[-*•·–—▪◦‣+]|[0-9]{1,3}[.)])\s"), "ellipses": lines(r"(?:…|\.\.\.)[ \t\r]*\z"), "line_ends": lines("[.!?…][\"”»)']*[ \\t\\r]*\\z"), "common": _known(_words(t), common),
+    }
+    rows = rows.withColumns({f"__gw_{n}": c.cast("bigint") for n, c in counts.items()})
+    c = {n: F.col(f"__gw_{n}") for n in counts}
+    out = {
+        "n_words": c["words"], "n_lines": c["lines"], "mean_word_length": _share(c["chars"], c["words"]), "symbol_ratio": _share(c["symbols"], c["words"]), "bullet_share": _share(c["bullets"], c["lines"]),
+        "ellipsis_share": _share(c["ellipses"], c["lines"]), "line_end_share": _share(c["line_ends"], c["lines"]), "alpha_share": _share(c["alpha"], c["words"]), "n_common": c["common"], "common_share": _share(c["common"], c["words"]),
+    }
+    if running:
+        line = _line(common)
+        rows = _once(rows, "__gw_told", F.transform("__gw_raw", lambda r: line(F.regexp_replace(r, r"\A\s*(?:>\s?)+", ""))))
+        rows = _once(rows, "__gw_lines_", F.transform("__gw_told", line.stats))
+        rows = _once(rows, "__gw_passages", F.transform(F.regexp_extract_all(_joined("__gw_lines_"), F.lit(_SENTENCE), F.lit(1)), lambda s: F.btrim(s)))
+        inside = F.aggregate(F.filter("__gw_passages", _is_running(common)), F.lit(0), lambda a, s: a + F.size(_words(s)))
+        rows = _once(rows, "__gw_inside", inside)
+        out["running_share"] = F.least(_share(F.col("__gw_inside"), c["words"]), F.lit(1.0))
+    return rows.select(F.col("__gw_id").alias(id_col), *(v.alias(n) for n, v in out.items()))
 
 
 def reasons(rules: list[Rule]) -> Column:
@@ -236,5 +213,5 @@ def reasons(rules: list[Rule]) -> Column:
 
 
 def judge(documents: DataFrame, common_words: DataFrame, *, rules: list[Rule] = PROSE, **columns) -> DataFrame:
-    """The statistics with ``reasons`` (of ``rules``) and ``published_reasons``."""
+    """The statistics with ``reasons`` (of ``rules``; empty for natural prose) and ``published_reasons``."""
     return statistics(documents, common_words, **columns).withColumns({"reasons": reasons(rules), "published_reasons": reasons(PUBLISHED)})
