@@ -101,23 +101,26 @@ def _line(common: list[str]) -> Callable[[Column], Column]:
     """The statistics of a line (without quote marks in front)."""
 
     def told(raw: Column) -> Column:
-        return F.named_struct(F.lit("raw"), raw, F.lit("text"), F.btrim(F.regexp_replace(raw, _MARKED, "$1"), F.lit(" \t\r\f")))
+        marked = raw.contains("*") | raw.contains("[") | raw.contains("~") | raw.contains("_") | raw.contains("«")
+        return F.named_struct(F.lit("raw"), F.ltrim(raw), F.lit("text"), F.btrim(F.when(marked, F.regexp_replace(raw, _MARKED, "$1")).otherwise(raw), F.lit(" \t\r\f")))
 
     def stats(line: Column) -> Column:
-        raw, text = line["raw"], line["text"]
+        # plain searches first: an expression needs the text decoded, and most lines have nothing to find
+        raw, text = F.left(line["raw"], F.lit(8)), line["text"]
+        head, tail = F.left(text, F.lit(HEADING)), F.right(text, F.lit(8))
         words = _words(text)
         n, known = F.size(words), _known(words, common)
         cells = F.filter(F.split(text, _GAPS), lambda c: F.btrim(c) != "")
         value = lambda c: F.btrim(c).rlike(_VALUE)
-        inner, grammar = text.rlike(_INNER), known >= ROW_COMMON * n
+        gaps, inner, grammar = text.contains("\t") | text.contains("  "), text.rlike(_INNER), known >= ROW_COMMON * n
         # a number between gaps may stand in a sentence, if the line goes over a sentence's end
-        gap_row = F.when(F.size(cells) == 2, value(F.element_at(cells, -1))).when(F.size(cells) >= 3, F.when(F.exists(cells, value), ~(grammar & inner)).otherwise(~grammar)).otherwise(False)
-        row = (_count(text, _BARS) >= 2) | gap_row
+        gap_row = F.when(~gaps, False).when(F.size(cells) == 2, value(F.element_at(cells, -1))).when(F.size(cells) >= 3, F.when(F.exists(cells, value), ~(grammar & inner)).otherwise(~grammar)).otherwise(False)
         code = _count(text, _CODE) > F.greatest(F.lit(1), F.floor(F.length(text) / 40))
-        encoded = (n > 3) & (2 * F.size(F.filter(words, lambda w: w.rlike(r"\d"))) > n)
+        encoded = text.rlike(r"\d") & (n > 3) & (2 * F.size(F.filter(words, lambda w: w.rlike(r"\d"))) > n)
+        small = head.rlike(r"\A\p{Ll}")
         return F.named_struct(
-            F.lit("text"), text, F.lit("outside"), (text == "") | row | code | encoded, F.lit("bullet"), raw.rlike(_BULLET), F.lit("dash"), raw.rlike(_DASH), F.lit("ended"), text.rlike(_STOP), F.lit("length"), F.length(text),
-            F.lit("loose"), (_count(text, _GAPS) > 0) & grammar, F.lit("small"), text.rlike(r"\A\p{Ll}"), F.lit("capital"), text.rlike(_START), F.lit("inner"), inner, F.lit("spaces"), _count(text, " "),
+            F.lit("text"), text, F.lit("outside"), (text == "") | (_count(text, _BARS) >= 2) | gap_row | code | encoded, F.lit("bullet"), raw.rlike(_BULLET), F.lit("dash"), raw.rlike(_DASH), F.lit("ended"), tail.rlike(_STOP),
+            F.lit("length"), F.length(text), F.lit("loose"), gaps & grammar, F.lit("small"), small, F.lit("capital"), head.rlike(_START), F.lit("inner"), small & inner, F.lit("spaces"), _count(head, " "),
         )
 
     told.stats = stats  # type: ignore[attr-defined]
@@ -142,21 +145,33 @@ def _joined(lines: str) -> Column:
     return F.array_join(F.transform(lines, kept), " ")
 
 
-def _is_running(common: list[str]) -> Callable[[Column], Column]:
-    """Whether a passage is a running sentence, by its own statistics."""
+def _running(passages: Column) -> Column:
+    """The passages that have a sentence's end, length and start."""
 
     def test(s: Column) -> Column:
-        words = _words(s)
-        n, known, commas = F.size(words), _known(words, common), _count(s, ",")
-        spoilt = F.size(F.filter(words, lambda w: (F.length(w) > 1) & (_count(F.btrim(w, F.lit(_EDGES)), _FOREIGN) > 0.6 * F.length(w))))
-        letters = _count(s, r"\p{L}")
-        whole = n.between(*PASSAGE_WORDS) & s.rlike(_STOP) & (s.rlike(_START) | (n >= LOWER_WORDS)) & (2 * spoilt <= n) & ~((n >= 5) & (known > ONLY_COMMON * n))
-        swapped = s.rlike(_SWAPPED) & (2 * _count(s, r"\p{Lu}") > letters)
-        clauses = F.substr(s, F.lit(1), F.length(s) - 1).rlike("[,;]") | F.exists(F.slice(words, F.lit(2), n), lambda w: w.rlike(_NAME))
-        cyrillic = 2 * _count(s, _CYRILLIC) > letters
-        return whole & F.when(cyrillic, (known > 0) & ~swapped).otherwise(~((commas >= 5) & (commas > COMMA_SHARE * n)) & ((known > 0) | clauses))
+        n = F.size(_words(s))
+        return F.right(s, F.lit(8)).rlike(_STOP) & n.between(*PASSAGE_WORDS) & ((n >= LOWER_WORDS) | F.left(s, F.lit(16)).rlike(_START))
 
-    return test
+    return F.filter(passages, test)
+
+
+def _passage(common: list[str]) -> Callable[[Column], Column]:
+    """A passage with its words and how many of them are common."""
+    return lambda s: F.named_struct(F.lit("text"), s, F.lit("words"), _words(s), F.lit("known"), _known(_words(s), common))
+
+
+def _is_sentence(p: Column) -> Column:
+    """Whether a passage has readable words, not common words alone, and some grammar, by its own statistics."""
+    s, words, known = p["text"], p["words"], p["known"]
+    n, commas, letters = F.size(words), _count(s, ","), _count(s, r"\p{L}")
+    spoilt = F.size(F.filter(words, lambda w: (F.length(w) > 1) & (_count(F.btrim(w, F.lit(_EDGES)), _FOREIGN) > 0.6 * F.length(w))))
+    plain = F.octet_length(s) == F.length(s)
+    swapped = s.rlike(_SWAPPED) & (2 * _count(s, r"\p{Lu}") > letters)
+    inner = F.substr(s, F.lit(1), F.length(s) - 1)
+    clauses = inner.contains(",") | inner.contains(";") | F.exists(F.slice(words, F.lit(2), n), lambda w: w.rlike(_NAME))
+    cyrillic = ~plain & (2 * _count(s, _CYRILLIC) > letters)
+    listed = s.contains(",") & (commas >= 5) & (commas > COMMA_SHARE * n)
+    return ~((n >= 5) & (known > ONLY_COMMON * n)) & (plain | (2 * spoilt <= n)) & F.when(cyrillic, (known > 0) & ~swapped).otherwise(~listed & ((known > 0) | clauses))
 
 
 def common_list(common_words: DataFrame, word_col: str = "word") -> list[str]:
@@ -179,7 +194,7 @@ def statistics(documents: DataFrame, common_words: DataFrame, *, id_col: str = "
     t, filled = F.col("__gw_text"), F.filter("__gw_raw", lambda r: r.rlike(r"\S"))
     lines = lambda pattern: F.size(F.filter("__gw_raw", lambda r: r.rlike(pattern)))
     counts = {
-        "words": _count(t, r"\S+"), "chars": _count(t, r"\S"), "symbols": _count(t, r"#|…|\.\.\."), "alpha": F.size(F.filter(_words(t), lambda w: w.rlike(r"\p{L}"))), "lines": F.size(filled),
+        "words": _count(t, r"\S+"), "chars": _count(t, r"\S"), "symbols": _count(t, r"#|…|\.\.\."), "alpha": _count(t, r"\S*?\p{L}\S*"), "lines": F.size(filled),
         "bullets": lines(r"\A[ \t]*(?:[-*•·–—▪◦‣+]|[0-9]{1,3}[.)])\s"), "ellipses": lines(r"(?:…|\.\.\.)[ \t\r]*\z"), "line_ends": lines("[.!?…][\"”»)']*[ \\t\\r]*\\z"), "common": _known(_words(t), common),
     }
     rows = rows.withColumns({f"__gw_{n}": c.cast("bigint") for n, c in counts.items()})
@@ -190,10 +205,11 @@ def statistics(documents: DataFrame, common_words: DataFrame, *, id_col: str = "
     }
     if running:
         line = _line(common)
-        rows = _once(rows, "__gw_told", F.transform("__gw_raw", lambda r: line(F.regexp_replace(r, r"\A\s*(?:>\s?)+", ""))))
+        rows = _once(rows, "__gw_told", F.transform("__gw_raw", lambda r: line(F.when(r.contains(">"), F.regexp_replace(r, r"\A\s*(?:>\s?)+", "")).otherwise(r))))
         rows = _once(rows, "__gw_lines_", F.transform("__gw_told", line.stats))
-        rows = _once(rows, "__gw_passages", F.transform(F.regexp_extract_all(_joined("__gw_lines_"), F.lit(_SENTENCE), F.lit(1)), lambda s: F.btrim(s)))
-        inside = F.aggregate(F.filter("__gw_passages", _is_running(common)), F.lit(0), lambda a, s: a + F.size(_words(s)))
+        passages = F.transform(F.regexp_extract_all(_joined("__gw_lines_"), F.lit(_SENTENCE), F.lit(1)), lambda s: F.btrim(s))
+        rows = _once(rows, "__gw_passages", F.transform(_running(passages), _passage(common)))
+        inside = F.aggregate(F.filter("__gw_passages", _is_sentence), F.lit(0), lambda a, p: a + F.size(p["words"]))
         rows = _once(rows, "__gw_inside", inside)
         out["running_share"] = F.least(_share(F.col("__gw_inside"), c["words"]), F.lit(1.0))
     return rows.select(F.col("__gw_id").alias(id_col), *(v.alias(n) for n, v in out.items()))
