@@ -2,22 +2,26 @@
 
 Texts are folded to their words (runs of letters and digits; case, accents, punctuation,
 layout and invisible format characters don't matter) joined by single spaces. The items are
-a stated query set: their q-grams go to every task, in blocks of at most ``block_chars``
-characters, and the documents stream past them once per block without any shuffle.
-
-Per document, every shared q-gram is a hit at a diagonal (place in the document less place
-in the item). Diagonals are cut into bands of width 2w that overlap by w, so an alignment
-that drifts by at most w >= k lies wholly in one band. A passage of ``min_words`` words with
-L characters and at most k edits keeps at least L - q + 1 - k q of its q-grams (the q-gram
-lemma); bands with fewer hits than that bound, for the shortest passage of the item, are
-dropped. The others are verified by a banded local alignment, whose score such a passage
-can't fail, and last by the exact rule: ``min_words`` consecutive words of the item stand
-in the aligned region in the same order.
+a stated query set: their index is built once, in blocks of ``block_chars`` characters, and
+shared with all tasks; the documents stream past all blocks in one pass, without a shuffle.
+Items of more than ``pass_chars`` characters take further passes, so what is shared is bounded.
+
+Diagonals (place in the document less place in the item) are cut into bands of width 2w that
+overlap by w, so an alignment that drifts by at most w >= k lies wholly in one band. A band is
+looked at if a seed of the item stands in it: of each passage of ``min_words`` words the rarest
+q-gram, or k + 1 that don't overlap, one of which k edits leave whole. There, all shared q-grams
+are counted: a passage of L characters with at most k edits keeps at least L - q + 1 - k q of
+its q-grams (the q-gram lemma), and passages below that bound are dropped. The others are
+verified by a banded local alignment, whose score a passage within the budget can't fail.
+``near_leaks`` stops there; ``leaks`` asks last that the words stand there one by one.
+
+Passages that many items share (an instruction in front of every question) are indexed
+once, and seed hits are worked through HIT_BLOCK at a time, so neither multiplies memory.
 
 Defined results: null and empty texts match nothing; items with fewer than ``min_words``
 words can't leak; a document or item that stands twice is reported once; a document leaks
 an item once, however often the passage stands in it. Very long documents are read in
-overlapping pieces, as a whole.
+overlapping pieces, as a whole. Passages too short for k + 1 seeds have as many as fit.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_WORDS, Q, EDITS = 13, 16, 1
-#: Characters of item text that one pass over the documents holds in memory.
-BLOCK_CHARS = 4_000_000
+#: Characters of item text in one index, and in all those that are shared with the tasks at once.
+BLOCK_CHARS, PASS_CHARS = 1_000_000, 16_000_000
+#: Seed hits that are held at once.
+HIT_BLOCK = 1_000_000
 #: Characters of documents looked at together; a longer document is cut with overlap.
 PIECE_CHARS = 1_000_000
 MATCH, PENALTY = 1, 2
@@ -77,132 +83,174 @@ def _hashes(codes: np.ndarray, q: int) -> np.ndarray:
 
 
 class Index:
-    """The q-grams of a block of items."""
+    """A block of items: their distinct passages, each with all the items that hold it, and the q-grams that seed them.
 
-    def __init__(self, items: list[tuple[int, str]], q: int, edits: int, min_words: int) -> None:
-        self.q, self.edits, self.min_words, self.width = q, edits, min_words, max(16, edits)
-        self.ids, self.texts, self.need, self.windows = [], [], [], []
-        grams, owner, place = [], [], []
+    A passage (``min_words`` consecutive words) that stands in many items is looked for under the
+    first of them only. Of each passage the rarest q-grams that don't overlap are seeds: one if
+    it has to stand word by word in the end (``exact``), else ``edits`` + 1, as so many edits
+    can't touch them all. So q-grams that very many passages share seed nothing as long as the
+    passage has rarer ones.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], q: int, edits: int, min_words: int, *, exact: bool = True) -> None:
+        self.q, self.edits, self.width, self.wanted = q, edits, max(16, edits), 1 if exact else edits + 1
+        self.ids: list[int] = []
+        self.codes: list[np.ndarray] = []
+        self.grams: list[np.ndarray] = []
+        #: per item the start and end of its passages, and their numbers
+        self.spans: list[np.ndarray] = []
+        self.owners: list[list[int]] = []
+        number: dict[str, int] = {}
         for item_id, text in items:
             words = text.split()
             if len(words) < min_words:
                 continue
-            windows = list(dict.fromkeys(" ".join(words[i : i + min_words]) for i in range(len(words) - min_words + 1)))
-            shortest = min(map(len, windows))
-            if shortest < q:
-                raise ValueError(f"a passage of {min_words} words has under q={q} characters; choose a smaller q")
-            at = len(self.ids)
-            self.ids.append(item_id)
-            self.texts.append(text)
-            self.windows.append([f" {w} " for w in windows])
-            self.need.append((max(1, shortest - q + 1 - edits * q), shortest - edits * (MATCH + PENALTY)))
-            h = _hashes(_codes(text), q)
-            grams.append(h)
-            owner.append(np.full(len(h), at, dtype=np.int64))
-            place.append(np.arange(len(h), dtype=np.int64))
+            at, here = np.cumsum([0, *(len(w) + 1 for w in words)]), []
+            for i in range(len(words) - min_words + 1):
+                passage = text[at[i] : at[i + min_words] - 1]
+                if len(passage) < q:
+                    raise ValueError(f"a passage of {min_words} words has under q={q} characters; choose a smaller q")
+                if passage not in number:
+                    number[passage] = len(number)
+                    self.owners.append([])
+                    here.append((at[i], at[i + min_words] - 1, number[passage]))
+                if not self.owners[number[passage]] or self.owners[number[passage]][-1] != item_id:
+                    self.owners[number[passage]].append(item_id)
+            if here:
+                self.ids.append(item_id)
+                self.codes.append(_codes(text))
+                self.grams.append(_hashes(self.codes[-1], q))
+                self.spans.append(np.array(here, dtype=np.int64))
         if not self.ids:
             return
-        h, owner_, place_ = map(np.concatenate, (grams, owner, place))
+        _, back, count = np.unique(np.concatenate(self.grams), return_inverse=True, return_counts=True)
+        places, offset = count[back], 0
+        seeds, owner, place = [], [], []
+        for at, (grams, spans) in enumerate(zip(self.grams, self.spans, strict=True)):
+            mine = self._seeds(places[offset : offset + len(grams)], spans)
+            offset += len(grams)
+            seeds.append(grams[mine])
+            owner.append(np.full(len(mine), at, dtype=np.int64))
+            place.append(mine)
+        h, owner_, place_ = map(np.concatenate, (seeds, owner, place))
         order = np.argsort(h, kind="stable")
         self.owner, self.place = owner_[order], place_[order]
-        self.grams, self.start, self.count = np.unique(h[order], return_index=True, return_counts=True)
+        self.seeds, self.start, self.count = np.unique(h[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << _BITS, dtype=bool)
-        self.seen[(self.grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        self.least = np.array([n for n, _ in self.need], dtype=np.int64)
-        self.codes = [_codes(t) for t in self.texts]
-
-    def hits(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """(place in the text, item, place in the item) of every q-gram shared."""
-        h = _hashes(_codes(text), self.q)
+        self.seen[(self.seeds >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+
+    def _seeds(self, places: np.ndarray, spans: np.ndarray) -> np.ndarray:
+        """Places of the seeds of all passages; a passage keeps those of the one before it that lie in it."""
+        out: set[int] = set()
+        held: list[int] = []
+        for start, end, _ in spans.tolist():
+            held = [p for p in held if p >= start]
+            if len(held) < self.wanted:
+                free = places[start : end - self.q + 1].copy()
+                none = np.iinfo(free.dtype).max
+                for p in held:
+                    free[max(0, p - start - self.q + 1) : p - start + self.q] = none
+                while len(held) < self.wanted and (best := int(free.argmin())) >= 0 and free[best] != none:
+                    held.append(start + best)
+                    free[max(0, best - self.q + 1) : best + self.q] = none
+                held.sort()
+                out.update(held)
+        return np.array(sorted(out), dtype=np.int64)
+
+    def seeded(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the text, item, place in the item) of every seed hit, at most HIT_BLOCK or one place's hits at a time."""
         at = np.flatnonzero(self.seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-        if not len(at):
-            return None
-        g = np.searchsorted(self.grams, h[at])
-        g[g == len(self.grams)] = 0
-        hit = self.grams[g] == h[at]
+        g = np.searchsorted(self.seeds, h[at])
+        g[g == len(self.seeds)] = 0
+        hit = self.seeds[g] == h[at]
         at, g = at[hit], g[hit]
-        if not len(at):
-            return None
-        n = self.count[g]
-        # every hit once per place of its q-gram in the items
-        doc_at = np.repeat(at, n)
-        step = np.arange(len(doc_at)) - np.repeat(np.cumsum(n) - n, n)
-        ref = np.repeat(self.start[g], n) + step
-        return doc_at, self.owner[ref], self.place[ref]
-
-    def candidates(self, text: str, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(document, item, lowest diagonal, first place, last place) for a newline-joined text.
-
-        ``starts`` has where each document begins.
+        upto = np.cumsum(self.count[g])
+        begun = 0
+        while begun < len(at):
+            end = max(begun + 1, int(np.searchsorted(upto, (upto[begun - 1] if begun else 0) + HIT_BLOCK, side="right")))
+            a, b = at[begun:end], g[begun:end]
+            n = self.count[b]
+            ref = np.repeat(self.start[b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(a, n), self.owner[ref], self.place[ref]
+            begun = end
+
+    def regions(self, text: str, starts: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, int, int]]:
+        """(document, item, lowest diagonal, passages that meet the bound, first, last place) for newline-joined documents that begin at ``starts``.
+
+        Bands of diagonals are those that hold a seed hit; in them every shared q-gram is counted.
         """
-        hits = self.hits(text) if self.ids and len(text) >= self.q else None
-        if hits is None:
-            return
-        doc_at, item, item_at = hits
-        doc = np.searchsorted(starts, doc_at, side="right") - 1
-        diagonal = doc_at - starts[doc] - item_at
-        band = diagonal // self.width
-        # bands overlap by half: a diagonal is in the band that starts at it and in the one before
-        lowest = int(band.min()) - 1
-        span = int(band.max()) - lowest + 2
-        pair = doc * np.int64(len(self.ids)) + item
-        own = pair * span + (band - lowest)
-        # most bands hold a few chance hits: bins of hashed bands, as full as their
-        # bands together, tell which can meet the lowest bound before anything is sorted
-        bin_of = lambda k: ((k.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(64 - _BITS)).astype(np.int64)
-        here, before = bin_of(own), bin_of(own - 1)
-        full = np.bincount(here, minlength=1 << _BITS) + np.bincount(before, minlength=1 << _BITS) >= self.least.min()
-        here, before = full[here], full[before]
-        key = np.concatenate([own[here], own[before] - 1])
-        where = np.concatenate([doc_at[here], doc_at[before]])
-        order = np.argsort(key, kind="stable")
-        key, where = key[order], where[order]
-        if not len(key):
+        if not self.ids or len(text) < self.q:
             return
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        count = np.diff(np.append(first, len(key)))
-        of = (key[first] // span) % len(self.ids)
-        for i in np.flatnonzero(count >= self.least[of]):
-            k = int(key[first[i]])
-            inside = where[first[i] : first[i] + count[i]]
-            d, b = divmod(k, span)
-            doc_no, item_no = divmod(d, len(self.ids))
-            yield int(doc_no), int(item_no), (b + lowest) * self.width, int(inside.min()), int(inside.max())
-
-    def verified(self, item: int, text: str, start: int, end: int, lowest: int, first: int, last: int) -> bool:
-        """Whether the region of a band passes the banded alignment and then holds a passage word by word.
-
-        The document is ``text[start:end]``; ``first`` and ``last`` are the places of the band's hits.
-        """
+        h, ends = _hashes(_codes(text), self.q), np.append(starts[1:], len(text) + 1) - 1
+        seen: set[tuple[int, int, int]] = set()
+        for doc_at, item, item_at in self.seeded(h):
+            doc = np.searchsorted(starts, doc_at, side="right") - 1
+            band = (doc_at - item_at) // self.width
+            # bands overlap by half: a diagonal is in the band that starts at it and in the one before
+            keys = np.unique(np.concatenate([np.stack([doc, item, band], 1), np.stack([doc, item, band - 1], 1)]), axis=0)
+            for d, i, b in keys.tolist():
+                if (d, i, b) in seen:
+                    continue
+                seen.add((d, i, b))
+                lowest = b * self.width
+                shared = self._shared(h, i, lowest, int(starts[d]), int(ends[d]))
+                upto = np.append(0, np.cumsum(shared))
+                spans = self.spans[i]
+                grams = spans[:, 1] - self.q + 1
+                # the q-gram lemma: so many of a passage's q-grams are left after ``edits`` edits
+                need = np.maximum(1, grams - spans[:, 0] - self.edits * self.q)
+                met = spans[upto[grams] - upto[spans[:, 0]] >= need]
+                if len(met):
+                    yield d, i, lowest, met, max(int(starts[d]), lowest + int(met[:, 0].min())), min(int(ends[d]), lowest + 2 * self.width + int(met[:, 1].max()))
+
+    def _shared(self, h: np.ndarray, item: int, lowest: int, start: int, end: int) -> np.ndarray:
+        """Per place of the item, whether its q-gram stands in the document within the band."""
+        g = self.grams[item]
+        shared = np.zeros(len(g), dtype=bool)
+        for diagonal in range(lowest, lowest + 2 * self.width):
+            a, b = max(0, start - diagonal), min(len(g), end - self.q + 1 - diagonal)
+            if a < b:
+                shared[a:b] |= g[a:b] == h[a + diagonal : b + diagonal]
+        return shared
+
+    def verified(self, item: int, text: str, lowest: int, met: np.ndarray, first: int, last: int, start: int, end: int, *, exact: bool) -> Iterator[tuple[int, int]]:
+        """(passage, edits at most) of the passages that the banded alignment of a region accepts and, if ``exact``, that stand there word by word."""
         slack = self.q + 2 * self.width
-        lo, hi = max(start, first - slack), min(end, last + self.q + slack)
-        if self.score(item, text[lo:hi], lo - start, lowest) < self.need[item][1]:
-            return False
+        lo, hi = max(start, first - slack), min(end, last + slack)
         region = text[lo:hi]
-        before = "" if lo == start or text[lo - 1] == " " else "\0"
-        after = "" if hi == end or text[hi : hi + 1] == " " else "\0"
-        region = f" {before}{region}{after} "
-        return any(w in region for w in self.windows[item])
-
-    def score(self, item: int, region: str, offset: int, lowest: int) -> int:
-        """The best local alignment of the item with a region, within the band of diagonals [lowest, lowest + 2w)."""
-        a, b, wide = self.codes[item], _codes(region), 2 * self.width
-        # cell (i, j): item place i, region place j = i + lowest - offset + column
+        codes = _codes(region)
+        padded = f" {'' if lo == start or text[lo - 1] == ' ' else chr(0)}{region}{'' if hi == end or text[hi : hi + 1] == ' ' else chr(0)} "
+        for begin, stop, number in met.tolist():
+            size = stop - begin
+            lost = size * MATCH - self.score(self.codes[item][begin:stop], codes, lo - begin, lowest)
+            # an edit costs a match and a penalty at most, so no passage within the budget fails
+            if lost > self.edits * (MATCH + PENALTY):
+                continue
+            if not exact or f" {self._text(item, begin, stop)} " in padded:
+                yield number, -(-lost // MATCH) if lost < MATCH + PENALTY else lost // MATCH
+
+    def _text(self, item: int, begin: int, stop: int) -> str:
+        return self.codes[item][begin:stop].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+    def score(self, a: np.ndarray, b: np.ndarray, offset: int, lowest: int) -> int:
+        """The best local alignment of a passage with a region, within the band of diagonals [lowest, lowest + 2w)."""
+        wide = 2 * self.width
+        # cell (i, j): passage place i, region place j = i + lowest - offset + column
         shift = lowest - offset
         i0, i1 = max(0, -shift - wide), min(len(a), len(b) - shift)
         if i1 <= i0:
             return 0
-        # region places that the band's cells of item places i0..i1 look at; outside the region nothing is equal
+        # region places that the band's cells of passage places i0..i1 look at; outside the region nothing is equal
         left, right = max(0, -(i0 + shift)), max(0, i1 + shift + wide - len(b))
-        padded = np.concatenate([np.zeros(left, dtype=np.uint64), b[max(0, i0 + shift) : i1 + shift + wide], np.zeros(right, dtype=np.uint64)])
-        equal = np.lib.stride_tricks.sliding_window_view(padded, wide)[: i1 - i0] == a[i0:i1, None]
+        filled = np.concatenate([np.zeros(left, dtype=np.uint64), b[max(0, i0 + shift) : i1 + shift + wide], np.zeros(right, dtype=np.uint64)])
+        equal = np.lib.stride_tricks.sliding_window_view(filled, wide)[: i1 - i0] == a[i0:i1, None]
         gain = np.where(equal, MATCH, -PENALTY).astype(np.int32)
         ramp = np.arange(wide, dtype=np.int32) * PENALTY
         rows = np.zeros((i1 - i0 + 1, wide), dtype=np.int32)
         for i, step in enumerate(gain):
             row, new = rows[i], rows[i + 1]
             step += row
-            # down: same region place, next item place, one column to the left
+            # down: same region place, next passage place, one column to the left
             np.maximum(step[:-1], row[1:] - PENALTY, out=step[:-1])
             np.maximum(step, 0, out=step)
             # along the row: skipped region places
@@ -233,53 +281,78 @@ def _pieces(ids: list[int], texts: list[str], overlap: int) -> Iterator[tuple[li
         yield out_ids, out
 
 
-def _search(items: list[tuple[int, str]], q: int, edits: int, min_words: int):
+def _search(shared, exact: bool):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(items, q, edits, min_words)
-        overlap = 2 * max([0, *(len(t) for t in index.texts)]) + 2 * q
+        blocks: list[Index] = shared.value
+        overlap = 2 * max([0, *(len(c) for index in blocks for c in index.codes)]) + 2 * max([0, *(index.q for index in blocks)])
         for batch in batches:
-            found: dict[tuple[int, int], None] = {}
-            if index.ids:
-                for ids, texts in _pieces(batch.iloc[:, 0].tolist(), [fold(t) for t in batch.iloc[:, 1]], overlap):
-                    lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-                    starts = np.cumsum(lengths) - lengths
-                    text = "\n".join(texts)
-                    for doc, item, lowest, first, last in index.candidates(text, starts):
-                        pair = ids[doc], index.ids[item]
-                        if pair not in found:
-                            start = int(starts[doc])
-                            if index.verified(item, text, start, start + len(texts[doc]), lowest, first, last):
-                                found[pair] = None
-            yield pd.DataFrame(list(found), columns=["doc_id", "item_id"]).astype("int64")
+            found: dict[tuple[int, int], int] = {}
+            for ids, texts in _pieces(batch.iloc[:, 0].tolist(), [fold(t) for t in batch.iloc[:, 1]], overlap):
+                lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+                starts = np.cumsum(lengths) - lengths
+                text = "\n".join(texts)
+                for index in blocks:
+                    # a passage is told of once per document and number of edits
+                    told: dict[tuple[int, int], int] = {}
+                    for doc, item, lowest, met, first, last in index.regions(text, starts):
+                        met = met[[told.get((doc, n), index.edits + 1) > 0 for n in met[:, 2].tolist()]]
+                        start = int(starts[doc])
+                        for number, edits in index.verified(item, text, lowest, met, first, last, start, start + len(texts[doc]), exact=exact):
+                            if edits < told.get((doc, number), edits + 1):
+                                told[doc, number] = edits
+                                for owner in index.owners[number]:
+                                    pair = ids[doc], owner
+                                    found[pair] = min(edits, found.get(pair, edits))
+            yield pd.DataFrame([(d, i, e) for (d, i), e in found.items()], columns=["doc_id", "item_id", "edits"]).astype("int64")
 
     return search
 
 
-def leaks(documents: DataFrame, items: DataFrame, *, q: int = Q, edits: int = EDITS, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id), distinct: the documents that hold ``min_words`` consecutive words of an item.
-
-    The items are read on the driver, block by block; each block is a pass over the documents.
-    """
+def _found(documents: DataFrame, items: DataFrame, q: int, edits: int, min_words: int, block_chars: int, pass_chars: int, exact: bool, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     if q < 2 or q & (q - 1):
         raise ValueError("q has to be a power of two")
+    context = documents.sparkSession.sparkContext
     docs = documents.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("__gw_text")).where("doc_id is not null and __gw_text is not null")
-    out, block, size = None, [], 0
+    narrow = items.select(F.col(f"`{item_col}`").cast("bigint").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("i is not null and t is not null")
+    parts: list[DataFrame] = []
 
-    def search(block: list[tuple[int, str]], out: DataFrame | None) -> DataFrame:
-        part = docs.mapInPandas(_search(block, q, edits, min_words), "doc_id bigint, item_id bigint")
-        return part if out is None else out.unionByName(part)
+    def search(blocks: list[Index]) -> None:
+        # at most ``pass_chars`` characters of items are shared with the tasks at once
+        parts.append(docs.mapInPandas(_search(context.broadcast(blocks), exact), "doc_id bigint, item_id bigint, edits bigint"))
 
-    narrow = items.select(F.col(f"`{item_col}`").cast("bigint").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("i is not null and t is not null")
-    seen: set[tuple[int, str]] = set()
+    blocks, block, size, whole = [], {}, 0, 0
     for row in narrow.toLocalIterator():
         item = row["i"], fold(row["t"])
-        if item in seen or len(item[1]) < q:
+        if item in block or len(item[1]) < q:
             continue
-        seen.add(item)
-        block.append(item)
+        block[item] = None
         size += len(item[1])
         if size >= block_chars:
-            out, block, size = search(block, out), [], 0
-            seen.clear()
-    out = search(block, out) if block or out is None else out
-    return out.distinct()
+            blocks.append(Index(list(block), q, edits, min_words, exact=exact))
+            block, whole, size = {}, whole + size, 0
+            if whole >= pass_chars:
+                search(blocks)
+                blocks, whole = [], 0
+    if block or blocks or not parts:
+        search([*blocks, Index(list(block), q, edits, min_words, exact=exact)])
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def leaks(
+    documents: DataFrame, items: DataFrame, *, q: int = Q, edits: int = EDITS, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS, pass_chars: int = PASS_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, item_id), distinct: the documents that hold ``min_words`` consecutive words of an item, word by word."""
+    return _found(documents, items, q, edits, min_words, block_chars, pass_chars, True, id_col, text_col, item_col, item_text_col).select("doc_id", "item_id").distinct()
+
+
+def near_leaks(
+    documents: DataFrame, items: DataFrame, *, q: int = Q, edits: int = EDITS, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS, pass_chars: int = PASS_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, item_id, edits): as ``leaks``, but the alignment decides: passages with at most ``edits`` edits of letters count too.
+
+    ``edits`` of the result is that of the closest passage, as the alignment tells it (0: word by word but for the passage's ends).
+    """
+    return _found(documents, items, q, edits, min_words, block_chars, pass_chars, False, id_col, text_col, item_col, item_text_col).groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))

@@ -9,8 +9,8 @@ between the returned ``lo`` and ``hi``, which differ by at most the relative ``w
 each unresolved (group, percentile) at equally spaced midpoints, counts the rows below
 them, and keeps the part that holds the target rank, shrunk to the least and greatest value
 in it. An interval is resolved when both are the same. The two ends of an interval always
-fall into different parts, so every pass makes progress; ``PARTS`` parts a pass resolve 53
-bits in at most 53 / log2(PARTS) passes after the first.
+fall into different parts, so every pass makes progress, and passes go on until all are
+resolved; from an interval of the default width it takes at most 53 / log2(PARTS) of them.
 
 Values are first combined to (group, value, count), so neither a group that holds a third
 of all rows nor a value that does gathers in one task; passes read only the value cells
@@ -90,9 +90,8 @@ def percentiles(rows: DataFrame, groups: Sequence[str], value: str, tenthousandt
     state = checkpoint(bounds(summary, groups, tenthousandths))
     done = state.where("lo = hi")
     open_ = state.where("lo < hi")
-    for _ in range(2 + math.ceil(64 / math.log2(parts))):
-        if open_.isEmpty():
-            break
+    # every pass parts the two ends of each interval, so this ends, whatever the width was
+    while not open_.isEmpty():
         state = checkpoint(_pass(counted, open_, groups, parts))
         done = done.unionByName(state.where("lo = hi"))
         open_ = state.where("lo < hi")
@@ -104,7 +103,11 @@ def _pass(counted: DataFrame, open_: DataFrame, groups: list[str], parts: int) -
     o = open_.select(*(F.col(f"`{g}`").alias(f"__o{i}") for i, g in enumerate(groups)), "p", "rank", "n", "cell", "below", "lo", "hi")
     same = [F.col(f"`{g}`").eqNullSafe(F.col(f"__o{i}")) for i, g in enumerate(groups)]
     held = counted.join(o, [*same, F.col("__gw_cell") == F.col("cell")]).where((F.col("__gw_v") >= F.col("lo")) & (F.col("__gw_v") <= F.col("hi")))
-    part = F.least(F.floor((F.col("__gw_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts), F.lit(parts - 1))
+    # over a wide range equal steps of the logarithm narrow faster; the greatest value has the last part to itself
+    lo, hi, v = F.col("lo"), F.col("hi"), F.col("__gw_v")
+    wide = (lo > 0) & (hi / lo > 2)
+    step = F.when(wide, (F.log(v) - F.log(lo)) / (F.log(hi) - F.log(lo))).otherwise((v - lo) / (hi - lo))
+    part = F.when(v == hi, F.lit(parts - 1)).when(v == lo, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.floor(step * (parts - 1)), F.lit(max(parts - 2, 0))))).cast("bigint")
     split = held.groupBy(*groups, "p", "rank", "n", "cell", "below", part.alias("part")).agg(F.sum("__gw_c").alias("c"), F.min("__gw_v").alias("lo"), F.max("__gw_v").alias("hi"))
     # at most ``parts`` rows per interval
     upto = F.sum("c").over(Window.partitionBy(*groups, "p").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))

@@ -39,6 +39,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
+def p7_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Items whose passages stand in a document with an edit at most, as the alignment decides."""
+    return leakage.near_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "source_weights"))[0]
 
@@ -65,7 +70,7 @@ def p9_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return judged.where(F.size("reasons") > 0).select("doc_id", F.round("running_share", 6).alias("running_share"), F.array_join("reasons", ",").alias("reasons"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_percentiles, p4_merged, p4_bounds, p7_found, p8_mixture, p8_shares, p9_found, p9_reasons, p9_statistics)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_percentiles, p4_merged, p4_bounds, p7_found, p7_near, p8_mixture, p8_shares, p9_found, p9_reasons, p9_statistics)}
 
 _COUNTED = "select distinct * from task_times"
 _VALID = "learning_time is not null and not isnan(learning_time) and learning_time >= 0"

@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 
 from gatewright.llm import leakage as L
@@ -56,6 +57,62 @@ def test_against_brute_force(spark, seed, edits):
 def test_blocks_of_items(spark):
     docs, items = corpus(7)
     assert found(spark, docs, items, block_chars=300) == brute(docs, items)
+    assert found(spark, docs, items, block_chars=300, pass_chars=700) == brute(docs, items)
+
+
+def distance(a, b):
+    """Least edits between a and any part of b."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_edited_passages_are_found_by_alignment(spark, edits):
+    rng = random.Random(edits)
+    items = [(i, " ".join(rng.choice(WORDS) for _ in range(40))) for i in range(3)]
+    docs = []
+    for d in range(30):
+        words = rng.choice(items)[1].split()
+        at = rng.randint(0, 40 - 16)
+        passage = list(" ".join(words[at : at + 16]))
+        for _ in range(d % 5):
+            place = rng.randrange(len(passage))
+            passage[place] = rng.choice("qxz") if rng.random() < 0.5 else ""
+        docs.append((d, " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 5))) + " " + "".join(passage) + " " + " ".join(rng.choice(WORDS) for _ in range(3))))
+    got = {(r["doc_id"], r["item_id"]) for r in L.near_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), edits=edits).collect()}
+    want = set()
+    for d, text in docs:
+        for i, item in items:
+            w = item.split()
+            if any(distance(" ".join(w[k : k + 13]), L.fold(text)) <= edits for k in range(28)):
+                want.add((d, i))
+    assert len(want) > 8 and len(got & want) >= 0.95 * len(want) and brute(docs, items) <= got
+    # what is found beyond is close too
+    assert all(any(distance(" ".join(dict(items)[i].split()[k : k + 13]), L.fold(dict(docs)[d])) <= 2 * edits + 1 for k in range(28)) for d, i in got - want)
+
+
+def test_an_instruction_shared_by_all_items():
+    """2 000 items begin alike; a page that repeats the beginning gives no flood of hits."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    shared = " ".join(rng.choice(WORDS) for _ in range(30))
+    items = [(i, f"{shared} " + " ".join(f"{rng.choice(WORDS)}{rng.randrange(999)}" for _ in range(20))) for i in range(2_000)]
+    index = L.Index(items, L.Q, L.EDITS, L.MIN_WORDS)
+    text = " ".join([shared, "x"] * 200) + " " + items[7][1]
+    tracemalloc.start()
+    numbers = set()
+    for doc, item, lowest, met, first, last in index.regions(text, np.array([0])):
+        numbers |= {n for n, _ in index.verified(item, text, lowest, met, first, last, 0, len(text), exact=True)}
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert {o for n in numbers for o in index.owners[n]} == set(range(2_000))
+    assert max(len(a) for a, _, _ in index.seeded(L._hashes(L._codes(text), L.Q))) <= L.HIT_BLOCK
 
 
 def test_folding():

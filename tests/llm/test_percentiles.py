@@ -70,3 +70,10 @@ def test_repeated_rows_and_empty(spark):
     assert P.percentiles(P.unique_rows(df), ["learner"], "learning_time", [5000]).first()["n"] == 3
     empty = make(spark, [])
     assert P.percentiles(empty, ["learner", "day"], "learning_time", ASKED).count() == 0 and P.bounds(P.summarise(empty, ["learner"], "learning_time"), ["learner"], [5000]).count() == 0
+
+
+def test_very_wide_intervals_are_resolved_too(spark):
+    values = [10.0 ** (e - 150) for e in range(301)]
+    df = make(spark, [("a", None, v) for v in values])
+    got = {r["p"]: r["value"] for r in P.percentiles(df, ["learner"], "learning_time", [1, 5000, 9900], width=1e300).collect()}
+    assert got == {p: brute(values, p) for p in (1, 5000, 9900)}
