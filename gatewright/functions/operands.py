@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +55,19 @@ def expression(operator: str, nb: int, example: Column) -> Column:
     return made[operator]()
 
 
+def values(operator: str, nb: int, examples: np.ndarray) -> np.ndarray:
+    """The operator on a vector of example numbers."""
+    operand_count(operator)
+    full = (1 << nb) - 1
+    x = examples.astype(np.int64)
+    a, b = x >> nb, x & full
+    made: dict[str, Callable[[], np.ndarray]] = {
+        "zero": lambda: np.zeros_like(x), "not": lambda: x ^ full, "unary_and": lambda: (x == full).astype(np.int64), "unary_or": lambda: (x != 0).astype(np.int64), "and": lambda: a & b, "or": lambda: a | b,
+        "xor": lambda: a ^ b, "add": lambda: a + b, "sub": lambda: (a - b) % (full + 1), "mul": lambda: a * b,
+    }
+    return made[operator]()
+
+
 def value(operator: str, nb: int, example: int) -> int:
     """The operator on a plain number, for use inside tasks."""
     operand_count(operator)

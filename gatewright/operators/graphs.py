@@ -18,8 +18,8 @@ from gatewright.functions import operands
 from gatewright.model.network import Network
 from gatewright.operators.evaluate import evaluate_bits
 
-#: A full truth table is made for at most so many inputs.
-MAX_INPUTS = 20
+#: Examples of a truth table that are looked at together, and inputs beyond which a full table is an error.
+BLOCK_EXAMPLES, MAX_INPUTS = 1 << 18, 40
 
 
 def gate_table(networks: DataFrame) -> DataFrame:
@@ -61,8 +61,8 @@ def operator_errors(networks: DataFrame) -> DataFrame:
     """(net_id, r, ne, errors): each output against the network's target function over all 2^ni examples.
 
     Two-operand functions take ni / 2 bits each. Invalid networks and those without a known
-    function, with an odd number of inputs for two operands, or of more than MAX_INPUTS inputs
-    give no rows.
+    function or with an odd number of inputs for two operands give no rows. Tables are worked through
+    in blocks; more than MAX_INPUTS inputs, whose table nobody could wait for, raise.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,18 +70,23 @@ def operator_errors(networks: DataFrame) -> DataFrame:
             out = []
             for net_id, name, ni, no, gates in part.itertuples(index=False):
                 try:
-                    if not 0 < ni <= MAX_INPUTS or ni % operands.operand_count(name):
-                        continue
                     ni, no = int(ni), int(no)
+                    if ni < 1 or ni % operands.operand_count(name):
+                        continue
                     net = Network.of([(g["src1"], g["src2"], g["tf"]) for g in gates], ni, no)
                 except (ValueError, TypeError):
                     continue
-                ids = np.arange(1 << ni, dtype=np.int64)
-                x = (ids >> np.arange(ni)[:, None] & 1).astype(bool)
-                want = np.array([operands.value(name, ni // operands.operand_count(name), int(i)) for i in ids])
-                act = evaluate_bits(net.gates, net.ni, x)[-no:]
-                wrong = (act != (want >> np.arange(no)[:, None] & 1).astype(bool)).sum(axis=1)
-                out += [(net_id, r, len(ids), int(w)) for r, w in enumerate(wrong)]
+                if ni > MAX_INPUTS:
+                    raise ValueError(f"network {net_id} has {ni} inputs; a full table is made for at most {MAX_INPUTS}")
+                wrong = np.zeros(no, dtype=np.int64)
+                for begun in range(0, 1 << ni, BLOCK_EXAMPLES):
+                    ids = np.arange(begun, min(begun + BLOCK_EXAMPLES, 1 << ni), dtype=np.int64)
+                    act = evaluate_bits(net.gates, ni, (ids >> np.arange(ni)[:, None] & 1).astype(bool))[-no:]
+                    want = operands.values(name, ni // operands.operand_count(name), ids)
+                    # outputs above the 63rd bit of a value are 0
+                    bits = np.minimum(np.arange(no), 63)[:, None]
+                    wrong += (act != (want >> bits & 1).astype(bool)).sum(axis=1)
+                out += [(net_id, r, 1 << ni, int(w)) for r, w in enumerate(wrong)]
             yield pd.DataFrame(out, columns=["net_id", "r", "ne", "errors"]).astype({"r": "int32", "ne": "int64", "errors": "int64", "net_id": "int64"})
 
     return networks.select("net_id", "target_function", "ni", "nout", "gates").mapInPandas(run, "net_id bigint, r int, ne bigint, errors bigint")

@@ -505,7 +505,11 @@ def label_effect_rank(spark: SparkSession, sf: str) -> DataFrame:
     return curricula.label_effect_rank(tables.orders(spark, sf), _Y, 2).select("i", F.round("v", 9).alias("v"), "rank")
 
 
-@query("cebcc_order")
+@query("cebcc_order", f"""with recursive {_PAIRS}, hh as (select i, j, n, sum(n) over (partition by i, j, b) as nb, sum(n) over (partition by i, j) as nn from pr), h as (select i, j, abs(-sum(n / nn * log2(n / nb))) as h from hh group by i, j),
+    -- one output is picked per round; the sums are over those that are left
+    pick as (select v, 0 as round, [0, 1, 2, 3] as rest, null::int as target from (values (1), (2), (3), (4)) t(v)
+        union all select v, round + 1, list_filter(rest, lambda t: t <> best), best from (select v, round, rest, (select t from (select t, round((select sum(h) from h where case when v < 3 then i = t and list_contains(rest, j) else j = t and list_contains(rest, i) end), 12) as s from (select unnest(rest) as t)) order by case when v in (1, 3) then s else -s end, t limit 1) as best from pick where len(rest) > 0))
+    select v::int as variant, (case when v in (1, 4) then 4 - round else round - 1 end)::int as place, target::int as target from pick where target is not null""")
 def cebcc_order(spark: SparkSession, sf: str) -> DataFrame:
     h = curricula.matrix(curricula.conditional_entropy(tables.orders(spark, sf), _Y), "h", 4)
     rows = [(v, p, t) for v in (1, 2, 3, 4) for p, t in enumerate(curricula.entropy_order(h, v))]
@@ -576,7 +580,10 @@ def cooling_schedule(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(i, round(t, 9)) for i, t in enumerate(geometric(5, 0.95, 20))], "i int, t double")
 
 
-@query("late_acceptance_trace")
+@query("late_acceptance_trace", """with recursive c as (select unnest(range(9))::int as i, unnest([9e0, 11e0, 9.5, 8e0, 8.5, 8.9, 12e0, 8e0, 7.5]) as cost),
+    r as (select -1 as i, null::double as cost, null::boolean as accepted, 10e0 as now, [10e0, 10e0, 10e0] as past
+        union all select c.i, c.cost, c.cost <= r.now or c.cost < r.past[1], case when c.cost <= r.now or c.cost < r.past[1] then c.cost else r.now end, list_append(r.past[2:3], case when c.cost <= r.now or c.cost < r.past[1] then c.cost else r.now end) from r join c on c.i = r.i + 1)
+    select i, cost, accepted, now from r where i >= 0""")
 def late_acceptance_trace(spark: SparkSession, sf: str) -> DataFrame:
     """Late acceptance replayed over a fixed trace of costs."""
     accept, now, rows = late_acceptance(10.0, 3), 10.0, []
@@ -587,37 +594,79 @@ def late_acceptance_trace(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "i int, cost double, accepted boolean, now double")
 
 
-@query("learn_tasks")
+def _agreeing(spark: SparkSession, one: dict) -> DataFrame:
+    """Results of an experiment on a generated table, and whether their networks, evaluated here as rows, say the same.
+
+    The recorded final network of each task is folded over all examples of the truth table in
+    the JVM; the errors on the examples that the task was given, and on the others, have to be the
+    recorded ones, output by output.
+    """
+    tasks = experiment.tasks(spark, one).persist()
+    results = experiment.run(tasks).join(tasks.select("task_id", "training_indices"), "task_id")
+    data = one["base_config"]["data"]
+    table_ = truth_tables.truth_table(spark, data["operator"], data["bits"], data["out_width"])
+    x, y = ([F.col(c) for c in table_.columns if c[0] == p] for p in "xy")
+    examples = table_.select("id", F.array(*x).alias("x"), F.array(*y).alias("y"))
+    # a task has few examples and there are few tasks; both sides are tiny here
+    cells = results.select("task_id", "nout", "final_net", "training_indices", F.explode(F.sequence(F.lit(0), F.lit(2 ** len(x) - 1))).alias("id"))
+    act = F.aggregate("final_net", F.col("x"), lambda a, g: F.concat(a, F.array(F.call_function("shiftright", g[2], 2 * F.get(a, g[0]) + F.get(a, g[1])).bitwiseAND(F.lit(1)))))
+    cells = cells.join(examples, "id").withColumn("o", F.slice(act, -F.col("nout"), F.col("nout")))
+    wrong = F.aggregate(F.zip_with("o", "y", lambda a, b: a.bitwiseXOR(b)), F.lit(0), lambda a, e: a + e)
+    mine = F.array_contains("training_indices", F.col("id").cast("bigint"))
+    mean = lambda part: F.avg(F.when(part, wrong / F.col("nout")))
+    errors = cells.groupBy("task_id").agg(mean(mine).alias("trg"), mean(~mine).alias("test"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-9
+    whole = F.array_sort("target_order") == F.sequence(F.lit(0), F.col("nout") - 1)
+    return results.join(errors, "task_id").select(
+        "config_num", "training_set_number", "learner", "guiding_function", "ni", "nout", "ne", near("trg_err", "trg").alias("trained_as_told"), near("test_err", "test").alias("tested_as_told"), whole.alias("order_whole"),
+        (F.size("final_net") == F.col("ng")).alias("size_as_told"), F.col("failed").isNull().alias("ended"),
+    )
+
+
+def _told(rows: str) -> str:
+    return f"select c::int as config_num, s::int as training_set_number, learner, guide as guiding_function, 4 as ni, 3 as nout, n::int as ne, true as trained_as_told, true as tested_as_told, true as order_whole, true as size_as_told, true as ended from {rows}"
+
+
+#: Sixteen examples of a two-bit adder; the first samples of training examples, as lists so that anyone can tell which they are.
+_GIVEN = [[0, 2, 3, 5, 6, 8, 9, 11, 12, 14, 15, 1], [4, 7, 10, 13, 0, 1, 2, 3, 8, 9, 14, 15]]
+
+
+def _with(learner: dict, optimiser: dict | None = None, noise: float = 0.0) -> dict:
+    base = EXPERIMENT["base_config"]
+    data = {**base["data"], "add_noise": noise} if noise else base["data"]
+    return {"name": "one", "seed": 11, "base_config": {**base, "data": data, "sampling": {"type": "given", "indices": _GIVEN}, "learner": {"network_params": {"Ng": "8n", "node_funcs": [7]}, **learner}, "optimiser": optimiser or base["optimiser"], "log_keys": []}}
+
+
+@query("learn_tasks", _told("(values (0, 'monolithic', 'e3'), (1, 'classifierchain', 'e1'), (2, 'stratified', 'e1')) v(c, learner, guide), (values (0, 12), (1, 12)) w(s, n)"))
 def learn_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    return experiment.run(experiment.tasks(spark, EXPERIMENT)).select("config_num", "training_set_number", "learner", "ni", "nout", "ng", "ne", "trg_err", "test_err", "target_order")
+    one = _with({"name": "monolithic", "target_order": "auto"})
+    return _agreeing(spark, {**one, "list": [{"optimiser": {"guiding_function": "e3"}}, {"learner": {"name": "classifierchain", "early_terminate": False}}, {"learner": {"name": "stratified", "early_terminate": False}}]})
 
 
 def _optimiser_run(name: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         extra = {"SA": {"num_temps": 10, "steps_per_temp": 30, "init_temp": 0.1, "temp_rate": 0.7}, "HC": {"max_iterations": 300}, "LAHC": {"max_iterations": "100n", "cost_list_length": 20}}[name]
-        base = {**EXPERIMENT["base_config"], "optimiser": {"name": name, "guiding_function": "e1", "max_restarts": 1, **extra}}
-        one = {"name": "runs", "seed": 11, "base_config": base}
-        return experiment.run(experiment.tasks(spark, one)).select("config_num", "training_set_number", "learner", "ng", "trg_err", "test_err")
+        return _agreeing(spark, _with({"name": "monolithic", "target_order": "lsb"}, {"name": name, "guiding_function": "e1", "max_restarts": 1, **extra}))
 
     return run
 
 
 for _name in ("HC", "LAHC", "SA"):
-    query(f"{_name.lower()}_run")(_optimiser_run(_name))
+    query(f"{_name.lower()}_run", _told("(values (0, 'monolithic', 'e1')) v(c, learner, guide), (values (0, 12), (1, 12)) w(s, n)"))(_optimiser_run(_name))
 
 
 def _learner_run(name: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        learner = {"sublearner": "classifierchain", "curricula_method": "CEbCC"} if name == "wrapper" else {"target_order": "auto"}
-        base = {**EXPERIMENT["base_config"], "learner": {"name": name, "network_params": {"Ng": "8n", "node_funcs": [7]}, **learner}}
-        one = {"name": "learners", "seed": 11, "base_config": base, "list": [{"data": {"add_noise": 0.1}}]}
-        return experiment.run(experiment.tasks(spark, one)).select("config_num", "training_set_number", "learner", "nout", "ng", "actual_noise", "trg_err", "trg_mccs", "test_err", "target_order")
+        more: dict = {"sublearner": "classifierchain", "curricula_method": "CEbCC", "early_terminate": False} if name == "wrapper" else {"target_order": "auto"}
+        if name not in ("monolithic", "wrapper"):
+            more["early_terminate"] = False
+        return _agreeing(spark, _with({"name": name, **more}, noise=0.1))
 
     return run
 
 
-for _name in ("split", "classifierchain", "classifierchain_plus", "ecc_member", "stratified", "stratmultipar", "wrapper"):
-    query(f"learner_{_name}")(_learner_run(_name))
+for _name in ("monolithic", "split", "classifierchain", "classifierchain_plus", "ecc_member", "stratified", "stratmultipar", "wrapper"):
+    query(f"learner_{_name}", _told(f"(values (0, '{_name}', 'e1')) v(c, learner, guide), (values (0, 12), (1, 12)) w(s, n)"))(_learner_run(_name))
 
 
 @query("results_by_learner", """select lower(learner) as learner, guiding_function, count(*) as n, round(avg(trg_err), 9) as trg_err, round(avg(test_err), 9) as test_err, min(finished_at) as first_at

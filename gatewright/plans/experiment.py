@@ -228,7 +228,7 @@ FORMS: dict[str, tuple[str, dict[str, tuple[dict[str, Test], dict[str, Test] | N
         "classifierchain": (_LEARN, _STAGED),
         "classifierchain_plus": (_LEARN, _STAGED),
         "split": (_LEARN, _STAGED),
-        "ecc_member": ({"network_params": _network}, {"target_order": _ORDER, "seed": _SEED}),
+        "ecc_member": ({"network_params": _network}, {"target_order": _ORDER, "seed": _SEED, "early_terminate": _among(True, False)}),
         "wrapper": ({"sublearner": _among(*(n for n in LEARNERS if n != "wrapper")), "curricula_method": _among("minfs", "CEbCC", "label_effects"), "network_params": _network}, None),
     }),
 }

@@ -71,6 +71,21 @@ def test_network_tables_with_bad_rows(spark):
     assert sorted(map(tuple, graphs.operator_errors(df).collect())) == [(1, 0, 4, 3), (1, 1, 4, 3)]
 
 
+def test_truth_tables_in_blocks(spark, monkeypatch):
+    schema = "net_id bigint, ni int, nout int, target_function string, gates array<struct<src1:int,src2:int,tf:int>>"
+    wide = [(0, 1, 8)]
+    df = spark.createDataFrame([(1, 22, 1, "and", wide)], schema)
+    assert [tuple(r) for r in graphs.operator_errors(df).collect()] == [(1, 0, 1 << 22, 1 << 20)]
+    with pytest.raises(Exception, match="at most 40"):
+        graphs.operator_errors(df.withColumn("ni", F.lit(42))).collect()
+
+
+@pytest.mark.parametrize("operator", operands.OPERATORS)
+def test_operators_on_vectors(operator):
+    ids = np.arange(1 << operands.input_width(operator, 3))
+    assert operands.values(operator, 3, ids).tolist() == [operands.value(operator, 3, int(i)) for i in ids]
+
+
 def test_noise_and_bags(spark):
     df = spark.range(40).selectExpr("id", "0 as y0", "1 as y1")
     flipped = sampling.noisy(df, ["y0", "y1"], 40, 0.1, 1).collect()
