@@ -103,11 +103,11 @@ def _pass(counted: DataFrame, open_: DataFrame, groups: list[str], parts: int) -
     o = open_.select(*(F.col(f"`{g}`").alias(f"__o{i}") for i, g in enumerate(groups)), "p", "rank", "n", "cell", "below", "lo", "hi")
     same = [F.col(f"`{g}`").eqNullSafe(F.col(f"__o{i}")) for i, g in enumerate(groups)]
     held = counted.join(o, [*same, F.col("__gw_cell") == F.col("cell")]).where((F.col("__gw_v") >= F.col("lo")) & (F.col("__gw_v") <= F.col("hi")))
-    # over a wide range equal steps of the logarithm narrow faster; the greatest value has the last part to itself
+    # over a wide range equal steps of the logarithm narrow faster; the ends fall into the first and the last part
     lo, hi, v = F.col("lo"), F.col("hi"), F.col("__gw_v")
     wide = (lo > 0) & (hi / lo > 2)
     step = F.when(wide, (F.log(v) - F.log(lo)) / (F.log(hi) - F.log(lo))).otherwise((v - lo) / (hi - lo))
-    part = F.when(v == hi, F.lit(parts - 1)).when(v == lo, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.floor(step * (parts - 1)), F.lit(max(parts - 2, 0))))).cast("bigint")
+    part = F.when(v == hi, F.lit(parts - 1)).otherwise(F.least(F.floor(step * parts), F.lit(parts - 1))).cast("bigint")
     split = held.groupBy(*groups, "p", "rank", "n", "cell", "below", part.alias("part")).agg(F.sum("__gw_c").alias("c"), F.min("__gw_v").alias("lo"), F.max("__gw_v").alias("hi"))
     # at most ``parts`` rows per interval
     upto = F.sum("c").over(Window.partitionBy(*groups, "p").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))

@@ -93,6 +93,13 @@ _SPACES = " || ".join(f"chr({c})" for c in [11, 28, 29, 30, 31, 133, 160, 5760,
 SQL: dict[str, str] = {
     "p4_percentiles": _exact("learner, dataset_id, run_day"),
     "p4_merged": _exact("learner"),
+    # value cells of 1 % relative width; a percentile's bounds are the least and greatest value of its cell
+    "p4_bounds": f"""
+        with v as (select learner, dataset_id, learning_time as v, case when learning_time = 0 then -2147483648 else floor(ln(learning_time) / ln(1.01)) end as cell from ({_COUNTED}) where {_VALID}),
+        c as (select learner, dataset_id, cell, count(*) as n, min(v) as lo, max(v) as hi from v group by all),
+        u as (select *, sum(n) over (partition by learner, dataset_id)::bigint as total, sum(n) over (partition by learner, dataset_id order by cell)::bigint as upto from c),
+        a as (select unnest([{', '.join(map(str, ASKED))}])::int as p)
+        select learner, dataset_id, p, total as n, lo, hi from u, a where greatest(1, (total * p + 9999) // 10000) between upto - n + 1 and upto""",
     "p9_statistics": r"""
         with c as (select list(distinct lower(trim(word))) as common from common_words),
         d as (select doc_id, translate(coalesce(text, ''), __SPACES__, repeat(' ', length(__SPACES__))) as t from documents),
