@@ -27,7 +27,7 @@ overlapping pieces, as a whole. Passages too short for k + 1 seeds have as many
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -123,7 +123,13 @@ class Index:
                 self.spans.append(np.array(here, dtype=np.int64))
         if not self.ids:
             return
-        _, back, count = np.unique(np.concatenate(self.grams), return_inverse=True, return_counts=True)
+        self.exact = exact
+        self.every = np.concatenate(self.grams)
+        self.sizes = np.array([len(g) for g in self.grams], dtype=np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        #: q-grams of an item's shortest passage
+        self.run = np.array([int((sp[:, 1] - sp[:, 0]).min()) - q + 1 for sp in self.spans], dtype=np.int64)
+        _, back, count = np.unique(self.every, return_inverse=True, return_counts=True)
         places, offset = count[back], 0
         seeds, owner, place = [], [], []
         for at, (grams, spans) in enumerate(zip(self.grams, self.spans, strict=True)):
@@ -184,11 +190,24 @@ class Index:
         h, ends = _hashes(_codes(text), self.q), np.append(starts[1:], len(text) + 1) - 1
         seen: set[tuple[int, int, int]] = set()
         for doc_at, item, item_at in self.seeded(h):
+            if self.exact:
+                # a passage that stands word by word is a run of shared q-grams: with the seed at 0, its
+                # half on one side at least is shared too, which hardly any chance hit has
+                half = self.run[item] - 1
+                on = self._same(h, doc_at, item, item_at, half - half // 2) | self._same(h, doc_at, item, item_at, -(half // 2))
+                doc_at, item, item_at = doc_at[on], item[on], item_at[on]
+            if not len(doc_at):
+                continue
             doc = np.searchsorted(starts, doc_at, side="right") - 1
             band = (doc_at - item_at) // self.width
+            lowest_band = int(band.min()) - 1
+            span = int(band.max()) - lowest_band + 1
+            key = (doc * len(self.ids) + item) * span + band - lowest_band
             # bands overlap by half: a diagonal is in the band that starts at it and in the one before
-            keys = np.unique(np.concatenate([np.stack([doc, item, band], 1), np.stack([doc, item, band - 1], 1)]), axis=0)
-            for d, i, b in keys.tolist():
+            for k in np.unique(np.concatenate([key, key - 1])).tolist():
+                pair, b = divmod(k, span)
+                d, i = divmod(pair, len(self.ids))
+                b += lowest_band
                 if (d, i, b) in seen:
                     continue
                 seen.add((d, i, b))
@@ -203,31 +222,39 @@ class Index:
                 if len(met):
                     yield d, i, lowest, met, max(int(starts[d]), lowest + int(met[:, 0].min())), min(int(ends[d]), lowest + 2 * self.width + int(met[:, 1].max()))
 
+    def _same(self, h: np.ndarray, doc_at: np.ndarray, item: np.ndarray, item_at: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Whether the q-grams ``step`` places on are the same as well."""
+        a, b = doc_at + step, item_at + step
+        on = (a >= 0) & (a < len(h)) & (b >= 0) & (b < self.sizes[item])
+        return on & (h[np.where(on, a, 0)] == self.every[self.begins[item] + np.where(on, b, 0)])
+
     def _shared(self, h: np.ndarray, item: int, lowest: int, start: int, end: int) -> np.ndarray:
         """Per place of the item, whether its q-gram stands in the document within the band."""
         g = self.grams[item]
-        shared = np.zeros(len(g), dtype=bool)
-        for diagonal in range(lowest, lowest + 2 * self.width):
-            a, b = max(0, start - diagonal), min(len(g), end - self.q + 1 - diagonal)
-            if a < b:
-                shared[a:b] |= g[a:b] == h[a + diagonal : b + diagonal]
-        return shared
-
-    def verified(self, item: int, text: str, lowest: int, met: np.ndarray, first: int, last: int, start: int, end: int, *, exact: bool) -> Iterator[tuple[int, int]]:
-        """(passage, edits at most) of the passages that the banded alignment of a region accepts and, if ``exact``, that stand there word by word."""
+        at = np.arange(len(g)) + np.arange(lowest, lowest + 2 * self.width)[:, None]
+        on = (at >= start) & (at <= end - self.q)
+        return ((h[np.where(on, at, 0)] == g) & on).any(axis=0)
+
+    def verified(self, item: int, text: str, lowest: int, met: np.ndarray, first: int, last: int, start: int, end: int, *, exact: bool, known: Callable[[int], bool] = lambda _: False) -> Iterator[tuple[int, int]]:
+        """(passage, edits at most) of the passages that the banded alignment of a region accepts and, if ``exact``, that stand there word by word.
+
+        A passage that is ``known`` when its turn comes would tell nothing new and is passed over.
+        """
         slack = self.q + 2 * self.width
         lo, hi = max(start, first - slack), min(end, last + slack)
         region = text[lo:hi]
         codes = _codes(region)
         padded = f" {'' if lo == start or text[lo - 1] == ' ' else chr(0)}{region}{'' if hi == end or text[hi : hi + 1] == ' ' else chr(0)} "
         for begin, stop, number in met.tolist():
+            if known(number):
+                continue
             size = stop - begin
             lost = size * MATCH - self.score(self.codes[item][begin:stop], codes, lo - begin, lowest)
             # an edit costs a match and a penalty at most, so no passage within the budget fails
             if lost > self.edits * (MATCH + PENALTY):
                 continue
             if not exact or f" {self._text(item, begin, stop)} " in padded:
-                yield number, -(-lost // MATCH) if lost < MATCH + PENALTY else lost // MATCH
+                yield number, -(-lost // (MATCH + PENALTY))
 
     def _text(self, item: int, begin: int, stop: int) -> str:
         return self.codes[item][begin:stop].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
@@ -292,17 +319,14 @@ def _search(shared, exact: bool):
                 starts = np.cumsum(lengths) - lengths
                 text = "\n".join(texts)
                 for index in blocks:
-                    # a passage is told of once per document and number of edits
-                    told: dict[tuple[int, int], int] = {}
                     for doc, item, lowest, met, first, last in index.regions(text, starts):
-                        met = met[[told.get((doc, n), index.edits + 1) > 0 for n in met[:, 2].tolist()]]
-                        start = int(starts[doc])
-                        for number, edits in index.verified(item, text, lowest, met, first, last, start, start + len(texts[doc]), exact=exact):
-                            if edits < told.get((doc, number), edits + 1):
-                                told[doc, number] = edits
-                                for owner in index.owners[number]:
-                                    pair = ids[doc], owner
-                                    found[pair] = min(edits, found.get(pair, edits))
+                        start, doc_id = int(starts[doc]), ids[doc]
+                        # all items of the passage are told of this document already, as near as can be
+                        known = lambda n: all(found.get((doc_id, o)) == 0 for o in index.owners[n])  # noqa: B023, E731
+                        for number, edits in index.verified(item, text, lowest, met, first, last, start, start + len(texts[doc]), exact=exact, known=known):
+                            for owner in index.owners[number]:
+                                pair = doc_id, owner
+                                found[pair] = min(0 if exact else edits, found.get(pair, edits))
             yield pd.DataFrame([(d, i, e) for (d, i), e in found.items()], columns=["doc_id", "item_id", "edits"]).astype("int64")
 
     return search
