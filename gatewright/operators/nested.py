@@ -110,44 +110,62 @@ class Container:
         self.types, self.facts = re.compile(types), list(facts)
 
 
-def walk(value: object, root: str = "$", containers: Sequence[Container] = ()) -> list[list]:
-    """The labelled nodes of a parsed document: [pre, post, depth, parent, type, key, place, kind, value, held].
+def walk(value: object, root: str = "$", containers: Sequence[Container] = (), keep: Mapping[str, bool] | None = None) -> list[list]:
+    """The labelled nodes of a parsed document: [pre, post, depth, parent, type, key, place, kind, value, held, facts].
 
-    ``held`` has per container the number of the innermost node of that type around the node (itself included).
+    ``held`` has per container the number of the innermost node of that type around the node
+    (itself included), ``facts`` the scalar members of a container that are told of it. Scalars
+    of types that ``keep`` does not want take their numbers but are left out.
     """
     nodes: list[list] = []
     clock = 0
-    nothing = (None,) * len(containers)
-    known: dict[str, list[bool]] = {}
-    # a task is a node to open, or the number of a node to close
-    todo: list[tuple] = [(value, root, None, None, 0, None)]
+    told = {f for c in containers for f in c.facts}
+    # which containers a type is one of; None if it is none
+    known: dict[str, tuple[bool, ...] | None] = {}
+    # a task is the number of a node to close, or a node to open
+    todo: list = [(value, root, None, None, 0, None, None, (None,) * len(containers))]
     while todo:
         task = todo.pop()
-        if len(task) == 1:
-            nodes[task[0]][1] = clock
+        if type(task) is int:
+            nodes[task][1] = clock
             clock += 1
             continue
-        item, type_, key, place, depth, above = task
-        item = _decoded(item) if type(item) is str else item
+        item, type_, key, place, depth, above, parent, held = task
+        kind = type(item)
+        if kind is str:
+            item = _decoded(item)
+            kind = type(item)
         at = len(nodes)
-        if type_ not in known:
-            known[type_] = [c.types.fullmatch(type_) is not None for c in containers]
-        held = tuple(at if mine else outer for mine, outer in zip(known[type_], nothing if above is None else nodes[above][9], strict=True))
-        node = [clock, None, depth, None if above is None else nodes[above][0], type_, key, place, None, None, held]
-        clock += 1
-        nodes.append(node)
-        todo.append((at,))
-        if isinstance(item, dict):
-            node[7] = "object"
-            todo += [(v, f"{type_}.{k}", k, None, depth + 1, at) for k, v in reversed(item.items())]
-        elif isinstance(item, list):
-            node[7] = "array"
-            todo += [(v, f"{type_}[]", None, i, depth + 1, at) for i, v in zip(range(len(item) - 1, -1, -1), reversed(item), strict=True)]
-        elif item is None:
-            node[7] = "null"
+        mine = known.get(type_, ())
+        if mine == ():
+            mine = tuple(c.types.fullmatch(type_) is not None for c in containers)
+            known[type_] = mine = mine if any(mine) else None
+        outer = held
+        if mine is not None:
+            held = tuple(at if m else h for m, h in zip(mine, held, strict=True))
+        if kind is dict:
+            nodes.append([clock, None, depth, parent, type_, key, place, "object", None, held, None])
+            todo.append(at)
+            todo += [(v, f"{type_}.{k}", k, None, depth + 1, at, clock, held) for k, v in reversed(item.items())]
+        elif kind is list:
+            nodes.append([clock, None, depth, parent, type_, key, place, "array", None, held, None])
+            todo.append(at)
+            inner = f"{type_}[]"
+            if keep is not None and not keep[inner] and all(type(v) is _Raw for v in item):
+                clock += 1 + 2 * len(item)
+                continue
+            todo += [(item[i], inner, None, i, depth + 1, at, clock, held) for i in range(len(item) - 1, -1, -1)]
         else:
-            node[7] = "boolean" if isinstance(item, bool) else "number" if isinstance(item, _Raw) else "string"
-            node[8] = str(item).lower() if isinstance(item, bool) else str(item)
+            text = None if item is None else str(item).lower() if kind is bool else str(item)
+            if keep is None or keep[type_]:
+                nodes.append([clock, clock + 1, depth, parent, type_, key, place, "null" if item is None else "boolean" if kind is bool else "number" if kind is _Raw else "string", text, held, None])
+            clock += 1
+            # a scalar member is told of its container, right below which it stands
+            if key in told and text is not None:
+                for i, c in enumerate(containers):
+                    if outer[i] == above and above is not None and key in c.facts:
+                        nodes[above][10] = (nodes[above][10] or {}) | {key: text}
+        clock += 1
     return nodes
 
 
@@ -169,23 +187,19 @@ class _Labels:
         self.ends = [0]
 
     def add(self, doc: str, nodes: list[list], keep: Mapping[str, bool]) -> None:
-        facts: list[dict[int, dict[str, str]]] = []
-        for i, c in enumerate(self.containers):
-            # scalar members stand right below the container; by number of the container
-            mine: dict[int, dict[str, str]] = {}
-            for n in nodes if c.facts else ():
-                if n[5] in c.facts and n[8] is not None and n[9][i] is not None and nodes[n[9][i]][0] == n[3]:
-                    mine.setdefault(n[9][i], {})[n[5]] = n[8]
-            facts.append(mine)
+        nothing = [(None,) * len(parts) for parts in self.held]
         for n in nodes:
             if keep[n[4]]:
-                for column, v in zip(self.columns, (doc, *n[:9]), strict=True):
+                for column, v in zip(self.columns, (doc, *n[:9])):  # noqa: B905
                     column.append(v)
-                for i, c in enumerate(self.containers):
-                    at = n[9][i]
-                    told = (None,) * 3 if at is None else (nodes[at][0], nodes[at][1], nodes[at][6])
-                    more = facts[i].get(at, {}) if at is not None else {}
-                    for column, v in zip(self.held[i], (*told, *(more.get(f) for f in c.facts)), strict=True):
+                for parts, c, at, none in zip(self.held, self.containers, n[9], nothing):  # noqa: B905
+                    if at is None:
+                        row = none
+                    else:
+                        outer = nodes[at]
+                        more = outer[10] or {}
+                        row = (outer[0], outer[1], outer[6], *[more.get(f) for f in c.facts])
+                    for column, v in zip(parts, row):  # noqa: B905
                         column.append(v)
 
     def close_record(self) -> None:
@@ -228,7 +242,7 @@ def label_records(records: DataFrame, columns: Sequence[str], *, keep: Sequence[
                 for column, held_texts in zip(columns, texts, strict=True):
                     text = held_texts[at]
                     if text is not None and text.strip():
-                        labels.add(column, walk(_unwrapped(_decoded(text), column), "$", made), kept)
+                        labels.add(column, walk(_unwrapped(_decoded(text), column), "$", made, kept), kept)
                 labels.close_record()
                 if labels.ends[-1] >= BATCH_NODES or at == batch.num_rows - 1:
                     part = batch.slice(begun, at + 1 - begun)
