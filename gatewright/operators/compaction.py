@@ -14,9 +14,10 @@ and sizes alone, all of a part of a key in one go; a key with very many files is
 parts of at most PLAN_FILES, and what the parts leave over (a few files per tier) is planned
 again, until a key fits one part. Rows are moved once, from the tiny file to the file it ends in.
 
-The target is in bytes as stored: ``row_bytes`` encodes a bounded number of the rows as
-Parquet and tells what one takes, since the stated sizes of tiny files are mostly overhead,
-and may be null or wrong. It decides on sizes only, never on what is kept.
+The target is in bytes as stored: every surviving record of a listed file is encoded as
+Parquet where it is counted, and their mean tells what one takes, since the stated sizes of
+tiny files are mostly overhead, and may be null or wrong. It decides on sizes only, never on
+what is kept. (The file that a stored record came from is not counted in it.)
 
 The journal has one row per input of each merge: transaction, level, key, input, output, rows
 kept, and the file that the input has ended in after the planning stage. Transaction and file
@@ -31,11 +32,11 @@ counts once with its lowest time; empty tables give an empty journal.
 from __future__ import annotations
 
 import hashlib
-import io
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,8 +45,8 @@ from gatewright.session import checkpoint
 
 RECORD = ["dataset_id", "id", *(f"x{i}" for i in range(8)), *(f"y{i}" for i in range(4))]
 FAN_IN, TIER_BASE, TARGET_BYTES = 16, 4, 256 << 20
-#: Files that one task plans, and rows that are encoded to tell the size of a row.
-PLAN_FILES, SIZED_ROWS = 50_000, 50_000
+#: Files that one task plans, and bytes of records that a task holds at a time to encode them.
+PLAN_FILES, BLOCK_BYTES = 50_000, 16 << 20
 #: Keys that are written into a plan as a list; more of them are joined.
 LISTED_KEYS = 1_000
 
@@ -94,26 +95,64 @@ def _survivors(numbered: DataFrame, rows: DataFrame, record: list[str]) -> DataF
     return first.select(*(back(signals.index(c)).cast(types[c]).alias(c) if c in signals else F.col(f"`{c}`") for c in record), "seq")
 
 
-def contributions(files: DataFrame, rows: DataFrame, *, record: list[str] = RECORD, key: str = "dataset_id") -> DataFrame:
-    """Per listed file its key, the rows it holds and the rows that survive of it."""
+def _encoded_bytes(block: pa.Table) -> int:
+    """Bytes of the pages of ``block`` as Parquet; of each column the smaller of plain and dictionary, as a writer picks it."""
+    least: dict[str, int] = {}
+    for dictionary in (False, True):
+        made: list[pq.FileMetaData] = []
+        pq.write_table(block, pa.MockOutputStream(), compression="snappy", use_dictionary=dictionary, metadata_collector=made)
+        chunks = [made[0].row_group(g).column(c) for g in range(made[0].num_row_groups) for c in range(made[0].num_columns)]
+        here: dict[str, int] = {}
+        for chunk in chunks:
+            here[chunk.path_in_schema] = here.get(chunk.path_in_schema, 0) + chunk.total_compressed_size
+        least = {c: min(n, least.get(c, n)) for c, n in here.items()}
+    return sum(least.values())
+
+
+def _encoder(record: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Encodes all records, a block at a time: per ``seq`` of a block its records and their share of the block's bytes."""
+
+    def shares(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pa.Table.from_batches(batches)
+        each = _encoded_bytes(block.select(record)) / block.num_rows
+        counts = block.group_by("seq").aggregate([([], "count_all")])
+        n = counts["count_all"].combine_chunks()
+        yield pa.RecordBatch.from_arrays([counts["seq"].combine_chunks(), n, pc.multiply(n.cast("double"), each)], ["seq", "rows_kept", "bytes_kept"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.nbytes for b in held) >= BLOCK_BYTES:
+                yield from shares(held)
+                held = []
+        if held:
+            yield from shares(held)
+
+    return run
+
+
+def contributions(files: DataFrame, rows: DataFrame, *, record: list[str] = RECORD, key: str = "dataset_id", sized: bool = True) -> DataFrame:
+    """Per listed file its key, the rows it holds, the rows that survive of it and (null unless ``sized``) the bytes these take."""
     numbered = _numbered(files, key)
     held = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("rows_in"))
-    kept = _survivors(numbered, rows, record).groupBy("seq").agg(F.count(F.lit(1)).alias("rows_kept"))
+    kept = _survivors(numbered, rows, record)
+    if sized:
+        # in the order in which they are stored
+        blocks = kept.sortWithinPartitions(key, *record).mapInArrow(_encoder(record), "seq bigint, rows_kept bigint, bytes_kept double")
+        kept = blocks.groupBy("seq").agg(F.sum("rows_kept").alias("rows_kept"), F.sum("bytes_kept").alias("bytes_kept"))
+    else:
+        kept = kept.groupBy("seq").agg(F.count(F.lit(1)).alias("rows_kept")).withColumn("bytes_kept", F.lit(None).cast("double"))
     listed = numbered.join(held, "file_id", "left").join(kept, "seq", "left")
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return listed.select("file_id", "__gw_key", count("rows_in"), count("rows_kept"))
+    return listed.select("file_id", "__gw_key", count("rows_in"), count("rows_kept"), "bytes_kept")
 
 
-def row_bytes(rows: DataFrame, record: list[str] = RECORD) -> float:
-    """Bytes that a record takes in a Parquet file, from at most SIZED_ROWS rows encoded on the driver."""
-    # collecting a limit reads as few partitions as hold it
-    some = rows.select(*(F.col(f"`{c}`") for c in record)).limit(SIZED_ROWS).collect()
-    if not some:
-        return 1.0
-    made = pa.Table.from_pylist([r.asDict() for r in some])
-    out = io.BytesIO()
-    pq.write_table(made, out, compression="snappy")
-    return max(out.tell() / len(some), 0.01)
+def row_bytes(contributed: DataFrame) -> float:
+    """Bytes that the record columns take a row in a Parquet file: the mean over all surviving records."""
+    total, n = contributed.agg(F.sum("bytes_kept"), F.sum("rows_kept")).first()
+    return total / n if n else 1.0
 
 
 def _tier(size: int) -> int:
@@ -200,8 +239,8 @@ def compact(
     discarded), rows_kept, stage, ends_in, rows_in (tiny files only). Every listed file is
     the input of one row: of a merge, of a discard, or, if it found no partner, of its own.
     """
-    tiny = checkpoint(contributions(files, rows, record=record, key=key))
-    target = max(1, int(target_bytes / (bytes_per_row or row_bytes(rows, record))))
+    tiny = checkpoint(contributions(files, rows, record=record, key=key, sized=not bytes_per_row))
+    target = max(1, int(target_bytes / (bytes_per_row or row_bytes(tiny))))
     named = tiny.select(F.col("__gw_key").cast("string").alias("key"), F.col("file_id").cast("string").alias("unit"), F.col("rows_kept").alias("size"), "rows_in")
     none = F.lit(None).cast("string")
     gone = named.where("size = 0").select(F.concat(F.lit("D-"), "unit").alias("txn"), F.lit(0).alias("level"), "key", F.col("unit").alias("input"), none.alias("output"), F.col("size").alias("rows_kept"), F.lit(0).alias("stage"), none.alias("ends_in"))

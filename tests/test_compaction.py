@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,38 @@ def test_files_of_the_target_size(spark, tmp_path):
     assert {p.parent.name for p in folder.glob("data/run=*/*/*.parquet")} == {"__gw_key=1", "__gw_key=2"}
 
 
+def test_bytes_of_a_row_are_those_of_all_stored_rows(spark, tmp_path):
+    # the first 60 000 rows take few bytes, all others many; and of those few are stored but once
+    n, narrow, folder = 150_000, 60_000, tmp_path / "store"
+    files = spark.range(200).selectExpr("id as file_id", "1 as dataset_id", "timestamp_ntz '2026-01-01' + make_interval(0,0,0,0,0,0,id) as written_at")
+    values = [f"if(id < {narrow}, 0, hash(id, {i})) as {c}" for i, c in enumerate(compaction.RECORD[2:])]
+    rows = spark.range(0, n, 1, 4).selectExpr("id % 200 as file_id", "1 as dataset_id", f"if(id < {narrow}, id % 5000, xxhash64(id)) as id", *values)
+    target = 400_000
+    compaction.run(spark, files, rows, str(folder), target_bytes=target)
+    sizes = sorted(p.stat().st_size for p in folder.glob("data/run=*/*/*.parquet"))
+    assert len(sizes) >= sum(sizes) / target / 2.5 and all(target / 2 <= s <= 2.5 * target for s in sizes[2:]), sizes
+    assert compaction.stored_records(spark, str(folder)).count() == n - narrow + 5000
+    of_all = compaction.row_bytes(compaction.contributions(files, rows))
+    assert of_all == pytest.approx(sum(sizes) / (n - narrow + 5000), rel=0.2)
+
+
+def test_bytes_of_a_row_do_not_hang_on_blocks(spark, monkeypatch):
+    files, _ = make(spark, [(1, 1, at(1)), (2, 1, at(2))], [])
+    rows = spark.range(0, 30_000, 1, 3).selectExpr("1 + id % 3 as file_id", "1 as dataset_id", "xxhash64(id) as id", *(f"cast(id >> {i} & 1 as int) as {c}" for i, c in enumerate(compaction.RECORD[2:])))
+    by_file = {r["file_id"]: r for r in compaction.contributions(files, rows).collect()}
+    # file 3 is not listed
+    assert {f: r["rows_kept"] for f, r in by_file.items()} == {1: 10_000, 2: 10_000}
+    one = [pa.RecordBatch.from_pylist([{"seq": i % 2, **{c: v for c, v in r.asDict().items() if c != "file_id"}} for i, r in enumerate(rows.limit(20_000).collect())])]
+    small = [one[0].slice(i, 4000) for i in range(0, 20_000, 4000)]
+    totals = []
+    for batches, block in ((one, 16 << 20), (small, 16 << 20), (small, 1)):
+        monkeypatch.setattr(compaction, "BLOCK_BYTES", block)
+        made = pa.Table.from_batches(compaction._encoder(compaction.RECORD)(iter(batches)))
+        assert made.num_rows == (10 if block == 1 else 2) and sum(made["rows_kept"].to_pylist()) == 20_000
+        totals.append(sum(made["bytes_kept"].to_pylist()))
+    assert totals[0] == totals[1] == pytest.approx(totals[2], rel=0.1)
+
+
 @pytest.mark.parametrize("listed", [1000, 0])
 def test_second_run_reads_only_its_keys(spark, tmp_path, monkeypatch, listed):
     monkeypatch.setattr(compaction, "LISTED_KEYS", listed)
